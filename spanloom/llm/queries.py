@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as op7
+from . import token_file as op3
 from . import url_filter as op1
 
 
@@ -31,6 +32,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file is, on each machine alike."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text of ``documents``, written and read back; id 2 ends a document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op3.token_file(docs, tokenizer_path(), end_id=2)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision on every row of ``documents``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +53,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_token_file": op3_token_file,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
