@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as op7
+from . import packing as op4
 from . import token_file as op3
 from . import url_filter as op1
 
@@ -45,6 +46,12 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.token_file(docs, tokenizer_path(), end_id=2)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place in sequences of 2,048 tokens for every piece of every text; id 0 ends a document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op4.best_fit(docs, tokenizer_path(), end_id=0)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision on every row of ``documents``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +61,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_token_file": op3_token_file,
+    "op4_packing": op4_packing,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
