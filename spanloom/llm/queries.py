@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup as op7
+from . import language_id as op10
 from . import packing as op4
 from . import token_file as op3
 from . import url_filter as op1
@@ -58,11 +60,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of ``documents``, learned from rows that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = op10.fit(docs)
+    got = op10.language_id(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", op10.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_token_file": op3_token_file,
     "op4_packing": op4_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
