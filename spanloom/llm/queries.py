@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as op7
+from . import html_text as op6
 from . import language_id as op10
 from . import packing as op4
 from . import token_file as op3
@@ -54,6 +55,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.best_fit(docs, tokenizer_path(), end_id=0)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return op6.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision on every row of ``documents``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_token_file": op3_token_file,
     "op4_packing": op4_packing,
+    "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_language_id": op10_language_id,
 }
