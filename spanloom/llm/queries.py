@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as op7
+from . import fingerprint as op5
 from . import html_text as op6
 from . import language_id as op10
 from . import packing as op4
@@ -55,6 +56,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.best_fit(docs, tokenizer_path(), end_id=0)
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text."""
+    return op5.edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"), stored=True)
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return op6.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_token_file": op3_token_file,
     "op4_packing": op4_packing,
+    "op5_fingerprint": op5_fingerprint,
     "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_language_id": op10_language_id,
