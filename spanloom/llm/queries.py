@@ -11,6 +11,7 @@ from . import exact_dedup as op7
 from . import fingerprint as op5
 from . import html_text as op6
 from . import language_id as op10
+from . import mixing as op2
 from . import packing as op4
 from . import token_file as op3
 from . import url_filter as op1
@@ -37,6 +38,26 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Weights of the domains that ``labels`` tells apart; neither clean domain may shrink.
+MIX_TARGETS = {"good": 0.85, "plain": 0.14, "toxic": 0.01}
+MIX_KEEP = ("good", "plain")
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, domain``: toxic, else good or plain by quality; rows with neither label are left out."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+    return labels.select("doc_id", domain.alias("domain")).where("domain is not null")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior, rate and copies of every document under the target weights."""
+    docs, labels = _table(spark, sf_dir, "documents"), domain_labels(_table(spark, sf_dir, "labels"))
+    mixed = op2.mix(docs.select("doc_id", "text"), labels, MIX_TARGETS, MIX_KEEP, stored=True, with_columns=False)
+    return mixed.select(
+        "doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(MIX_TARGETS)], "domain", "rate", "copies"
+    )
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where a public tokenizer's file is, on each machine alike."""
     import public_tokenizers
@@ -82,6 +103,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_mixing": op2_mixing,
     "op3_token_file": op3_token_file,
     "op4_packing": op4_packing,
     "op5_fingerprint": op5_fingerprint,
