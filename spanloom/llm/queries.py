@@ -12,6 +12,7 @@ from . import fingerprint as op5
 from . import html_text as op6
 from . import language_id as op10
 from . import mixing as op2
+from . import near_dedup as op8
 from . import packing as op4
 from . import token_file as op3
 from . import url_filter as op1
@@ -93,6 +94,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near duplicates of every document."""
+    return op8.near_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), stored=True)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text of ``documents``, learned from rows that aren't held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprint": op5_fingerprint,
     "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op10_language_id": op10_language_id,
 }
 
