@@ -14,6 +14,7 @@ from . import language_id as op10
 from . import mixing as op2
 from . import near_dedup as op8
 from . import packing as op4
+from . import sentence_spans as op9
 from . import token_file as op3
 from . import url_filter as op1
 
@@ -99,6 +100,12 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.near_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), stored=True)
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` without sentences of repeated spans."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op9.span_dedup(docs, stored=True).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text of ``documents``, learned from rows that aren't held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_text": op6_html_text,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_sentence_spans": op9_sentence_spans,
     "op10_language_id": op10_language_id,
 }
 
