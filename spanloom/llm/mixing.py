@@ -14,7 +14,8 @@
    nonnegative rates ``x_i`` that minimise the squared distance of
    ``sum(n_i * x_i * p_i)`` to the target totals, starting at 1.  It works in the
    metric ``n_i``, in which documents alike in posterior keep alike rates:
-   ``x_i <- max(0, x_i - step * p_i . gradient)``.  Each round is an aggregate.
+   ``x_i <- max(0, y_i - step * p_i . gradient)``, where ``y_i`` is ``x_i`` with
+   Nesterov's momentum.  Each round is an aggregate.
 4. A document is taken ``floor(rate)`` times, and once more if a hash of it,
    uniform on [0, 1), is under the fraction left.
 """
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import BLANKS, fresh, written
 
 BUCKETS = 1 << 16
 FIT_ROWS = 20_000
@@ -38,13 +39,15 @@ LIFT = 4.0
 LEAST_SHARE = 0.02
 #: Sums of evidence from here on are level 2, smaller ones above 0 level 1.
 STRONG = 4.0
-MOST_ROUNDS = 200
+MOST_ROUNDS = 150
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words and runs of other signs; white space only parts them."""
     apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([^\p{L}\p{N}\s]+)", " $1 ")
-    return F.filter(F.split(F.translate(apart, "\t\n\x0b\x0c\r", "     "), " "), lambda t: t != "")
+    for b in BLANKS[1:]:
+        apart = F.replace(apart, F.lit(b), F.lit(" "))
+    return F.array_remove(F.split(apart, " "), "")
 
 
 def distinct_buckets(ts: Column) -> Column:
@@ -134,7 +137,7 @@ def rates(groups: DataFrame, target: list[float], tolerance: float = 1e-4, most:
     """``groups`` (``signature, n, p``) with ``rate``: nonnegative least squares by projected gradient.
 
     ``target`` has token totals.  It ends when no total is off by over
-    ``tolerance`` of all tokens, or improves no more.
+    ``tolerance`` of all tokens, or when 15 rounds improve the worst by under 1 %.
     """
     k = len(target)
     at = lambda i: F.col("p")[i]
@@ -144,23 +147,28 @@ def rates(groups: DataFrame, target: list[float], tolerance: float = 1e-4, most:
         return groups.withColumn("rate", F.lit(1.0))
     step = 1 / max(1e-9, float(np.linalg.eigvalsh(np.array(first[1:], dtype=float).reshape(k, k) / total).max()))
     past: list[list[float]] = []
-    off = float("inf")
+    best = float("inf")
     while True:
         # The rates follow from the gradients so far, so no state is kept.
-        rate = F.lit(1.0)
+        state = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
         if past:
-            moves = F.lit(past).cast("array<array<double>>")
             dot = lambda g: sum((g[i] * F.col("p")[i] for i in range(k)), F.lit(0.0))
-            rate = F.aggregate(moves, F.lit(1.0), lambda x, g: F.greatest(F.lit(0.0), x - step * dot(g)))
-        rated = groups.withColumn("rate", rate)
-        got = rated.agg(*[F.sum(F.col("n") * F.col("rate") * at(i)) for i in range(k)]).first()
-        gradient = [(float(x) - t) / total for x, t in zip(got, target, strict=True)]
-        now = max(map(abs, gradient))
-        if now <= tolerance or len(past) >= most or (len(past) % 20 == 19 and now > 0.999 * off):
-            return rated
-        if len(past) % 20 == 19:
-            off = now
-        past.append(gradient)
+
+            def move(s: Column, g: Column) -> Column:
+                x = F.greatest(F.lit(0.0), s["y"] - step * dot(g))
+                return F.struct(x.alias("x"), (x + g[k] * (x - s["x"])).alias("y"))
+
+            state = F.aggregate(F.lit(past).cast("array<array<double>>"), state, move)
+        rated = groups.withColumn("state", state)
+        total_at = lambda c: [F.sum(F.col("n") * F.col(f"state.{c}") * at(i)) for i in range(k)]
+        got = [float(x) for x in rated.agg(*total_at("x"), *total_at("y")).first()]
+        off = [(x - t) / total for x, t in zip(got, [*target, *target], strict=True)]
+        now = max(map(abs, off[:k]))
+        if now <= tolerance or len(past) >= most or (len(past) % 15 == 14 and now > 0.99 * best):
+            return rated.withColumn("rate", F.col("state.x")).drop("state")
+        if len(past) % 15 == 14:
+            best = now
+        past.append([*off[k:], len(past) / (len(past) + 3)])
 
 
 def mix(
