@@ -18,16 +18,20 @@
    Of a node's largest component only members facing outsiders are paired, so
    a large group of near copies costs in proportion to its outsiders.
 
-A pair is confirmed only if its minwise tokens agree in ``AGREE`` of ``COORDS``
-coordinates at least; a pair at the threshold has 36 of 48 on average with
-deviation 3, so one in ten million is missed here.  All trees miss a pair at the
+A pair is confirmed on full sets only if it is likely by a sketch: the range of
+shingle hashes is cut into ``BINS`` bins, of each of which a byte of the least
+hash is kept.  The share of equal bytes is off by 0.02 as a rule and must be
+within ``SLACK`` percent of the threshold, over four deviations; so about one in
+30,000 pairs at the very threshold is missed here, and fewer of those closer.
+All trees miss a pair at the
 threshold with a chance under ``0.25 ** TREES`` where its nodes are small, and
 below one in a thousand where they are large and mixed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +40,19 @@ from pyspark.sql import functions as F
 
 from .common import fresh, join_groups, written
 from .components import components
-from .shingles import minwise, shingle_sets
+from .shingles import bin_bytes, bit_planes, minwise, shingle_sets
 
 COORDS = 48
-TREES = 16
-LEAF = 50
-DEPTH = 8
-AGREE = 20
+BINS = 256
+TREES = 8
+LEAF = 512
+DEPTH = 6
+SLACK = 9
 PAIRS_PER_SALT = 5_000
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, n_shingles, set_id, sig`` from ``row, doc_id, text``; ``set_id`` and ``sig`` are null for empty sets."""
+    """``row, doc_id, n_shingles, set_id, sig, fine`` from ``row, doc_id, text``; the last three are null for empty sets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -56,7 +61,8 @@ def signed(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = shingle_sets(part.column(2).to_pylist())
-                sig = iter(minwise(sets, COORDS))
+                sig = iter(minwise(sets, COORDS).view(np.int32))
+                fine = iter(bit_planes(bin_bytes(sets, BINS)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -64,11 +70,12 @@ def signed(docs: DataFrame) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([next(sig) if len(s) else None for s in sets], pa.list_(pa.int32())),
+                        pa.array([next(fine) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["row", "doc_id", "n_shingles", "set_id", "sig"],
+                    names=["row", "doc_id", "n_shingles", "set_id", "sig", "fine"],
                 )
 
-    return docs.mapInArrow(rows, "row long, doc_id long, n_shingles long, set_id binary, sig array<int>")
+    return docs.mapInArrow(rows, "row long, doc_id long, n_shingles long, set_id binary, sig array<int>, fine array<long>")
 
 
 def _branches(node: Column, sig: Column) -> Column:
@@ -79,8 +86,25 @@ def _branches(node: Column, sig: Column) -> Column:
     return F.when(second, F.array(to(1), to(2))).otherwise(F.array(to(1)))
 
 
-def agreement(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+def likely(a: Column, b: Column, percent: int) -> Column:
+    """Whether two sets may have that similarity, from the bit planes of their bytes by bin.
+
+    Of the bins that either set has, those with equal bytes are as many as the
+    similarity says, with a deviation of about 0.02; ``SLACK`` is below by four.
+    """
+    words = BINS // 64
+
+    def count(of: Callable[[Column, Column], Column]) -> Column:
+        """Bins in one of whose eight planes ``of`` gives a bit."""
+        total = F.lit(0)
+        for w in range(words):
+            planes = [of(F.get(a, F.lit(i * words + w)), F.get(b, F.lit(i * words + w))) for i in range(8)]
+            total = total + F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), planes))
+        return total
+
+    used = count(lambda x, y: x.bitwiseOR(y))
+    unlike = count(lambda x, y: x.bitwiseXOR(y))
+    return 100 * (used - unlike) >= (percent - SLACK) * used
 
 
 def _met(at: DataFrame) -> DataFrame:
@@ -145,12 +169,12 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where("comp_a <> comp_b").select("a", "b")
 
 
-def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``a, b`` of those pairs whose minwise tokens agree often enough."""
-    sig = lambda c: reps.select(F.col("v").alias(c), F.col("sig").alias(f"sig_{c}"))
+def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of those pairs whose bytes by bin agree often enough."""
+    fine = lambda c: reps.select(F.col("v").alias(c), F.col("fine").alias(f"fine_{c}"))
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    first = join_groups(pairs, sig("a").join(counts, "a"), "a", "n", pairs.count())
-    return first.join(sig("b"), "b").where(agreement(F.col("sig_a"), F.col("sig_b")) >= AGREE).select("a", "b")
+    first = join_groups(pairs, fine("a").join(counts, "a"), "a", "n", pairs.count())
+    return first.join(fine("b"), "b").where(likely(F.col("fine_a"), F.col("fine_b"), percent)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -192,22 +216,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(linked, "a long, b long")
 
 
-def _across(ends: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs within one end node, of different components, whose minwise tokens agree often enough."""
+def _across(ends: DataFrame, reps: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs within one end node, of different components, whose bytes by bin agree often enough."""
     known = written(_with_comp(ends, comps), "end-members")
     parts = known.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("node").agg(
         F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("most"), F.sum("n").alias("n")
     ).where("parts > 1")
     mixed = written(mixed.select("node", "most", "n"), "mixed-nodes")
-    members = join_groups(known, mixed, "node", "n", known.count()).join(reps.select("v", "sig"), "v")
-    members = written(members.select("v", "node", "comp", "most", "sig"), "mixed-members")
-    out = members.where("comp <> most").select("node", F.col("v").alias("v1"), F.col("comp").alias("c1"), F.col("sig").alias("s1"))
-    other = members.select("node", F.col("v").alias("v2"), F.col("comp").alias("c2"), F.col("sig").alias("s2"), "most")
+    members = join_groups(known, mixed, "node", "n", known.count()).join(reps.select("v", "fine"), "v")
+    members = written(members.select("v", "node", "comp", "most", "fine"), "mixed-members")
+    out = members.where("comp <> most").select("node", F.col("v").alias("v1"), F.col("comp").alias("c1"), F.col("fine").alias("s1"))
+    other = members.select("node", F.col("v").alias("v2"), F.col("comp").alias("c2"), F.col("fine").alias("s2"), "most")
     once = (F.col("c2") == F.col("most")) | (F.col("v1") < F.col("v2"))
     joined = out.join(
         other,
-        (out["node"] == other["node"]) & (F.col("c1") != F.col("c2")) & once & (agreement(F.col("s1"), F.col("s2")) >= AGREE),
+        (out["node"] == other["node"]) & (F.col("c1") != F.col("c2")) & once & likely(F.col("s1"), F.col("s2"), percent),
     )
     return joined.select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")).distinct()
 
@@ -217,7 +241,7 @@ def _joined(
 ) -> tuple[DataFrame, DataFrame]:
     """All links and components once the links among ``pairs`` are added."""
     pairs = written(pairs, "pairs")
-    pairs = pairs if alike else written(_alike(pairs, reps), "alike-pairs")
+    pairs = pairs if alike else written(_alike(pairs, reps, percent), "alike-pairs")
     if so_far and pairs.isEmpty():
         return so_far
     links = written(confirmed(pairs, texts, percent), "links")
@@ -257,24 +281,24 @@ def near_dedup(
     base = written(signed(narrow), "shingled")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     sets = base.where("set_id is not null").groupBy("set_id").agg(
-        F.min(first).alias("first"), F.min_by("sig", first).alias("sig"), F.count(F.lit(1)).alias("n")
+        F.min(first).alias("first"), F.min_by("sig", first).alias("sig"), F.min_by("fine", first).alias("fine"), F.count(F.lit(1)).alias("n")
     )
-    reps = written(sets.select("set_id", "n", "first", F.col("first.row").alias("v"), "sig"), "distinct-sets")
+    reps = written(sets.select("set_id", "n", "first", F.col("first.row").alias("v"), "sig", "fine"), "distinct-sets")
 
     texts = narrow.select(F.col("row").alias("v"), "text")
     met = _met(_roots(reps, trees))
     links, comps = _joined(_stars(met).distinct(), None, reps, texts, percent)
     stars, ends = _deeper(met, reps, comps, leaf, depth)
     links, comps = _joined(_apart(written(stars, "star-pairs"), comps), (links, comps), reps, texts, percent)
-    links, comps = _joined(_across(ends, reps, comps), (links, comps), reps, texts, percent, alike=True)
+    links, comps = _joined(_across(ends, reps, comps, percent), (links, comps), reps, texts, percent, alike=True)
 
     joined = reps.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     best = joined.groupBy("comp").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("size"))
     classes = join_groups(joined.select("set_id", "n", "comp"), best, "comp", "size", reps.count()).select("set_id", "n", "best")
     classes = written(classes, "classes")
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    got = join_groups(base.where("set_id is not null").drop("sig"), classes, "set_id", "n", base.count()).unionByName(
-        base.where("set_id is null").drop("sig").withColumn("n", F.lit(1).cast("long")).withColumn("best", own)
+    got = join_groups(base.where("set_id is not null").drop("sig", "fine"), classes, "set_id", "n", base.count()).unionByName(
+        base.where("set_id is null").drop("sig", "fine").withColumn("n", F.lit(1).cast("long")).withColumn("best", own)
     )
     got = got.select("row", "doc_id", "n_shingles", F.col("best.id").alias("component_id"), (F.col("best.row") == F.col("row")).alias("kept"))
     if not keep_only:

@@ -105,15 +105,35 @@ def _shingles(words: np.ndarray) -> np.ndarray:
 
 
 def minwise(sets: Sequence[np.ndarray], k: int) -> np.ndarray:
-    """For each nonempty set the least of ``k`` hashes of its members: ``int32`` of shape (sets, k)."""
+    """For each nonempty set the least of ``k`` hashes of its members: ``uint32`` of shape (sets, k), ``k`` even."""
     full = [s for s in sets if len(s)]
-    out = np.zeros((len(full), k), dtype=np.int32)
+    out = np.zeros((len(full), k), dtype=np.uint32)
     if not full:
         return out
     flat, at = np.concatenate(full), np.cumsum([0] + [len(s) for s in full[:-1]])
-    a = mix64(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-    for j in range(k):
+    a = mix64(np.arange(1, k // 2 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+    for j in range(k // 2):  # one 64-bit hash gives two of 32 bits
         h = (flat ^ (a[j] >> np.uint64(7))) * a[j]
-        h = (h ^ (h >> np.uint64(32))) * a[j] >> np.uint64(32)
-        out[:, j] = np.minimum.reduceat(h, at).astype(np.uint32).view(np.int32)
+        h = (h ^ (h >> np.uint64(32))) * a[j]
+        halves = h.view(np.uint32).reshape(-1, 2)
+        out[:, 2 * j : 2 * j + 2] = np.minimum.reduceat(halves ^ (halves[:, ::-1] >> np.uint32(3)), at, axis=0)
     return out
+
+
+def bin_bytes(sets: Sequence[np.ndarray], bins: int = 256) -> np.ndarray:
+    """Of each nonempty sorted set a byte per bin of the hash range: 0 if no member is in it, else 1..255 from its least member."""
+    full = [s for s in sets if len(s)]
+    out = np.zeros((len(full), bins), dtype=np.uint8)
+    edges = np.arange(bins, dtype=np.uint64) * np.uint64((1 << 64) // bins)
+    for row, s in zip(out, full, strict=True):
+        at = np.searchsorted(s, edges)
+        ends = np.append(at[1:], len(s))
+        held = at < ends
+        row[held] = (s[at[held]] % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def bit_planes(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as longs: the first bits of all bytes, then the second ones, and so on."""
+    bits = (rows[:, None, :] >> np.arange(8, dtype=np.uint8)[:, None]) & 1
+    return np.ascontiguousarray(np.packbits(bits, axis=2, bitorder="little").reshape(len(rows), rows.shape[1])).view("<i8")

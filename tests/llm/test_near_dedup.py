@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spanloom.llm import shingles
-from spanloom.llm.near_dedup import near_dedup
+from spanloom.llm.near_dedup import likely, near_dedup
 from spanloom.llm.shingles import minwise, shingle_sets
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -64,6 +64,20 @@ def test_minwise_tokens_estimate_similarity():
     assert abs((m[0] == m[1]).mean() - 0.6) < 0.08
 
 
+def test_sketches_tell_likely_pairs(spark):
+    r, rows = np.random.RandomState(1), []
+    for n in (6, 60, 600, 3000):
+        for _ in range(150):
+            common = r.randint(0, n + 1)
+            a, b, c = (shingles.mix64(r.randint(0, 2**62, k).astype(np.uint64)) for k in (n - common, n - common, common))
+            x, y = (np.unique(np.concatenate([z, c])) for z in (a, b))
+            s = shingles.bit_planes(shingles.bin_bytes([x, y])).tolist()
+            rows.append((s[0], s[1], len(np.intersect1d(x, y)) / len(np.union1d(x, y))))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, s double")
+    got = df.select("s", likely(df["a"], df["b"], 75).alias("x")).collect()
+    assert all(g.x for g in got if g.s >= 0.75) and not any(g.x for g in got if g.s < 0.5)
+
+
 def corpus(n, seed):
     r = random.Random(seed)
     word = lambda: f"w{r.randrange(5000)}"
@@ -108,7 +122,7 @@ def test_one_large_group_of_near_copies_with_chains(spark):
         now[(i * 3) % 120] = f"y{i}"
         rows.append((1000 + i, " ".join(now)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(near_dedup(df, leaf=10, depth=4)) == brute(rows)
+    assert found(near_dedup(df, trees=14, leaf=10, depth=4)) == brute(rows)
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
