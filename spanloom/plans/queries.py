@@ -85,9 +85,13 @@ LEX = "lex(ord, category, norm, is_regex, is_trigger) AS (VALUES " + ", ".join(
     f"({o}, '{c}', '{f}', {str(r).lower()}, {str(t).lower()})" for o, c, f, r, t in LEXICON
 ) + ")"
 _words = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-_near = lambda r, ws: f"list_has_any(tokens[greatest(1, s + 1 - {r}):e + {r}], {_words(ws)})"
+_near = lambda r, ws: f"list_has_any(tokens[greatest(1, s + 1 - {r}):s + n + {r}], {_words(ws)})"
+_NUM = "[0-9]+(?:\\.[0-9]+)?"
 WIN = f"""
-    win AS (SELECT row_idx, s, s + n AS e, n, array_to_string(tokens[s + 1:s + n], ' ') AS surface, tokens
+    win AS (SELECT row_idx, s, s + n AS e, n, array_to_string(tokens[s + 1:s + n], ' ') AS surface,
+            list_bool_and(list_transform(tokens[s + 1:s + n], lambda x: x IN ({_words(STOP)[1:-1]}))) AS filtered,
+            CASE WHEN n = 1 AND regexp_full_match(tokens[s + 1], '{_NUM}') THEN {_near(1, candidates.MEMORY_WORDS)} ELSE false END AS by_memory,
+            CASE WHEN n = 1 AND regexp_full_match(tokens[s + 1], '{_NUM}') THEN {_near(2, candidates.PRICE_WORDS)} ELSE false END AS by_price
         FROM (SELECT row_idx, tokens, n, unnest(range(len(tokens) - n + 1)) AS s
               FROM tok, (VALUES (1), (2), (3), (4)) AS v(n) WHERE len(tokens) >= n))"""
 CAND = f"""{TOK}, {LEX}, {WIN},
@@ -97,10 +101,9 @@ CAND = f"""{TOK}, {LEX}, {WIN},
         UNION ALL
         SELECT win.*, category, norm, surface, is_trigger, 'regex', 2, ord, -n, s, ord
         FROM win JOIN lex ON is_regex AND regexp_full_match(surface, norm)),
-    cand AS (SELECT *, list_bool_and(list_transform(tokens[s + 1:e], lambda x: list_contains({_words(STOP)}, x))) AS filtered
-        FROM hit
-        WHERE NOT regexp_full_match(surface, '[0-9]+(?:\\.[0-9]+)?') OR CASE category WHEN 'phone' THEN false
-            WHEN 'memory' THEN {_near(1, candidates.MEMORY_WORDS)} WHEN 'price' THEN {_near(2, candidates.PRICE_WORDS)} ELSE true END)"""
+    cand AS (SELECT * FROM hit
+        WHERE NOT regexp_full_match(surface, '{_NUM}') OR CASE category WHEN 'phone' THEN false
+            WHEN 'memory' THEN by_memory WHEN 'price' THEN by_price ELSE true END)"""
 BEST = CAND + """,
     ranked AS (SELECT *, CASE WHEN match_type = 'exact' AND e - s > 1 THEN 5 WHEN match_type = 'exact' THEN 4 ELSE 3 END AS ev
         FROM cand WHERE NOT (category = 'phone' AND regexp_full_match(surface, '[0-9]+(?:\\.[0-9]+)?k?'))),
@@ -227,8 +230,8 @@ def stop_filter_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, "exact", "regex").select("row_idx", "start", "end", "category", "match_type", "filtered")
 
 
-@query(f"""WITH {TOK}, {WIN} SELECT row_idx, s AS "start", surface, {_near(1, candidates.MEMORY_WORDS)} AS memory, {_near(2, candidates.PRICE_WORDS)} AS price, false AS phone
-    FROM win WHERE n = 1 AND regexp_full_match(surface, '[0-9]+(?:\\.[0-9]+)?')""")
+@query(f"""WITH {TOK}, {WIN} SELECT row_idx, s AS "start", surface, by_memory AS memory, by_price AS price, false AS phone
+    FROM win WHERE n = 1 AND regexp_full_match(surface, '{_NUM}')""")
 def numeric_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = candidates.windows(_analysed(spark, sf_dir), 1, [1]).where("is_number")
     ok = lambda c: candidates.number_allowed(F.lit(c), F.col("is_number"), F.col("by_memory"), F.col("by_price")).alias(c)
