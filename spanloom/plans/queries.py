@@ -44,7 +44,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        def with_long_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.col(c).cast("long") for c in ("start", "end") if c in df.columns})
+
+        QUERIES[f.__name__] = with_long_places
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f

@@ -90,10 +90,9 @@ def lexicon(lines: DataFrame) -> DataFrame:
 
 def inventory(entries: DataFrame) -> DataFrame:
     """Counts of a lexicon: entries, literals, distinct literals, triggers and regexes."""
-    literal = ~F.col("is_regex")
+    literal = ~F.col("is_regex") & ~F.col("is_trigger")
     return entries.agg(
         F.count(F.lit(1)).alias("entries"),
-        F.count(F.when(literal & ~F.col("is_trigger"), 1)).alias("plain_literals"),
         F.count(F.when(literal, 1)).alias("literals"),
         F.count_distinct(F.when(literal, F.col("norm"))).alias("distinct_literals"),
         F.count(F.when(F.col("is_trigger"), 1)).alias("triggers"),
