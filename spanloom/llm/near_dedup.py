@@ -108,9 +108,14 @@ def likely(a: Column, b: Column, percent: int) -> Column:
 
 
 def _met(at: DataFrame) -> DataFrame:
-    """``v, node, n, pivot`` of documents that are not alone in their node."""
-    sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("pivot")).where("n > 1")
-    sizes = written(sizes, "node-sizes")
+    """``v, node`` (and ``comp``, if given) with ``n, pivot``: documents that aren't alone in their node.
+
+    With ``comp``, nodes all of whose documents are in one component end here.
+    """
+    known = "comp" in at.columns
+    apart = [F.min("comp").alias("c1"), F.max("comp").alias("c2")] if known else []
+    sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("pivot"), *apart).where("n > 1")
+    sizes = written(sizes.where("c1 <> c2").drop("c1", "c2") if known else sizes, "node-sizes")
     return written(join_groups(at, sizes, "node", "n", at.count()), "node-members")
 
 
@@ -131,25 +136,18 @@ def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _deeper(met: DataFrame, reps: DataFrame, comps: DataFrame, leaf: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Star pairs of all levels below the first, and ``v, node`` of leaves and of nodes left over.
-
-    Nodes all of whose documents are in one component end here.
-    """
+    """Star pairs of all levels below the first, and ``v, node`` of leaves and of nodes left over."""
+    met = _met(written(_with_comp(met.select("v", "node"), comps), "nodes"))
     stars, ends = [], []
     for level in range(1, depth + 1):
         large = F.col("n") > leaf
-        if level == depth:
-            ends.append(met.select("v", "node"))
-            break
-        ends.append(met.where(~large).select("v", "node"))
-        more = written(_with_comp(met.where(large).select("v", "node"), comps), "large-nodes")
-        mixed = more.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-        mixed = written(mixed.where("c1 <> c2").select("node", "n"), "large-mixed")
-        if mixed.isEmpty():
+        ends.append(met.where(~large | F.lit(level == depth)).select("v", "node"))
+        more = met.where(large)
+        if level == depth or more.isEmpty():
             break
-        more = join_groups(more, mixed, "node", "n", more.count()).join(reps.select("v", "sig"), "v")
-        at = more.select("v", F.explode(_branches(F.col("node"), F.col("sig"))).alias("node"))
-        met = _met(written(at.distinct(), "nodes"))
+        at = more.select("v", "node", "comp").join(reps.select("v", "sig"), "v")
+        at = at.select("v", F.explode(_branches(F.col("node"), F.col("sig"))).alias("node"), "comp")
+        met = _met(written(at, "nodes"))
         stars.append(_stars(met))
     return _union(stars or [_stars(met).limit(0)]).distinct(), _union(ends)
 
