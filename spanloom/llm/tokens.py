@@ -25,21 +25,32 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 _NUMBERS = "0-9²³¹¼½¾"
 _SAFE = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ‐-‧‰-⁞€]*")
 _CUT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^\t\n\r {_LETTERS}{_NUMBERS}]+")
-#: Pieces kept by a worker process: about 60 MB at most.
+#: Pieces in each of a worker process's two tables: about 60 MB each at most.
 KEPT_PIECES = 400_000
 
 
 class _Pieces(dict):
-    """Little-endian 32-bit ids by piece; a full table is emptied and filled anew."""
+    """Little-endian 32-bit ids by piece, in two tables: a full one becomes the older one.
+
+    An ASCII piece stands for itself in the byte alphabet, so the library's model
+    can merge it at once; others go through all of the library.
+    """
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.older = tokenizer, {}
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if piece.isascii():
+                found = [t.id for t in self.tokenizer.model.tokenize(piece)]
+            else:
+                found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            ids = np.array(found, dtype="<u4").tobytes()
         if len(self) >= KEPT_PIECES:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
