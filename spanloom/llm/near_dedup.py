@@ -45,7 +45,7 @@ from .shingles import bin_bytes, bit_planes, minwise, shingle_sets
 COORDS = 48
 BINS = 256
 TREES = 8
-LEAF = 512
+LEAF = 256
 DEPTH = 6
 SLACK = 9
 PAIRS_PER_SALT = 5_000
