@@ -23,9 +23,10 @@ shingle hashes is cut into ``BINS`` bins, of each of which a byte of the least
 hash is kept.  The share of equal bytes is off by 0.02 as a rule and must be
 within ``SLACK`` percent of the threshold, over four deviations; so about one in
 30,000 pairs at the very threshold is missed here, and fewer of those closer.
-All trees miss a pair at the
-threshold with a chance under ``0.25 ** TREES`` where its nodes are small, and
-below one in a thousand where they are large and mixed.
+All trees miss a pair at the threshold with a chance under ``0.25 ** TREES``
+where its nodes are small, and below one in ten thousand where they are large
+and mixed down to ``DEPTH`` (simulated; a level more loses more, as a pair must
+stay together on it).
 """
 
 from __future__ import annotations
@@ -42,9 +43,9 @@ from .common import fresh, join_groups, written
 from .components import components
 from .shingles import bin_bytes, bit_planes, minwise, shingle_sets
 
-COORDS = 48
+COORDS = 96
 BINS = 256
-TREES = 8
+TREES = 16
 LEAF = 256
 DEPTH = 6
 SLACK = 9

@@ -3,7 +3,9 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from spanloom.llm import near_dedup as op8
 from spanloom.llm import shingles
 from spanloom.llm.near_dedup import likely, near_dedup
 from spanloom.llm.shingles import minwise, shingle_sets
@@ -125,6 +127,37 @@ def test_one_large_group_of_near_copies_with_chains(spark):
     assert found(near_dedup(df, trees=14, leaf=10, depth=4)) == brute(rows)
 
 
+def test_pairs_at_the_threshold_stay_together_in_large_nodes(spark):
+    r, sets = np.random.RandomState(5), []
+    for _ in range(6000):
+        a = shingles.mix64(r.randint(0, 2**62, 160).astype(np.uint64))
+        sets += [np.sort(a[:140]), np.sort(a[20:])]  # 120 of 160 are common
+    sig = minwise(sets, op8.COORDS).view(np.int32).tolist()
+    df = spark.createDataFrame([(i, *sig[2 * i : 2 * i + 2]) for i in range(6000)], "v long, a array<int>, b array<int>")
+    roots = [op8._roots(df.select("v", F.col(c).alias("sig")), op8.TREES) for c in "ab"]
+    at = roots[0].intersect(roots[1])
+    for _ in range(op8.DEPTH - 1):  # no node ends as a leaf
+        both = [op8._branches(F.col("node"), F.col(c)) for c in "ab"]
+        at = at.join(df, "v").select("v", F.explode(F.array_intersect(*both)).alias("node"))
+    assert 6000 - at.select("v").distinct().count() <= 3
+
+
+def test_large_groups_with_the_defaults(spark):
+    r = random.Random(4)
+    rows, words = [], [[f"w{g}x{i}" for i in range(120)] for g in range(2)]
+    for i in range(700):  # in each group most pairs are near the threshold
+        copy = list(words[i % 2])
+        for _ in range(3):
+            copy[r.randrange(120)] = f"x{i}{r.random()}"
+        rows.append((i, " ".join(copy)))
+    now = list(words[0])
+    for i in range(40):
+        now[(i * 3) % 120] = f"y{i}"
+        rows.append((1000 + i, " ".join(now)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(near_dedup(df)) == brute(rows)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, "x"), (None, "x"), (None, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
