@@ -20,9 +20,10 @@
 
 A pair is confirmed on full sets only if it is likely by a sketch: the range of
 shingle hashes is cut into ``BINS`` bins, of each of which a byte of the least
-hash is kept.  The share of equal bytes is off by 0.02 as a rule and must be
-within ``SLACK`` percent of the threshold, over four deviations; so about one in
-30,000 pairs at the very threshold is missed here, and fewer of those closer.
+hash is kept.  The share of equal bytes is off by 0.027 where all bins are held,
+less in small sets, and must be within ``SLACK`` percent of the threshold, over
+five deviations; so about one in two million pairs at the very threshold is missed
+here, and fewer of those closer.
 All trees miss a pair at the threshold with a chance under ``0.25 ** TREES``
 where its nodes are small, and below one in ten thousand where they are large
 and mixed down to ``DEPTH`` (simulated; a level more loses more, as a pair must
@@ -48,7 +49,7 @@ BINS = 256
 TREES = 16
 LEAF = 256
 DEPTH = 6
-SLACK = 9
+SLACK = 14
 PAIRS_PER_SALT = 5_000
 
 
@@ -91,7 +92,7 @@ def likely(a: Column, b: Column, percent: int) -> Column:
     """Whether two sets may have that similarity, from the bit planes of their bytes by bin.
 
     Of the bins that either set has, those with equal bytes are as many as the
-    similarity says, with a deviation of about 0.02; ``SLACK`` is below by four.
+    similarity says, with a deviation of at most 0.027; ``SLACK`` is below by five.
     """
     words = BINS // 64
 

@@ -80,6 +80,16 @@ def test_sketches_tell_likely_pairs(spark):
     assert all(g.x for g in got if g.s >= 0.75) and not any(g.x for g in got if g.s < 0.5)
 
 
+def test_sketches_of_long_texts_leave_five_deviations(spark):
+    equal = int(op8.BINS * 0.75 - 5 * np.sqrt(op8.BINS * 0.75 * 0.25))
+    x = np.full((1, op8.BINS), 7, dtype=np.uint8)
+    y = x.copy()
+    y[0, equal:] = 9
+    a, b = (shingles.bit_planes(z)[0].tolist() for z in (x, y))
+    df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
+    assert df.select(likely(df["a"], df["b"], 75)).first()[0]
+
+
 def corpus(n, seed):
     r = random.Random(seed)
     word = lambda: f"w{r.randrange(5000)}"
