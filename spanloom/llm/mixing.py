@@ -10,18 +10,19 @@
    labelled rows used; there are at most ``BUCKETS`` weights.
 2. Totals.  Tokens of all documents are summed by signature, of which there are
    at most ``9 * domains``, whatever the input.
-3. Rates.  With tokens ``n_i`` and posterior ``p_i``, projected gradient finds
-   nonnegative rates ``x_i`` that minimise the squared distance of
-   ``sum(n_i * x_i * p_i)`` to the target totals, starting at 1.  It works in the
-   metric ``n_i``, in which documents alike in posterior keep alike rates:
-   ``x_i <- max(0, y_i - step * p_i . gradient)``, where ``y_i`` is ``x_i`` with
-   Nesterov's momentum.  Each round is an aggregate.
+3. Rates.  With tokens ``n_i`` and posterior ``p_i``, nonnegative rates ``x_i``
+   minimise the squared distance of ``sum(n_i * x_i * p_i)`` to the target totals,
+   and of all that do are nearest to 1 in the metric ``n_i``.  They have the form
+   ``x_i = max(0, 1 - m . p_i)`` with one number per domain in ``m``, which Newton's
+   method finds exactly.  Each step is an aggregate; there is no bound on steps.
+   Targets out of reach give a warning with what is left.
 4. A document is taken ``floor(rate)`` times, and once more if a hash of it,
    uniform on [0, 1), is under the fraction left.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +40,12 @@ LIFT = 4.0
 LEAST_SHARE = 0.02
 #: Sums of evidence from here on are level 2, smaller ones above 0 level 1.
 STRONG = 4.0
-MOST_ROUNDS = 150
+#: Totals may be off by so much of all tokens without a warning.
+TOLERANCE = 1e-4
+#: Weight of the multipliers' square in the dual: totals stay off by it times the multipliers.
+RIDGE = 1e-8
+#: The dual's slope at which the fit ends.
+SLOPE = 1e-8
 
 
 def tokens(text: Column) -> Column:
@@ -133,42 +139,56 @@ def fit(
     return made
 
 
-def rates(groups: DataFrame, target: list[float], tolerance: float = 1e-4, most: int = MOST_ROUNDS) -> DataFrame:
-    """``groups`` (``signature, n, p``) with ``rate``: nonnegative least squares by projected gradient.
+def rates(groups: DataFrame, target: list[float], floor: Column | None = None) -> DataFrame:
+    """``groups`` (``n, p`` and others) with ``rate``: least squares with rates of ``floor`` (default 0) at least.
 
-    ``target`` has token totals.  It ends when no total is off by over
-    ``tolerance`` of all tokens, or when 15 rounds improve the worst by under 1 %.
+    ``target`` has token totals.  Targets out of reach are met as nearly as can
+    be; if a total is off by over ``TOLERANCE`` of all tokens, a warning gives all.
+    """
+    floor = F.lit(0.0) if floor is None else floor
+    return groups.withColumn("rate", rate(multipliers(groups, target, floor), floor))
+
+
+def rate(at: list[float], floor: Column) -> Column:
+    """``max(floor, 1 - at . p)``."""
+    return F.greatest(floor, F.lit(1.0) - sum((F.lit(x) * F.col("p")[i] for i, x in enumerate(at)), F.lit(0.0)))
+
+
+def multipliers(groups: DataFrame, target: list[float], floor: Column) -> list[float]:
+    """The ``at`` whose ``rate`` has the totals ``target``, by Newton's method on the dual.
+
+    Of all rates these are nearest to 1 (in the metric ``n``).  It ends where the
+    dual's slope is 0 but for rounding; the dual is strictly concave, so there is one such place.
     """
     k = len(target)
-    at = lambda i: F.col("p")[i]
-    first = groups.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * at(i) * at(j)) for i in range(k) for j in range(k)]).first()
-    total = float(first["n"] or 0)
+    total = float(groups.agg(F.sum("n")).first()[0] or 0)
     if not total:
-        return groups.withColumn("rate", F.lit(1.0))
-    step = 1 / max(1e-9, float(np.linalg.eigvalsh(np.array(first[1:], dtype=float).reshape(k, k) / total).max()))
-    past: list[list[float]] = []
-    best = float("inf")
-    while True:
-        # The rates follow from the gradients so far, so no state is kept.
-        state = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
-        if past:
-            dot = lambda g: sum((g[i] * F.col("p")[i] for i in range(k)), F.lit(0.0))
-
-            def move(s: Column, g: Column) -> Column:
-                x = F.greatest(F.lit(0.0), s["y"] - step * dot(g))
-                return F.struct(x.alias("x"), (x + g[k] * (x - s["x"])).alias("y"))
-
-            state = F.aggregate(F.lit(past).cast("array<array<double>>"), state, move)
-        rated = groups.withColumn("state", state)
-        total_at = lambda c: [F.sum(F.col("n") * F.col(f"state.{c}") * at(i)) for i in range(k)]
-        got = [float(x) for x in rated.agg(*total_at("x"), *total_at("y")).first()]
-        off = [(x - t) / total for x, t in zip(got, [*target, *target], strict=True)]
-        now = max(map(abs, off[:k]))
-        if now <= tolerance or len(past) >= most or (len(past) % 15 == 14 and now > 0.99 * best):
-            return rated.withColumn("rate", F.col("state.x")).drop("state")
-        if len(past) % 15 == 14:
-            best = now
-        past.append([*off[k:], len(past) / (len(past) + 3)])
+        return [0.0] * k
+    goal = np.array(target, dtype=float) / total
+
+    def value(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The dual, its slope, minus its curvature, and how far each total is off."""
+        p = [F.col("p")[i] for i in range(k)]
+        x, dot = rate(at.tolist(), floor), sum((F.lit(float(v)) * q for v, q in zip(at, p, strict=True)), F.lit(0.0))
+        bent = F.when(1 - dot > floor, F.col("n")).otherwise(F.lit(0))
+        sums = [F.sum(F.col("n") * ((x - 1) * (x - 1) / 2 + x * dot)), *[F.sum(F.col("n") * x * q) for q in p]]
+        got = groups.agg(*sums, *[F.sum(bent * a * b) for a in p for b in p]).first()
+        got = np.array(got, dtype=float) / total
+        off = got[1 : k + 1] - goal
+        return got[0] - at @ goal - RIDGE / 2 * at @ at, off - RIDGE * at, got[k + 1 :].reshape(k, k) + RIDGE * np.eye(k), off
+
+    at = np.zeros(k)
+    now = value(at)
+    while np.abs(now[1]).max() > SLOPE:
+        move, part = np.linalg.solve(now[2], now[1]), 1.0
+        while (then := value(at + part * move))[0] < now[0] + 1e-4 * part * (now[1] @ move) and part > 1e-9:
+            part /= 2
+        if then[0] <= now[0] and np.abs(then[1]).max() >= np.abs(now[1]).max():
+            break  # rounding hides any gain
+        at, now = at + part * move, then
+    if np.abs(now[3]).max() > TOLERANCE:
+        warnings.warn(f"targets out of reach; totals are off by {now[3].round(6).tolist()} of all tokens", stacklevel=2)
+    return at.tolist()
 
 
 def mix(

@@ -1,4 +1,5 @@
 import random
+import warnings
 
 import numpy as np
 import pytest
@@ -58,6 +59,20 @@ def test_least_squares_equals_a_dense_solver(spark):
     assert (x >= 0).all() and (np.abs(slope[x > 1e-6]) < 0.02).all() and (slope > -0.02).all()
 
 
+def test_the_fit_ends_at_the_optimum_and_tells_what_is_left(spark):
+    # Nearly alike posteriors and a distant target: many rounds of any first-order method.
+    p = np.array([[0.60, 0.30, 0.10], [0.58, 0.30, 0.12], [0.60, 0.28, 0.12], [0.10, 0.10, 0.80]])
+    n = np.array([1000, 10, 10, 1000])
+    groups = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(4)], "signature int, n long, p array<double>")
+    target = (n * [0.9, 6.0, 4.0, 0.01]) @ p
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        x = np.array([g.rate for g in rates(groups, target.tolist()).orderBy("signature").collect()])
+    assert (x >= 0).all() and np.abs((n * x) @ p - target).max() / n.sum() <= 1e-4
+    with pytest.warns(UserWarning, match="out of reach"):
+        rates(groups, [0.0, 2020.0, 0.0])
+
+
 def test_nulls_repeats_no_labels_and_empty(spark):
     rows = [(1, None, 1), (2, "", 1), (None, "apple", 1), (3, "x " * 100_000, 1), (3, "x " * 100_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
