@@ -4,17 +4,18 @@
    share of each domain's documents that have it.  Tokens that are more
    frequent in one domain than in the rest beyond doubt (a z-score of ``Z``)
    and by a factor of ``LIFT`` are evidence for it, of weight log of the factor.
-   A document's signature is its domain of most evidence and the levels of the
-   two largest sums of evidence.  The posterior of the domains is looked up in
-   the table of labelled documents by signature.  ``fit_rows`` bounds the
-   labelled rows used; there are at most ``BUCKETS`` weights.
-2. Totals.  Tokens of all documents are summed by signature, of which there are
-   at most ``9 * domains``, whatever the input.
-3. Rates.  With tokens ``n_i`` and posterior ``p_i``, nonnegative rates ``x_i``
+   A document's posterior of the domains is a multinomial logistic regression,
+   fitted to the labelled documents, on its own sums of evidence (as they are, by
+   their logarithms and up to ``STRONG``).  ``fit_rows`` bounds the labelled rows
+   used; there are at most ``BUCKETS`` weights.
+2. Totals.  Tokens of all documents are summed by posterior.
+3. Rates.  With tokens ``n_i`` and posterior ``p_i``, rates ``x_i``
    minimise the squared distance of ``sum(n_i * x_i * p_i)`` to the target totals,
    and of all that do are nearest to 1 in the metric ``n_i``.  They have the form
-   ``x_i = max(0, 1 - m . p_i)`` with one number per domain in ``m``, which Newton's
+   ``x_i = max(f_i, 1 - m . p_i)`` with one number per domain in ``m``, which Newton's
    method finds exactly.  Each step is an aggregate; there is no bound on steps.
+   The floor ``f_i`` is 1 where a kept domain is likeliest, so that such a document
+   is never lost, and else 0.
    Targets out of reach give a warning with what is left.
 4. A document is taken ``floor(rate)`` times, and once more if a hash of it,
    uniform on [0, 1), is under the fraction left.
@@ -38,7 +39,7 @@ Z = 5.0
 LIFT = 4.0
 #: And be in this share of the domain's labelled documents, so that words of a few copied documents are none.
 LEAST_SHARE = 0.02
-#: Sums of evidence from here on are level 2, smaller ones above 0 level 1.
+#: The regression has each sum of evidence up to here as a term, too.
 STRONG = 4.0
 #: Totals may be off by so much of all tokens without a warning.
 TOLERANCE = 1e-4
@@ -65,33 +66,70 @@ def distinct_buckets(ts: Column) -> Column:
 
 @dataclass
 class Classifier:
-    """``weights``: ``bucket`` and a weight per domain (``w0`` ...); ``posterior`` by signature."""
+    """``weights``: ``bucket`` and a weight per domain (``w0`` ...); ``terms``: of the regression, by term and domain."""
 
     domains: list[str]
     weights: DataFrame
-    posterior: dict[int, list[float]]
+    terms: np.ndarray | None
     prior: list[float]
 
+    def posterior(self, s: Column) -> Column:
+        """Array of the domains' chances from the array of sums; the prior if nothing was labelled."""
+        k = len(self.domains)
+        if self.terms is None:
+            return F.lit(self.prior).cast("array<double>")
+        at = [F.get(s, F.lit(i)) for i in range(k)]
+        on = [F.lit(1.0), *at, *[F.log1p(x) for x in at], *[F.least(x, F.lit(STRONG)) for x in at]]
+        z = F.array(*[sum((F.lit(float(c)) * x for c, x in zip(self.terms[:, d], on, strict=True)), F.lit(0.0)) for d in range(k)])
+        e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+        return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+
     def signed(self, docs: DataFrame, text: str, row: str) -> DataFrame:
-        """``row, n_tokens, signature`` of every document."""
+        """``row, n_tokens, p`` of every document."""
         cut = docs.select(row, tokens(F.col(f"`{text}`")).alias("tokens"))
         rows = cut.select(
             row, F.size("tokens").cast("long").alias("n_tokens"), F.explode_outer(distinct_buckets(F.col("tokens"))).alias("bucket")
         )
         ws = [f"w{i}" for i in range(len(self.domains))]
         sums = rows.join(F.broadcast(self.weights), "bucket", "left").groupBy(row).agg(
-            F.max("n_tokens").alias("n_tokens"), F.array(*[F.coalesce(F.sum(w), F.lit(0.0)) for w in ws]).alias("s")
+            F.max("n_tokens").alias("n_tokens"), F.array(*[_sum(w) for w in ws]).alias("s")
         )
-        return sums.select(row, "n_tokens", signature(F.col("s")).alias("signature"))
-
-
-def signature(s: Column) -> Column:
-    """``9 * (domain of most evidence) + 3 * (its level) + (level of the second)``."""
-    level = lambda x: F.when(x >= STRONG, 2).when(x > 0, 1).otherwise(0)
-    ordered = F.sort_array(s, asc=False)
-    top = F.array_position(s, F.element_at(ordered, 1)) - 1
-    second = F.coalesce(F.get(ordered, F.lit(1)), F.lit(0.0))
-    return (9 * top + 3 * level(F.element_at(ordered, 1)) + level(second)).cast("int")
+        return sums.select(row, "n_tokens", self.posterior(F.col("s")).alias("p"))
+
+
+def _sum(w: str) -> Column:
+    """Rounded, so that the order of rows doesn't show."""
+    return F.round(F.coalesce(F.sum(w), F.lit(0.0)), 9)
+
+
+def regression(s: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Multinomial logistic regression with ridge 1 by damped Newton steps; ``own`` has 1 at each row's domain."""
+    x = np.hstack([np.ones((len(s), 1)), s, np.log1p(s), np.minimum(s, STRONG)])
+    d, k = x.shape[1], own.shape[1]
+
+    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x @ w
+        z -= z.max(axis=1, keepdims=True)
+        log_p = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return float(-(own * log_p).sum() + (w * w).sum() / 2), np.exp(log_p)
+
+    w = np.zeros((d, k))
+    now, p = value(w)
+    while True:
+        slope = x.T @ (p - own) + w
+        bend = np.eye(d * k).reshape(d, k, d, k)
+        for a in range(k):
+            for b in range(k):
+                bend[:, a, :, b] += (x * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x
+        move, part = np.linalg.solve(bend.reshape(d * k, d * k), slope.ravel()).reshape(d, k), 1.0
+        gain = float((move * slope).sum())
+        if gain < 1e-9:
+            return w
+        while (then := value(w - part * move))[0] > now - 1e-4 * part * gain:
+            part /= 2
+            if part < 1e-9:
+                return w
+        w, (now, p) = w - part * move, then
 
 
 def fit(
@@ -126,16 +164,15 @@ def fit(
             w = F.lit(0.0)
         weights.append(F.greatest(w, F.lit(0.0)).alias(f"w{i}"))
     weights = counts.select("bucket", *weights).where(" or ".join(f"w{i} > 0" for i in range(len(domains))))
-    made = Classifier(domains, written(weights, "evidence"), {}, [(n.get(d, 0) + 1) / (total + len(domains)) for d in domains])
+    made = Classifier(domains, written(weights, "evidence"), None, [(n.get(d, 0) + 1) / (total + len(domains)) for d in domains])
     rows = known.withColumn("row", F.monotonically_increasing_id()).select("row", "domain", F.explode_outer("buckets").alias("bucket"))
-    ws = [F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) for i in range(len(domains))]
-    signed = rows.join(F.broadcast(made.weights), "bucket", "left").groupBy("row", "domain").agg(signature(F.array(*ws)).alias("s"))
-    seen: dict[int, dict[str, int]] = {}
-    for r in signed.groupBy("s", "domain").count().collect():
-        seen.setdefault(r["s"], {})[r["domain"]] = r["count"]
-    for s, by in seen.items():
-        # The prior counts as one document.
-        made.posterior[s] = [(by.get(d, 0) + p) / (sum(by.values()) + 1) for d, p in zip(domains, made.prior, strict=True)]
+    sums = rows.join(F.broadcast(made.weights), "bucket", "left").groupBy("row", "domain").agg(
+        *[_sum(f"w{i}").alias(f"s{i}") for i in range(len(domains))]
+    )
+    seen = sums.drop("row").collect()  # about ``fit_rows`` at most
+    if seen:
+        s = np.array([r[1:] for r in seen], dtype=float)
+        made.terms = regression(s, np.array([[float(r["domain"] == d) for d in domains] for r in seen]))
     return made
 
 
@@ -207,7 +244,8 @@ def mix(
     ``labels`` has ``doc_id, domain``; ``targets`` has weights by domain, which
     are divided by their sum.  The mixture has as many tokens as the input has,
     or, if that is more, as are needed so that no domain in ``keep`` shrinks
-    (with 1 % to spare).  Added: ``n_tokens`` long, ``p`` array of double (as
+    (with 1 % to spare).  A document whose likeliest domain is in ``keep`` is taken
+    once at least, even where that puts the targets out of reach.  Added: ``n_tokens`` long, ``p`` array of double (as
     ``targets`` is ordered), ``domain`` (the likeliest), ``rate`` double and
     ``copies`` long; input columns of those names are replaced.  With
     ``with_columns=False`` of the input only the id is returned, as ``doc_id``,
@@ -224,20 +262,17 @@ def mix(
         docs = written(docs, "documents")
     domains = list(targets)
     model = fit(docs, labels, domains, text, doc_id, fit_rows)
-    row, name, chance = (fresh([*docs.columns, *added, "signature", "s"], c) for c in ("row", "name", "chance"))
+    row, name, chance = (fresh([*docs.columns, *added, "s"], c) for c in ("row", "name", "chance"))
     docs = docs.withColumn(row, F.monotonically_increasing_id())
-    signed = written(model.signed(docs, text, row), "signatures")
-    table = F.create_map(*[x for s, p in sorted(model.posterior.items()) for x in (F.lit(s), F.lit(p).cast("array<double>"))]) if model.posterior else F.lit(None).cast("map<int,array<double>>")
-    posterior = F.coalesce(F.try_element_at(table, F.col("signature")), F.lit(model.prior).cast("array<double>"))
-    groups = signed.groupBy("signature").agg(F.sum("n_tokens").alias("n")).withColumn("p", posterior)
-    groups = written(groups, "signature-groups")  # at most 9 rows per domain
+    signed = written(model.signed(docs, text, row), "posteriors")
+    groups = written(signed.groupBy("p").agg(F.sum("n_tokens").alias("n")), "posterior-groups")
     own = groups.agg(*[F.coalesce(F.sum(F.col("n") * F.col("p")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
     weight = {d: w / sum(targets.values()) for d, w in targets.items()}
     budget = max([sum(own), *[1.01 * x / weight[d] for d, x in zip(domains, own, strict=True) if d in keep]])
-    rated = rates(groups, [weight[d] * budget for d in domains])
-    rated = written(rated.select("signature", "p", "rate"), "rates")
     likeliest = F.lit(domains)[F.array_position("p", F.array_max("p")).cast("int") - 1]
-    got = signed.join(F.broadcast(rated), "signature").withColumn("domain", likeliest)
+    floor = F.when(likeliest.isin(*keep), F.lit(1.0)).otherwise(F.lit(0.0))
+    at = multipliers(groups, [weight[d] * budget for d in domains], floor)
+    got = signed.withColumn("rate", rate(at, floor)).withColumn("domain", likeliest)
     if with_columns:
         base, shown = docs, [F.col(f"`{c}`") for c in docs.columns if c != row]
     else:

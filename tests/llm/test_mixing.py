@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from spanloom.llm.mixing import fit, mix, rates, taken
+from spanloom.llm.queries import MIX_KEEP, op2_mixing
 
 DOMAINS = ["a", "b", "c"]
 
@@ -73,6 +74,13 @@ def test_the_fit_ends_at_the_optimum_and_tells_what_is_left(spark):
         rates(groups, [0.0, 2020.0, 0.0])
 
 
+def test_no_clean_document_is_lost_and_posteriors_are_of_documents(spark):
+    got = op2_mixing(spark, "/root/testdata/sf0.01").collect()
+    clean = [r for r in got if r.domain in MIX_KEEP]
+    assert len(clean) > 800 and all(r.rate >= 1 and r.copies >= 1 for r in clean)
+    assert len({(r.p_good, r.p_plain, r.p_toxic) for r in got}) > 27
+
+
 def test_nulls_repeats_no_labels_and_empty(spark):
     rows = [(1, None, 1), (2, "", 1), (None, "apple", 1), (3, "x " * 100_000, 1), (3, "x " * 100_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
