@@ -3,7 +3,9 @@
 A text's words are grouped to sentences: a sentence ends with a word after
 whose last letter or digit there is one of ``. ! ? ; : ,``, or at a line's end,
 so clauses count as sentences and a passage set into another sentence loses
-little.  At every sentence starts one span: the least run of consecutive
+little.  Marks of other scripts (such as the full stops of Chinese, Japanese,
+Hindi or Arabic) end no sentence, and text without spaces has few words, so
+passages repeated within paragraphs of such scripts aren't found.  At every sentence starts one span: the least run of consecutive
 sentences that has ``LEAST_SENTENCES`` of them and ``LEAST_WORDS`` words.  Spans
 are compared by a 128-bit hash of their words, A-Z lower-cased, white space
 aside.
