@@ -1,15 +1,19 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page is cut into blocks: runs of text not interrupted by a block tag or a
-line break.  Each block has the path of block tags, with class and id, from the
-root.  Per path, text length and punctuation are summed and divided by the
-number of blocks.  Both ratios are smoothed along the page, fused by product,
-and averaged back over each path; paths that reach a share of the best are
-content paths.  Their common ancestor is the container, all of whose blocks are
-content, headings and short lines included, except those below a tag, role,
-class or id of page furniture, and, outside ``article`` and ``main``, paths
-made up of links.  Where a page has an ``article`` or ``main``, only blocks in
-it compete.
+line break.  Each block has the path of block tags, with classes, from the root.
+Per path, text length and punctuation are summed and divided by the number of
+blocks.  Both ratios are smoothed along the page and fused by product, with three
+weights: the path's share of the page's text, the share of it outside links, and
+``FURNITURE`` for paths through tags, roles, classes or ids of page furniture.  The mean per path is its score;
+paths that reach ``SHARE`` of the best are content.  Their common ancestor is the
+container: blocks in it are the text, headings and short lines included, but for
+paths of furniture, or, outside ``article`` and ``main``, made up of links, that
+aren't content paths.
+
+Reading takes time and memory in proportion to the page whatever its markup: paths
+are numbers in a tree, open tags are found by their last places, and what never
+ends is looked for once.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 #: Paths that reach this share of the best fused ratio are content.
-SHARE = 0.1
+SHARE = 0.15
 #: Outside an article, paths with more of their text in links are furniture.
 LINKS = 0.5
 #: So are single blocks beyond this.
 LINK_ONLY = 0.9
+#: Weight of a path of furniture.
+FURNITURE = 1e-4
 
 # Names from the HTML standard and words common in class names.
 _RAW = "script style title noscript template textarea iframe svg math object canvas select".split()
@@ -58,155 +64,233 @@ _CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|</?[a-zA-Z][^<>]*\Z"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+#: Tags that hold a line or a paragraph, not other parts.
+_LEAVES = set("p li dt dd td th h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption summary".split())
+
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_TAG_END = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 _SPLIT_NAME = re.compile(r"[^a-z0-9]+")
 
 
-class _Element:
-    __slots__ = ("article", "furniture", "name", "path", "tag")
-
-    def __init__(self, tag: str, attrs: str, parent: _Element | None) -> None:
-        got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs.strip(" /") else {}
-        label = f"{got.get('class', '')} {got.get('id', '')}".lower()
-        self.tag = tag
-        self.name = f"{tag}.{' '.join(label.split())}" if label.strip() else tag
-        self.path = f"{parent.path}/{self.name}" if parent else f"/{self.name}"
-        inside = bool(parent and parent.article)
-        self.article = inside or tag in ("article", "main") or got.get("role") in ("main", "article")
-        words = set(_SPLIT_NAME.split(label))
-        self.furniture = bool(
-            (parent and parent.furniture)
+class _Path:
+    """A path of block tags: its number, the one above, and what holds for all its elements."""
+
+    __slots__ = ("article", "elements", "furniture", "inner", "number", "tag", "under", "up")
+
+    def __init__(self, tag: str, up: _Path | None, number: int, article: bool, furniture: bool) -> None:
+        self.tag, self.up, self.number, self.article, self.furniture = tag, up, number, article, furniture
+        self.elements, self.inner = 0, False
+        self.under: dict[tuple, _Path] = {}
+
+
+class _Page:
+    """The open elements of a page while it is read, and the tree of their paths."""
+
+    def __init__(self) -> None:
+        self.root = _Path("", None, 0, False, False)
+        self.paths = [self.root]
+        self.open: list[_Path] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    @property
+    def at(self) -> _Path:
+        return self.open[-1] if self.open else self.root
+
+    def enter(self, tag: str, attrs: str, push: bool) -> None:
+        """A new element; only what ``push`` says stays open."""
+        up, got = self.at, {}
+        if attrs.strip(" /"):
+            got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
+        kind = " ".join(got.get("class", "").lower().split())
+        words = set(_SPLIT_NAME.split(f"{kind} {got.get('id', '').lower()}"))
+        whole = tag in ("html", "body", "article", "main")
+        furniture = bool(
+            up.furniture
             or tag in _FURNITURE
             or got.get("role") in _ROLES
             or "hidden" in got
             or got.get("aria-hidden") == "true"
-            or (tag not in ("html", "body", "article", "main") or "comment" in words) and words & _WORDS
-            or (not inside and (tag == "header" or tag not in ("html", "body", "article", "main") and words & _PAGE_WORDS))
+            or (not whole or "comment" in words) and words & _WORDS
+            or (not up.article and (tag == "header" or not whole and words & _PAGE_WORDS))
         )
+        article = up.article or tag in ("article", "main") or got.get("role") in ("main", "article")
+        key = (tag, kind, article, furniture)
+        path = up.under.get(key)
+        if path is None:
+            path = up.under[key] = _Path(tag, up, len(self.paths), article, furniture)
+            self.paths.append(path)
+            up.inner = True
+        path.elements += 1
+        if push:
+            self.places[tag].append(len(self.open))
+            self.open.append(path)
+
+    def close(self, tags: set[str], stop: set[str]) -> None:
+        """Ends the last open element of ``tags``, with all in it, unless one of ``stop`` is in between."""
+        last = lambda names: max((self.places[t][-1] for t in names if self.places.get(t)), default=-1)
+        at = last(tags)
+        if at < 0 or at < last(stop):
+            return
+        for path in self.open[at:]:
+            self.places[path.tag].pop()
+        del self.open[at:]
 
 
-def blocks(html: str) -> list[tuple[_Element | None, str, float]]:
-    """Each block's innermost block element, text, and share of the text in links."""
-    out: list[tuple[_Element | None, str, float]] = []
-    stack: list[_Element] = []
-    parts: list[str] = []
+def blocks(html: str) -> tuple[list[tuple[_Path, str, float]], list[_Path]]:
+    """Each block's path, text, and share of the text in links; and all paths, parents first."""
+    out: list[tuple[_Path, str, float]] = []
+    page, parts = _Page(), []
     linked, in_link, at, n = 0, False, 0, len(html)
+    missing: set[str] = set()
 
     def flush() -> None:
         nonlocal linked, in_link
         if parts and (text := " ".join(unescape("".join(parts)).split())):
-            out.append((stack[-1] if stack else None, text, min(1.0, linked / len(text))))
+            out.append((page.at, text, min(1.0, linked / len(text))))
         parts.clear()
         linked, in_link = 0, False
 
-    def pop_to(tags: set[str], stop: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in stop:
-                return
+    def after(mark: str, start: int) -> int:
+        """The place after ``mark``, or the end; a mark that was missing once isn't looked for again."""
+        found = -1 if mark in missing else html.find(mark, start)
+        if found < 0:
+            missing.add(mark)
+            return n
+        return found + len(mark)
+
+    def tag_end(start: int) -> int:
+        """The place of the tag's ``>``, which isn't in a quoted value; -1 if there is none."""
+        while m := _TAG_END.search(html, start):
+            if not m[1]:
+                return m.start()
+            close = after(m[1], m.end())
+            start = m.end() if m[1] in missing else close
+        return -1
+
+    def raw_end(tag: str) -> int:
+        """The place after the end tag of a raw element; -1 if there is none."""
+        mark = f"</{tag}"
+        if mark in missing:
+            return -1
+        stop = re.compile(rf"{mark}\b[^>]*>", re.I).search(html, at)
+        if not stop:
+            missing.add(mark)
+            return -1
+        return stop.end()
 
     while at < n:
-        m = _TOKEN.search(html, at)
-        end = m.start() if m else n
+        end = html.find("<", at)
+        end = n if end < 0 else end
+        name = _NAME.match(html, end + 1)
+        if not name and html[end + 1 : end + 2] not in ("!", "?"):
+            end = min(n, end + 1)  # a plain sign
         if end > at:
             parts.append(html[at:end])
             linked += (end - at) * in_link
-        if not m:
-            break
-        at = m.end()
-        if not (tag := m["tag"]):
+        at = end
+        if not name:
+            if html.startswith("<!--", at):
+                at = after("-->", at + 4)
+            elif html.startswith("<![CDATA[", at):
+                at = after("]]>", at)
+            elif html.startswith(("<!", "<?"), at):
+                at = after(">", at)
             continue
-        tag = tag.lower()
+        stop = tag_end(name.end())
+        if stop < 0:  # an unfinished tag takes what is left
+            break
+        tag, closes, attrs = name[1].lower(), html[at + 1] == "/", html[name.end() : stop]
+        at = stop + 1
         if tag in _INLINE:
             if tag == "a":
-                in_link = not m["close"]
+                in_link = not closes
             continue
         if tag in _RAW:
-            if not m["close"] and not m["attrs"].endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            if not closes and not attrs.endswith("/"):
+                stop = raw_end(tag)
                 # Without an end tag only what can't show text runs to the end.
-                at = stop.end() if stop else n if tag in ("script", "style", "title", "textarea") else at
+                at = stop if stop >= 0 else n if tag in ("script", "style", "title", "textarea") else at
             if tag in ("textarea", "select", "iframe", "object", "canvas"):
                 flush()
             continue
         flush()
         if tag in _VOID:
             continue
-        if m["close"]:
-            pop_to({tag}, {"article", "main", "body"} if tag in ("p", "li", "td", "tr", "div", "section") else set())
+        if closes:
+            page.close({tag}, {"article", "main", "body"} if tag in ("p", "li", "td", "tr", "div", "section") else set())
             continue
         if tag in _CLOSES_P:
-            pop_to({"p"}, {"div", "td", "th", "article", "section", "li", "body", "main", "button"})
+            page.close({"p"}, {"div", "td", "th", "article", "section", "li", "body", "main", "button"})
         if tag in _CLOSES:
-            pop_to(*_CLOSES[tag])
+            page.close(*_CLOSES[tag])
         if tag == "body":
-            pop_to({"head"}, set())
-        element = _Element(tag, m["attrs"], stack[-1] if stack else None)
-        if not m["attrs"].endswith("/"):
-            stack.append(element)
+            page.close({"head"}, set())
+        page.enter(tag, attrs, not attrs.endswith("/"))
     flush()
-    return out
+    return out, page.paths
 
 
 def _smooth(x: list[float]) -> list[float]:
-    """Each value with its neighbours by weights 1, 2, 1."""
+    """Each value with its neighbours by weights 1, 4, 1."""
     n = len(x)
-    return [(x[max(i - 1, 0)] + 2 * x[i] + x[min(i + 1, n - 1)]) / 4 for i in range(n)]
+    return [(x[max(i - 1, 0)] + 4 * x[i] + x[min(i + 1, n - 1)]) / 6 for i in range(n)]
+
+
+def path_scores(found: list[tuple[_Path, str, float]]) -> dict[int, float]:
+    """Of each path with blocks the mean of its blocks' smoothed and fused ratios, by number."""
+    length, marks, count, linked = (defaultdict(float) for _ in range(4))
+    for p, text, in_links in found:
+        length[p.number] += len(text)
+        marks[p.number] += len(_PUNCTUATION.findall(text))
+        count[p.number] += 1
+        linked[p.number] += len(text) * in_links
+    text_ratio = _smooth([length[p.number] / count[p.number] for p, _, _ in found])
+    mark_ratio = _smooth([(marks[p.number] + 1) / count[p.number] for p, _, _ in found])
+    whole = sum(length.values())
+    out: dict[int, float] = defaultdict(float)
+    for (p, _, _), a, b in zip(found, text_ratio, mark_ratio, strict=True):
+        weight = (FURNITURE if p.furniture else 1) * (1.001 - linked[p.number] / length[p.number]) * length[p.number] / whole
+        out[p.number] += a * b * weight / count[p.number]
+    return out
 
 
 def main_text(html: str | None, share: float = SHARE, links: float = LINKS) -> str:
-    """The main text of a page; empty for null, empty and textless pages."""
-    found = [b for b in blocks(html or "") if not (b[0] and b[0].furniture)]
-    if any(e and e.article for e, _, _ in found):
-        found = [b for b in found if b[0] and b[0].article]
-    else:
-        found = [b for b in found if b[2] <= LINK_ONLY] or found
-    if not found:
+    """The main text of a page; empty for null, empty and textless pages, and those of furniture alone."""
+    found, paths = blocks(html or "")
+    found = [b for b in found if b[0].article or b[2] <= LINK_ONLY] or found
+    if all(p.furniture for p, _, _ in found):
         return ""
-    length, marks, count, linked = (defaultdict(float) for _ in range(4))
-    paths = [e.path if e else "" for e, _, _ in found]
-    for p, (_, text, in_links) in zip(paths, found, strict=True):
-        length[p] += len(text)
-        marks[p] += len(_PUNCTUATION.findall(text))
-        count[p] += 1
-        linked[p] += len(text) * in_links
-    text_ratio = _smooth([length[p] / count[p] for p in paths])
-    mark_ratio = _smooth([(marks[p] + 1) / count[p] for p in paths])
-    fused: dict[str, float] = defaultdict(float)
-    for p, a, b in zip(paths, text_ratio, mark_ratio, strict=True):
-        fused[p] += a * b / count[p]
-    in_article = found[0][0] is not None and found[0][0].article
-    open_ = [p for p in fused if in_article or linked[p] <= links * length[p]] or list(fused)
-    best = max(fused[p] for p in open_)
-    content = [p.split("/") for p in open_ if fused[p] >= share * best]
-    container: list[str] = []
-    for step in zip(*content, strict=False):
-        if len(set(step)) > 1:
-            break
-        container.append(step[0])
-    # A leaf's own tag holds no headings: its parent is the container.
-    if len(content) == 1 and len(container) > 1:
-        container = container[:-1]
-    prefix, kept = "/".join(container), set(open_)
-    return " ".join(t for p, (_, t, _) in zip(paths, found, strict=True) if p in kept and (p == prefix or p.startswith(f"{prefix}/")))
+    scores = path_scores(found)
+    best = max(scores.values())
+    content = {k for k, x in scores.items() if x >= share * best}
+    # The content paths' common ancestor: the deepest path that has all of them in it.
+    within = [int(p.number in content) for p in paths]
+    for p in reversed(paths[1:]):
+        within[p.up.number] += within[p.number]
+    container = max((p for p in paths if within[p.number] == len(content)), key=lambda p: p.number)
+    # A line or one of several like parts has no heading in it: what is around it is the container.
+    if container.up and not container.inner and (container.tag in _LEAVES or container.elements > 1):
+        container = container.up
+    inside, own, linked = [False] * len(paths), defaultdict(float), defaultdict(float)
+    for p in paths:
+        inside[p.number] = p is container or bool(p.up and inside[p.up.number])
+    for p, text, in_links in found:
+        own[p.number] += len(text)
+        linked[p.number] += len(text) * in_links
+    plain = lambda p: not p.furniture and (p.article or linked[p.number] <= links * own[p.number])
+    return " ".join(t for p, t, _ in found if inside[p.number] and (p.number in content or plain(p)))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """All rows and columns of ``pages`` but ``html``, with ``text`` and ``n_chars`` (code points).
 
     Null and empty pages, and pages without main text, have an empty text.
-    Broken markup is read as far as it goes.  Each page is read whole and on
-    its own; repeated rows stay; an empty table stays empty; input columns
-    named as the added ones are replaced.
+    Broken markup is read as far as it goes: an unfinished tag takes the rest.
+    Each page is read whole and on its own, in time and memory in proportion to
+    its length, however deep it nests; repeated rows stay; an empty table stays
+    empty; input columns named as the added ones are replaced.
     """
 
     @F.pandas_udf("string")

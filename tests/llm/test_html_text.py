@@ -1,9 +1,13 @@
 import re
+import time
+import tracemalloc
 from html import unescape
 
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from spanloom.llm import html_text
 from spanloom.llm.html_text import extract, main_text
 
 
@@ -75,3 +79,50 @@ def test_null_pages_extra_columns_and_empty_table(spark):
 
 def test_very_long_page():
     assert len(main_text("<article>" + "<p>some words, here. " * 50_000)) == 50_000 * 18 - 1
+
+
+BOXES = (
+    '<div class="a1"><div class="r"><a href="/">Home</a></div><div class="r"><a href="/x">Topics</a></div></div>'
+    f'<div class="b7">{STORY}</div><div class="c3"><p class="x">Read on.</p><p class="x">Our shop</p></div><div class="d9">2024 Site</div>'
+)
+
+
+def test_ratios_find_the_text_on_pages_without_telling_names():
+    assert main_text(page(BOXES)) == WANT
+    assert main_text(page(BOXES.replace("<div", "<section").replace("</div", "</section"))) == WANT
+    assert "shop" in main_text(page(BOXES), share=0)
+
+
+def test_ratios_decide(monkeypatch):
+    """With the ratios dealt the other way round, or without the threshold, other text comes out."""
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    want = [main_text(p) for p in pages]
+    assert want == [article(p) for p in pages]
+    assert sum(main_text(p, share=0) != w for p, w in zip(pages, want, strict=True)) > 0.9 * len(pages)
+    for names in ("_FURNITURE", "_ROLES", "_WORDS", "_PAGE_WORDS"):
+        monkeypatch.setattr(html_text, names, set())
+    plain = [main_text(p) for p in pages]  # no name helps
+    assert sum(a == w for a, w in zip(plain, want, strict=True)) > 0.8 * len(pages)
+    monkeypatch.undo()
+    scores = html_text.path_scores
+    monkeypatch.setattr(html_text, "path_scores", lambda found: {k: 1 / x for k, x in scores(found).items()})
+    assert sum(main_text(p) != w for p, w in zip(pages, want, strict=True)) > 0.9 * len(pages)
+    assert main_text(page(BOXES)) != WANT
+
+
+def test_reading_is_linear_whatever_the_markup():
+    parts = ["<a \"", "<div>", "<noscript>", "<a b='", "<ul><li>", "<p>x</div>", "<!-- ", "<svg>", "<x = \"", "&amp;<", "</p>", "<a b=\"x> "]
+    for part in parts:
+        took = []
+        for n in (4_000, 40_000):
+            began = time.perf_counter()
+            main_text(part * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 30 * max(took[0], 0.01), (part, took)
+
+
+def test_deep_pages_take_little_memory():
+    tracemalloc.start()
+    assert main_text("<div>" * 80_000 + "deep, deep text.") == "deep, deep text."
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
