@@ -121,7 +121,8 @@ def write_ids(
     under that name; no special tokens are added, but ``end_id``, if given, is
     appended to each document.  Null texts count as empty, null ids come first,
     documents of equal id stand side by side.  An empty table gives an empty
-    file set.  ``shards`` is the number of range partitions, by default that of
+    file set.  A very long text is encoded whole; a task holds the ids of one chunk
+    and of one document more.  ``shards`` is the number of range partitions, by default that of
     Spark's shuffles.
     """
     end = b"" if end_id is None else struct.pack("<I", end_id)

@@ -25,6 +25,7 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 _NUMBERS = "0-9²³¹¼½¾"
 _SAFE = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ‐-‧‰-⁞€]*")
 _CUT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^\t\n\r {_LETTERS}{_NUMBERS}]+")
+_SURROGATE = re.compile("[\ud800-\udfff]")
 #: Pieces in each of a worker process's two tables: about 60 MB each at most.
 KEPT_PIECES = 400_000
 
@@ -71,7 +72,10 @@ class Encoder:
         self.short = _cuts_pieces(spec)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty.
+
+        A lone surrogate, which no column of strings can hold, counts as U+FFFD.
+        """
         out: list[bytes | None] = [None] * len(texts)
         rest = []
         for i, t in enumerate(texts):
@@ -82,7 +86,8 @@ class Encoder:
             else:
                 rest.append(i)
         for i in rest:  # one by one, so a batch of long texts isn't held as objects at once
-            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
+            whole = texts[i].encode("utf-16", "surrogatepass").decode("utf-16", "replace") if _SURROGATE.search(texts[i]) else texts[i]
+            ids = self.tokenizer.encode(whole, add_special_tokens=False).ids
             out[i] = np.array(ids, dtype="<u4").tobytes()
         return out
 
