@@ -33,18 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def written(df: DataFrame, hint: str) -> DataFrame:
+def written(df: DataFrame, hint: str, scratch: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     This cuts lineage, fixes row ids, and survives lost executors, as each
-    task's file is committed by Spark.
+    task's file is committed by Spark.  ``scratch`` gets the path, for ``drop``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{hint}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes tables that ``written`` made, once nothing will read them."""
+    while scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(taken: Sequence[str], name: str) -> str:
     """``name``, lengthened until no column of ``taken`` has it in any case."""
     low = {c.lower() for c in taken}

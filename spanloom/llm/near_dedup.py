@@ -1,38 +1,36 @@
 """Near duplicates by a chosen-path set similarity join.
 
-1. Every whole text becomes its set of five-word shingles and ``COORDS``
-   minwise tokens (least values under as many hashes).  Documents of equal sets
-   are one vertex from here on.
-2. Trees.  In each of ``TREES`` independent trees a node picks, by a hash of its
-   path, one of the coordinates, and every second node another one, and
-   branches its documents by their minwise tokens there.  A pair at the
-   threshold of 3/4 is so expected to stay together along 9/8 paths a level.
-   Nodes of one document end; those of at most ``LEAF`` are leaves; larger ones
-   branch again, to ``DEPTH`` at most.
-3. At every node, of any size, each document is paired with the node's least
-   document.  These pairs are confirmed on full sets and joined to components,
-   those of the first level before there is a second: a node all of whose
-   documents are in one component by then needs no branches.
-4. Then each leaf, and each node left at ``DEPTH``, is compared exhaustively but
-   for pairs that are in one component already: such a link changes nothing.
-   Of a node's largest component only members facing outsiders are paired, so
-   a large group of near copies costs in proportion to its outsiders.
-
-A pair is confirmed on full sets only if it is likely by a sketch: the range of
-shingle hashes is cut into ``BINS`` bins, of each of which a byte of the least
-hash is kept.  The share of equal bytes is off by 0.027 where all bins are held,
-less in small sets, and must be within ``SLACK`` percent of the threshold, over
-five deviations; so about one in two million pairs at the very threshold is missed
-here, and fewer of those closer.
-All trees miss a pair at the threshold with a chance under ``0.25 ** TREES``
-where its nodes are small, and below one in ten thousand where they are large
-and mixed down to ``DEPTH`` (simulated; a level more loses more, as a pair must
-stay together on it).
+1. Every whole text becomes its set of five-word shingles, ``COORDS`` minwise
+   tokens (least values under as many hashes) and an odd sketch.  Documents of
+   equal sets are one vertex from here on.
+2. Trees.  The root of each of ``TREES`` independent trees branches documents by
+   their minwise token at a coordinate of its own; a node below picks by a hash of
+   its path a coordinate, and every second node another one.  A pair at the
+   threshold of 3/4 so stays together along 9/8 paths a level.  Nodes of one
+   document end, and of nodes with the same documents one is kept.
+3. Nodes of at most ``BLOCK`` documents are compared exhaustively, larger ones of
+   the first level in random parts of that size.  Likely pairs are confirmed on
+   full sets, and links join documents to components.
+4. Larger nodes whose documents are in several components by then are compared
+   exhaustively, too, by pairs of blocks, so that no task needs more than two
+   blocks of a node at once; but those of over ``LEAF`` documents branch on first,
+   to ``DEPTH`` at most.  Only pairs of different components count: other links
+   change nothing.
+
+Comparison within a node is by odd sketches (see ``node_pairs``), which give few
+pairs besides the links, so only about as many pairs as documents are confirmed.
+Of links beyond doubt by the sketch a spanning forest is confirmed; if ever one of
+its pairs is no link, the comparison is repeated without that shortcut.
+
+Nodes of at most ``LEAF`` documents are compared in the first ``SMALL_TREES`` trees
+alone: where a pair's nodes are small, these miss it at the threshold with a chance of
+``0.25 ** SMALL_TREES``, one in 17 million.  Where its nodes are larger, and mixed,
+down to ``DEPTH``, all trees miss 1 pair in 20,000 (simulated on 40,000).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -40,21 +38,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_groups, written
+from .common import drop, fresh, join_groups, written
 from .components import components
-from .shingles import bin_bytes, bit_planes, minwise, shingle_sets
+from .node_pairs import node_pairs
+from .shingles import minwise, odd_sketches, shingle_sets
 
 COORDS = 96
-BINS = 256
-TREES = 16
-LEAF = 256
+TREES = 24
+SMALL_TREES = 12
+BLOCK = 2048
+LEAF = 4 * BLOCK
 DEPTH = 6
-SLACK = 14
 PAIRS_PER_SALT = 5_000
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, n_shingles, set_id, sig, fine`` from ``row, doc_id, text``; the last three are null for empty sets."""
+    """``row, doc_id, n_shingles, set_id, sig, sketch`` from ``row, doc_id, text``; the last three are null for empty sets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -64,7 +63,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 sets = shingle_sets(part.column(2).to_pylist())
                 sig = iter(minwise(sets, COORDS).view(np.int32))
-                fine = iter(bit_planes(bin_bytes(sets, BINS)))
+                sketch = iter(odd_sketches(sets))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -72,12 +71,17 @@ def signed(docs: DataFrame) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([next(sig) if len(s) else None for s in sets], pa.list_(pa.int32())),
-                        pa.array([next(fine) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        pa.array([next(sketch) if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["row", "doc_id", "n_shingles", "set_id", "sig", "fine"],
+                    names=["row", "doc_id", "n_shingles", "set_id", "sig", "sketch"],
                 )
 
-    return docs.mapInArrow(rows, "row long, doc_id long, n_shingles long, set_id binary, sig array<int>, fine array<long>")
+    return docs.mapInArrow(rows, "row long, doc_id long, n_shingles long, set_id binary, sig array<int>, sketch binary")
+
+
+def _roots(sig: Column, trees: int) -> Column:
+    """A document's nodes on the first level, one for each tree."""
+    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get(sig, t)))
 
 
 def _branches(node: Column, sig: Column) -> Column:
@@ -88,93 +92,63 @@ def _branches(node: Column, sig: Column) -> Column:
     return F.when(second, F.array(to(1), to(2))).otherwise(F.array(to(1)))
 
 
-def likely(a: Column, b: Column, percent: int) -> Column:
-    """Whether two sets may have that similarity, from the bit planes of their bytes by bin.
+def _met(at: DataFrame, total: int, block: int, leaf: int, scratch: list[str]) -> DataFrame:
+    """``v, node, n`` (and ``comp``, if given) of documents that aren't alone in their node.
 
-    Of the bins that either set has, those with equal bytes are as many as the
-    similarity says, with a deviation of at most 0.027; ``SLACK`` is below by five.
+    Of nodes with the same documents one is kept, unless they are large: those may
+    branch, each in its way.  With ``tree``, nodes of at most ``leaf`` documents of trees
+    from ``SMALL_TREES`` on are left out; with ``comp``, nodes all of whose documents are
+    in one component end here.
     """
-    words = BINS // 64
-
-    def count(of: Callable[[Column, Column], Column]) -> Column:
-        """Bins in one of whose eight planes ``of`` gives a bit."""
-        total = F.lit(0)
-        for w in range(words):
-            planes = [of(F.get(a, F.lit(i * words + w)), F.get(b, F.lit(i * words + w))) for i in range(8)]
-            total = total + F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), planes))
-        return total
-
-    used = count(lambda x, y: x.bitwiseOR(y))
-    unlike = count(lambda x, y: x.bitwiseXOR(y))
-    return 100 * (used - unlike) >= (percent - SLACK) * used
-
-
-def _met(at: DataFrame) -> DataFrame:
-    """``v, node`` (and ``comp``, if given) with ``n, pivot``: documents that aren't alone in their node.
-
-    With ``comp``, nodes all of whose documents are in one component end here.
-    """
-    known = "comp" in at.columns
+    known, first = "comp" in at.columns, "tree" in at.columns
     apart = [F.min("comp").alias("c1"), F.max("comp").alias("c2")] if known else []
-    sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("pivot"), *apart).where("n > 1")
-    sizes = written(sizes.where("c1 <> c2").drop("c1", "c2") if known else sizes, "node-sizes")
-    return written(join_groups(at, sizes, "node", "n", at.count()), "node-members")
-
-
-def _stars(met: DataFrame) -> DataFrame:
-    """Each document with its node's least one."""
-    return met.where("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b"))
-
-
-def _roots(reps: DataFrame, trees: int) -> DataFrame:
-    """``v, node``: the first level of all trees."""
-    roots = F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(t, F.lit(5)))
-    nodes = F.flatten(F.transform(roots, lambda r: _branches(r, F.col("sig"))))
-    return written(reps.select("v", F.explode(nodes).alias("node")), "nodes")
+    same = [F.bit_xor(F.xxhash64("v", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    tree = [F.min("tree").alias("tree")] if first else []
+    sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *same, *apart, *tree).where("n > 1")
+    sizes = sizes.where((F.col("tree") < SMALL_TREES) | (F.col("n") > leaf)) if first else sizes
+    sizes = sizes.where("c1 <> c2") if known else sizes
+    one = sizes.groupBy("n", "h1", "h2", F.when(F.col("n") > block, F.col("node")).alias("large")).agg(F.min("node").alias("node"))
+    sizes = written(one.select("node", "n"), "node-sizes", scratch)
+    return written(join_groups(at.drop("tree"), sizes, "node", "n", total), "node-members", scratch)
 
 
 def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
 
 
-def _deeper(met: DataFrame, reps: DataFrame, comps: DataFrame, leaf: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Star pairs of all levels below the first, and ``v, node`` of leaves and of nodes left over."""
-    met = _met(written(_with_comp(met.select("v", "node"), comps), "nodes"))
-    stars, ends = [], []
-    for level in range(1, depth + 1):
-        large = F.col("n") > leaf
-        ends.append(met.where(~large | F.lit(level == depth)).select("v", "node"))
-        more = met.where(large)
-        if level == depth or more.isEmpty():
+def _by_blocks(met: DataFrame, block: int) -> DataFrame:
+    """``v, key, comp``: a document goes to the pairs of its block with every block of its node."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("v", "node"), blocks).cast("int")
+    rows = met.select("v", "node", "n", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    # A block with itself is in its pairs with others.
+    rows = rows.where((F.col("own") != F.col("other")) | (F.col("n") <= block))
+    key = F.when(F.col("own") == F.col("other"), F.col("node")).otherwise(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+    return rows.select("v", key.alias("key"), "comp")
+
+
+def _deeper(met: DataFrame, reps: DataFrame, comps: DataFrame, block: int, leaf: int, depth: int, scratch: list[str]) -> DataFrame:
+    """``v, key, comp``: what is left to compare in and below the larger nodes of the first level."""
+    at = written(_with_comp(met.where(F.col("n") > block).select("v", "node"), comps), "nodes", scratch)
+    met, ends = _met(at, at.count(), block, leaf, scratch), []
+    for _ in range(1, depth):
+        ends.append(_by_blocks(met.where(F.col("n") <= leaf), block))
+        met = met.where(F.col("n") > leaf)
+        if met.isEmpty():
             break
-        at = more.select("v", "node", "comp").join(reps.select("v", "sig"), "v")
-        at = at.select("v", F.explode(_branches(F.col("node"), F.col("sig"))).alias("node"), "comp")
-        met = _met(written(at, "nodes"))
-        stars.append(_stars(met))
-    return _union(stars or [_stars(met).limit(0)]).distinct(), _union(ends)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs that are in different components."""
-    for c in ("a", "b"):
-        pairs = pairs.join(comps.select(F.col("v").alias(c), F.col("comp").alias(f"comp_{c}")), c, "left")
-        pairs = pairs.withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
-    return pairs.where("comp_a <> comp_b").select("a", "b")
+        at = met.select("v", "node", "comp").join(reps.select("v", "sig"), "v")
+        at = written(at.select("v", F.explode(_branches(F.col("node"), F.col("sig"))).alias("node"), "comp"), "nodes", scratch)
+        met = _met(at, at.count(), block, leaf, scratch)
+    ends.append(_by_blocks(met, block))
+    return reduce(DataFrame.unionByName, ends)
 
 
-def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of those pairs whose bytes by bin agree often enough."""
-    fine = lambda c: reps.select(F.col("v").alias(c), F.col("fine").alias(f"fine_{c}"))
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    first = join_groups(pairs, fine("a").join(counts, "a"), "a", "n", pairs.count())
-    return first.join(fine("b"), "b").where(likely(F.col("fine_a"), F.col("fine_b"), percent)).select("a", "b")
+def _likely(members: DataFrame, reps: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """``a, b, sure``, each pair once, from ``v, key, comp``: likely links of different components under one key."""
+    rows = members.join(reps.select("v", "sketch"), "v").select("key", "v", "sketch", "comp")
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    pairs = rows.mapInArrow(lambda batches: node_pairs(batches, percent, forest), "a long, b long, sure boolean")
+    return pairs.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -216,38 +190,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(linked, "a long, b long")
 
 
-def _across(ends: DataFrame, reps: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs within one end node, of different components, whose bytes by bin agree often enough."""
-    known = written(_with_comp(ends, comps), "end-members")
-    parts = known.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("node").agg(
-        F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("most"), F.sum("n").alias("n")
-    ).where("parts > 1")
-    mixed = written(mixed.select("node", "most", "n"), "mixed-nodes")
-    members = join_groups(known, mixed, "node", "n", known.count()).join(reps.select("v", "fine"), "v")
-    members = written(members.select("v", "node", "comp", "most", "fine"), "mixed-members")
-    out = members.where("comp <> most").select("node", F.col("v").alias("v1"), F.col("comp").alias("c1"), F.col("fine").alias("s1"))
-    other = members.select("node", F.col("v").alias("v2"), F.col("comp").alias("c2"), F.col("fine").alias("s2"), "most")
-    once = (F.col("c2") == F.col("most")) | (F.col("v1") < F.col("v2"))
-    joined = out.join(
-        other,
-        (out["node"] == other["node"]) & (F.col("c1") != F.col("c2")) & once & likely(F.col("s1"), F.col("s2"), percent),
-    )
-    return joined.select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")).distinct()
-
-
 def _joined(
-    pairs: DataFrame, so_far: tuple[DataFrame, DataFrame] | None, reps: DataFrame, texts: DataFrame, percent: int, alike: bool = False
+    members: DataFrame, so_far: tuple[DataFrame, DataFrame] | None, reps: DataFrame, texts: DataFrame, percent: int, scratch: list[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """All links and components once the links among ``pairs`` are added."""
-    pairs = written(pairs, "pairs")
-    pairs = pairs if alike else written(_alike(pairs, reps, percent), "alike-pairs")
-    if so_far and pairs.isEmpty():
-        return so_far
-    links = written(confirmed(pairs, texts, percent), "links")
-    if so_far:
-        links = so_far[0].union(links)
-    return links, written(components(links), "components")
+    """All links and components once the links within ``members`` are added."""
+    links = None
+    for forest in (True, False):
+        pairs = written(_likely(members, reps, percent, forest), "pairs", scratch)
+        if so_far and pairs.isEmpty():
+            return so_far
+        links = written(confirmed(pairs.select("a", "b"), texts, percent), "links", scratch)
+        if not forest or pairs.where("sure").join(links, ["a", "b"], "left_anti").isEmpty():
+            break
+    links = so_far[0].union(links) if so_far else links
+    return links, written(components(links, scratch), "components", scratch)
 
 
 def near_dedup(
@@ -256,6 +212,7 @@ def near_dedup(
     doc_id: str = "doc_id",
     percent: int = 75,
     trees: int = TREES,
+    block: int = BLOCK,
     leaf: int = LEAF,
     depth: int = DEPTH,
     stored: bool = False,
@@ -271,37 +228,45 @@ def near_dedup(
     alone has a null ``component_id`` and keeps one row.  An empty table gives an
     empty one.  ``stored``: ``docs`` reads files, so that its rows have the same
     place each time; otherwise it is written first.  With ``keep_only`` the
-    kept rows of ``docs`` are returned, with its columns.
+    kept rows of ``docs`` are returned, with its columns; their names may be any.
+    Very long texts are hashed in parts and read whole.
     """
     if not stored:
         docs = written(docs, "documents")
     row = fresh(docs.columns, "row")
     placed = docs.withColumn(row, F.monotonically_increasing_id())
     narrow = placed.select(F.col(row).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    base = written(signed(narrow), "shingled")
+    spark, scratch, last = docs.sparkSession, [], []
+    base = written(signed(narrow), "shingled", last)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     sets = base.where("set_id is not null").groupBy("set_id").agg(
-        F.min(first).alias("first"), F.min_by("sig", first).alias("sig"), F.min_by("fine", first).alias("fine"), F.count(F.lit(1)).alias("n")
+        F.min(first).alias("first"), F.min_by("sig", first).alias("sig"), F.min_by("sketch", first).alias("sketch"), F.count(F.lit(1)).alias("n")
     )
-    reps = written(sets.select("set_id", "n", "first", F.col("first.row").alias("v"), "sig", "fine"), "distinct-sets")
+    reps = sets.select("set_id", "n", "first", F.col("first.row").alias("v"), "sig", "sketch", _roots(F.col("sig"), trees).alias("roots"))
+    reps = written(reps, "distinct-sets", scratch)
 
     texts = narrow.select(F.col("row").alias("v"), "text")
-    met = _met(_roots(reps, trees))
-    links, comps = _joined(_stars(met).distinct(), None, reps, texts, percent)
-    stars, ends = _deeper(met, reps, comps, leaf, depth)
-    links, comps = _joined(_apart(written(stars, "star-pairs"), comps), (links, comps), reps, texts, percent)
-    links, comps = _joined(_across(ends, reps, comps, percent), (links, comps), reps, texts, percent, alike=True)
+    at = reps.select("v", F.posexplode("roots").alias("tree", "node"))
+    met = _met(at, trees * reps.count(), block, leaf, scratch)
+    parts = F.pmod(F.xxhash64("v", "node"), F.ceil(F.col("n") / block)).cast("int")
+    key = F.when(F.col("n") > block, F.xxhash64("node", parts)).otherwise(F.col("node"))
+    links, comps = _joined(met.select("v", key.alias("key"), F.col("v").alias("comp")), None, reps, texts, percent, scratch)
+    if not met.where(F.col("n") > block).isEmpty():
+        ends = written(_deeper(met, reps, comps, block, leaf, depth, scratch), "end-members", scratch)
+        links, comps = _joined(ends, (links, comps), reps, texts, percent, scratch)
 
     joined = reps.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     best = joined.groupBy("comp").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("size"))
     classes = join_groups(joined.select("set_id", "n", "comp"), best, "comp", "size", reps.count()).select("set_id", "n", "best")
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", last)
+    drop(spark, scratch)
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    got = join_groups(base.where("set_id is not null").drop("sig", "fine"), classes, "set_id", "n", base.count()).unionByName(
-        base.where("set_id is null").drop("sig", "fine").withColumn("n", F.lit(1).cast("long")).withColumn("best", own)
+    got = join_groups(base.where("set_id is not null").drop("sig", "sketch"), classes, "set_id", "n", base.count()).unionByName(
+        base.where("set_id is null").drop("sig", "sketch").withColumn("n", F.lit(1).cast("long")).withColumn("best", own)
     )
     got = got.select("row", "doc_id", "n_shingles", F.col("best.id").alias("component_id"), (F.col("best.row") == F.col("row")).alias("kept"))
     if not keep_only:
         return got.drop("row")
     dropped = written(got.where("not kept").select(F.col("row").alias(row)), "dropped")
+    drop(spark, last)
     return placed.join(dropped, row, "left_anti").drop(row)

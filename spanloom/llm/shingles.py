@@ -120,20 +120,36 @@ def minwise(sets: Sequence[np.ndarray], k: int) -> np.ndarray:
     return out
 
 
-def bin_bytes(sets: Sequence[np.ndarray], bins: int = 256) -> np.ndarray:
-    """Of each nonempty sorted set a byte per bin of the hash range: 0 if no member is in it, else 1..255 from its least member."""
-    full = [s for s in sets if len(s)]
-    out = np.zeros((len(full), bins), dtype=np.uint8)
-    edges = np.arange(bins, dtype=np.uint64) * np.uint64((1 << 64) // bins)
-    for row, s in zip(out, full, strict=True):
-        at = np.searchsorted(s, edges)
-        ends = np.append(at[1:], len(s))
-        held = at < ends
-        row[held] = (s[at[held]] % np.uint64(255)).astype(np.uint8) + 1
-    return out
+#: Bits of a sketch.  Level ``k`` samples one in ``4 ** k`` members; a set has all levels under ``level(size)``.
+BITS, LEVEL = 2048, 3072
+
+
+def levels(n: int) -> int:
+    """How many levels a set of ``n`` members has: one up to ``LEVEL``, and one more for each time it is four times as large."""
+    k = 1
+    while n > LEVEL * 4 ** (k - 1):
+        k += 1
+    return k
 
 
-def bit_planes(rows: np.ndarray) -> np.ndarray:
-    """Rows of bytes as longs: the first bits of all bytes, then the second ones, and so on."""
-    bits = (rows[:, None, :] >> np.arange(8, dtype=np.uint8)[:, None]) & 1
-    return np.ascontiguousarray(np.packbits(bits, axis=2, bitorder="little").reshape(len(rows), rows.shape[1])).view("<i8")
+def odd_sketches(sets: Sequence[np.ndarray]) -> list[bytes]:
+    """Of each nonempty set, for each of its levels, how many members the level has (32 bits) and ``BITS`` parities of their hashes."""
+    full = [s for s in sets if len(s)]
+    if not full:
+        return []
+    out = [b""] * len(full)
+    depth = np.array([levels(len(s)) for s in full])
+    for k in range(int(depth.max())):
+        at = np.flatnonzero(depth > k)
+        parts = [full[i] for i in at]
+        if k:
+            parts = [s[(s >> np.uint64(11)) & np.uint64(4**k - 1) == 0] for s in parts]
+        for a in range(0, len(at), 64):
+            some = parts[a : a + 64]
+            owner = np.repeat(np.arange(len(some)), [len(s) for s in some])
+            bit = owner * BITS + (np.concatenate(some) & np.uint64(BITS - 1)).astype(np.int64)
+            odd = (np.bincount(bit, minlength=len(some) * BITS) & 1).astype(np.uint8)
+            bits = np.packbits(odd.reshape(len(some), BITS), axis=1, bitorder="little")
+            for i, s, row in zip(at[a : a + 64], some, bits, strict=True):
+                out[i] += np.uint32(len(s)).tobytes() + row.tobytes()
+    return out

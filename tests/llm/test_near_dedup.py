@@ -1,14 +1,16 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.llm import near_dedup as op8
 from spanloom.llm import shingles
-from spanloom.llm.near_dedup import likely, near_dedup
-from spanloom.llm.shingles import minwise, shingle_sets
+from spanloom.llm import node_pairs as pairs
+from spanloom.llm.near_dedup import near_dedup
+from spanloom.llm.shingles import minwise, odd_sketches, shingle_sets
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -66,28 +68,66 @@ def test_minwise_tokens_estimate_similarity():
     assert abs((m[0] == m[1]).mean() - 0.6) < 0.08
 
 
-def test_sketches_tell_likely_pairs(spark):
-    r, rows = np.random.RandomState(1), []
-    for n in (6, 60, 600, 3000):
-        for _ in range(150):
-            common = r.randint(0, n + 1)
-            a, b, c = (shingles.mix64(r.randint(0, 2**62, k).astype(np.uint64)) for k in (n - common, n - common, common))
-            x, y = (np.unique(np.concatenate([z, c])) for z in (a, b))
-            s = shingles.bit_planes(shingles.bin_bytes([x, y])).tolist()
-            rows.append((s[0], s[1], len(np.intersect1d(x, y)) / len(np.union1d(x, y))))
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>, s double")
-    got = df.select("s", likely(df["a"], df["b"], 75).alias("x")).collect()
-    assert all(g.x for g in got if g.s >= 0.75) and not any(g.x for g in got if g.s < 0.5)
-
-
-def test_sketches_of_long_texts_leave_five_deviations(spark):
-    equal = int(op8.BINS * 0.75 - 5 * np.sqrt(op8.BINS * 0.75 * 0.25))
-    x = np.full((1, op8.BINS), 7, dtype=np.uint8)
-    y = x.copy()
-    y[0, equal:] = 9
-    a, b = (shingles.bit_planes(z)[0].tolist() for z in (x, y))
-    df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
-    assert df.select(likely(df["a"], df["b"], 75)).first()[0]
+def batch(key, sets, comp=None):
+    n = range(len(sets))
+    cols = [pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(odd_sketches(sets), pa.binary()), pa.array(comp or n, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=["key", "v", "sketch", "comp"])
+
+
+def pair_of(r, n, common):
+    a, b, c = (shingles.mix64(r.randint(0, 2**62, k).astype(np.uint64)) for k in (n - common, n - common, common))
+    x, y = (np.unique(np.concatenate([z, c])) for z in (a, b))
+    return x, y, len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+
+
+def test_sketches_tell_likely_pairs():
+    r = np.random.RandomState(1)
+    for n, slack in ((6, 0.05), (60, 0.03), (600, 0.04), (2500, 0.1), (6000, 0.2), (60_000, 0.2)):
+        for _ in range(60 if n < 6000 else 12):
+            x, y, s = pair_of(r, n, int(n * r.uniform(0.7, 1)))
+            i, j = np.array([0]), np.array([1])
+            maybe, sure = pairs._Rows(batch([1, 1], [x, y]).column(2)).likely(i, j, 75)
+            assert maybe[0] or s < 0.75
+            assert not maybe[0] or s > 0.75 - slack
+            assert not sure[0] or (s >= 0.75 and maybe[0])
+            assert sure[0] or s < 0.95 or n < 60
+
+
+def test_pairs_at_the_threshold_are_never_lost_in_small_sets():
+    r, sets = np.random.RandomState(2), []
+    for _ in range(2000):
+        n = r.randint(7, 1500)
+        a = shingles.mix64(r.randint(0, 2**62, 2 * n).astype(np.uint64))
+        common = -(-75 * 2 * n // 175)  # the least intersection that makes a link
+        sets += [np.sort(a[:n]), np.sort(np.concatenate([a[:common], a[n : 2 * n - common]]))]
+    rows = pairs._Rows(batch([0] * len(sets), sets).column(2))
+    assert rows.likely(np.arange(0, 4000, 2), np.arange(1, 4000, 2), 75)[0].all()
+
+
+def test_of_a_node_a_forest_and_all_doubtful_pairs_between_trees():
+    r = np.random.RandomState(3)
+    base = shingles.mix64(r.randint(0, 2**62, 400).astype(np.uint64))
+
+    def copy(k):
+        return np.unique(np.concatenate([base[k:], shingles.mix64(r.randint(0, 2**62, k).astype(np.uint64))]))
+
+    sets = [copy(k) for k in [0] * 1 + [5] * 40 + [60, 60, 350]]
+    got = pairs.compared(pa.Table.from_batches([batch([7] * len(sets), sets)]), 75, True).to_pydict()
+    everything = pairs.compared(pa.Table.from_batches([batch([7] * len(sets), sets)]), 75, False).to_pydict()
+    assert sum(got["sure"]) < len(sets) and len(everything["a"]) > 800
+    parent = list(range(len(sets)))
+    for a, b in zip(got["a"], got["b"], strict=True):
+        x, y = parent[a], parent[b]
+        parent = [x if p == y else p for p in parent]
+    assert len(set(parent[:43])) == 1 and parent[43] == 43
+    # Nodes are never mixed and never cut, whatever the batches.
+    key = sorted(r.randint(0, 4, len(sets)).tolist())
+    one = batch(key, sets)
+    whole = [tuple(x.values()) for b in pairs.node_pairs(iter([one]), 75, False) for x in b.to_pylist()]
+    cut = [tuple(x.values()) for b in pairs.node_pairs(iter([one.slice(i, 1) for i in range(len(sets))]), 75, False, most=3) for x in b.to_pylist()]
+    assert sorted(whole) == sorted(cut) and all(key[a] == key[b] for a, b, _ in whole) and whole
+    joined = pairs.compared(pa.Table.from_batches([batch(key, sets, [0] * len(sets))]), 75, True)
+    assert joined.num_rows == 0
 
 
 def corpus(n, seed):
@@ -115,7 +155,8 @@ def found(df):
 def test_equals_brute_force(spark):
     rows = corpus(120, 1) + [(90001, ""), (90002, " \n"), (90003, None), (90004, "One two"), (90005, "one  TWO")]
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, v int")
-    assert found(near_dedup(df, leaf=6, depth=5)) == brute(rows)
+    assert found(near_dedup(df)) == brute(rows)
+    assert found(near_dedup(df, block=4, leaf=6)) == brute(rows)
     kept = near_dedup(df, keep_only=True)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in brute(rows) if r[3])
@@ -134,7 +175,7 @@ def test_one_large_group_of_near_copies_with_chains(spark):
         now[(i * 3) % 120] = f"y{i}"
         rows.append((1000 + i, " ".join(now)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(near_dedup(df, trees=14, leaf=10, depth=4)) == brute(rows)
+    assert found(near_dedup(df, block=8, leaf=10)) == brute(rows)
 
 
 def test_pairs_at_the_threshold_stay_together_in_large_nodes(spark):
@@ -144,8 +185,7 @@ def test_pairs_at_the_threshold_stay_together_in_large_nodes(spark):
         sets += [np.sort(a[:140]), np.sort(a[20:])]  # 120 of 160 are common
     sig = minwise(sets, op8.COORDS).view(np.int32).tolist()
     df = spark.createDataFrame([(i, *sig[2 * i : 2 * i + 2]) for i in range(6000)], "v long, a array<int>, b array<int>")
-    roots = [op8._roots(df.select("v", F.col(c).alias("sig")), op8.TREES) for c in "ab"]
-    at = roots[0].intersect(roots[1])
+    at = df.select("v", F.explode(F.array_intersect(*[op8._roots(F.col(c), op8.TREES) for c in "ab"])).alias("node"))
     for _ in range(op8.DEPTH - 1):  # no node ends as a leaf
         both = [op8._branches(F.col("node"), F.col(c)) for c in "ab"]
         at = at.join(df, "v").select("v", F.explode(F.array_intersect(*both)).alias("node"))
@@ -165,7 +205,9 @@ def test_large_groups_with_the_defaults(spark):
         now[(i * 3) % 120] = f"y{i}"
         rows.append((1000 + i, " ".join(now)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(near_dedup(df)) == brute(rows)
+    want = brute(rows)
+    assert found(near_dedup(df)) == want
+    assert found(near_dedup(df, block=100, leaf=200)) == want  # nodes branch, and blocks are compared in pairs
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
