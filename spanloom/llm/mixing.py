@@ -9,16 +9,21 @@
    their logarithms and up to ``STRONG``).  ``fit_rows`` bounds the labelled rows
    used; there are at most ``BUCKETS`` weights.
 2. Totals.  Tokens of all documents are summed by posterior.
-3. Rates.  With tokens ``n_i`` and posterior ``p_i``, rates ``x_i``
-   minimise the squared distance of ``sum(n_i * x_i * p_i)`` to the target totals,
-   and of all that do are nearest to 1 in the metric ``n_i``.  They have the form
-   ``x_i = max(f_i, 1 - m . p_i)`` with one number per domain in ``m``, which Newton's
-   method finds exactly.  Each step is an aggregate; there is no bound on steps.
-   The floor ``f_i`` is 1 where a kept domain is likeliest, so that such a document
-   is never lost, and else 0.
-   Targets out of reach give a warning with what is left.
+3. Rates.  With tokens ``n_i`` and posterior ``p_i``, rates ``x_i`` minimise the squared
+   distance of ``sum(n_i * x_i * p_i)`` to the target totals by projected gradients.
+   A round is one aggregate over all documents: the residual of the totals at the
+   present rates, and the Gram matrix of the posteriors of documents not at a bound.
+   The gradient at a document is the residual along its posterior; scaled by that
+   matrix' inverse it is the round's step, and a document's rate is 1 less all steps
+   so far, projected to its bounds.  So the rates are fixed by one number per domain,
+   which the driver holds, no document has a state of its own, and of all rates that
+   minimise the distance these are nearest to 1 (in the metric ``n_i``).  A step that
+   doesn't help is halved; rounds end where the gradient is 0 but for rounding.
+   Bounds are ``most``, and below 1 where a kept domain is likeliest, so that such a
+   document is never lost, and else 0.  Targets out of reach of these bounds are met
+   as nearly as can be, with a warning that gives what is left (see ``totals``, too).
 4. A document is taken ``floor(rate)`` times, and once more if a hash of it,
-   uniform on [0, 1), is under the fraction left.
+   uniform on [0, 1), is under the fraction left: so ``most`` times at most.
 """
 
 from __future__ import annotations
@@ -41,11 +46,13 @@ LIFT = 4.0
 LEAST_SHARE = 0.02
 #: The regression has each sum of evidence up to here as a term, too.
 STRONG = 4.0
+#: No document is taken more often.
+MOST = 4
 #: Totals may be off by so much of all tokens without a warning.
 TOLERANCE = 1e-4
-#: Weight of the multipliers' square in the dual: totals stay off by it times the multipliers.
+#: Weight of the steps' square, so that their matrix has an inverse: totals stay off by it times the steps.
 RIDGE = 1e-8
-#: The dual's slope at which the fit ends.
+#: The slope at which the fit ends.
 SLOPE = 1e-8
 
 
@@ -84,17 +91,17 @@ class Classifier:
         e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
         return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
-    def signed(self, docs: DataFrame, text: str, row: str) -> DataFrame:
-        """``row, n_tokens, p`` of every document."""
-        cut = docs.select(row, tokens(F.col(f"`{text}`")).alias("tokens"))
+    def signed(self, docs: DataFrame) -> DataFrame:
+        """``row, doc_id, n_tokens, p`` of every document of ``row, doc_id, text``."""
+        cut = docs.select("row", "doc_id", tokens(F.col("text")).alias("tokens"))
         rows = cut.select(
-            row, F.size("tokens").cast("long").alias("n_tokens"), F.explode_outer(distinct_buckets(F.col("tokens"))).alias("bucket")
+            "row", "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.explode_outer(distinct_buckets(F.col("tokens"))).alias("bucket")
         )
         ws = [f"w{i}" for i in range(len(self.domains))]
-        sums = rows.join(F.broadcast(self.weights), "bucket", "left").groupBy(row).agg(
-            F.max("n_tokens").alias("n_tokens"), F.array(*[_sum(w) for w in ws]).alias("s")
+        sums = rows.join(F.broadcast(self.weights), "bucket", "left").groupBy("row").agg(
+            F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.array(*[_sum(w) for w in ws]).alias("s")
         )
-        return sums.select(row, "n_tokens", self.posterior(F.col("s")).alias("p"))
+        return sums.select("row", "doc_id", "n_tokens", self.posterior(F.col("s")).alias("p"))
 
 
 def _sum(w: str) -> Column:
@@ -176,26 +183,30 @@ def fit(
     return made
 
 
-def rates(groups: DataFrame, target: list[float], floor: Column | None = None) -> DataFrame:
-    """``groups`` (``n, p`` and others) with ``rate``: least squares with rates of ``floor`` (default 0) at least.
+def rates(groups: DataFrame, target: list[float], floor: Column | None = None, most: float = float("inf")) -> DataFrame:
+    """``groups`` (``n, p`` and others) with ``rate``: least squares with rates from ``floor`` (default 0) to ``most``.
 
     ``target`` has token totals.  Targets out of reach are met as nearly as can
     be; if a total is off by over ``TOLERANCE`` of all tokens, a warning gives all.
     """
     floor = F.lit(0.0) if floor is None else floor
-    return groups.withColumn("rate", rate(multipliers(groups, target, floor), floor))
+    return groups.withColumn("rate", rate(steps(groups, target, floor, most), floor, most))
 
 
-def rate(at: list[float], floor: Column) -> Column:
-    """``max(floor, 1 - at . p)``."""
-    return F.greatest(floor, F.lit(1.0) - sum((F.lit(x) * F.col("p")[i] for i, x in enumerate(at)), F.lit(0.0)))
+def _along(at: list[float]) -> Column:
+    return sum((F.lit(float(x)) * F.col("p")[i] for i, x in enumerate(at)), F.lit(0.0))
 
 
-def multipliers(groups: DataFrame, target: list[float], floor: Column) -> list[float]:
-    """The ``at`` whose ``rate`` has the totals ``target``, by Newton's method on the dual.
+def rate(at: list[float], floor: Column, most: float) -> Column:
+    """``1 - at . p``, projected to the bounds."""
+    return F.least(F.greatest(floor, F.lit(1.0) - _along(at)), F.lit(float(most)))
 
-    Of all rates these are nearest to 1 (in the metric ``n``).  It ends where the
-    dual's slope is 0 but for rounding; the dual is strictly concave, so there is one such place.
+
+def steps(groups: DataFrame, target: list[float], floor: Column, most: float) -> list[float]:
+    """The sum ``at`` of all projected-gradient steps: ``rate`` of it is the fit.
+
+    A step's worth is measured by the Lagrangian at the rates it gives, which is
+    concave in ``at``, strictly with ``RIDGE``, so that there is one place to end.
     """
     k = len(target)
     total = float(groups.agg(F.sum("n")).first()[0] or 0)
@@ -203,22 +214,22 @@ def multipliers(groups: DataFrame, target: list[float], floor: Column) -> list[f
         return [0.0] * k
     goal = np.array(target, dtype=float) / total
 
-    def value(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """The dual, its slope, minus its curvature, and how far each total is off."""
+    def round_(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Lagrangian, slope, Gram matrix of what is between the bounds, and how far each total is off."""
         p = [F.col("p")[i] for i in range(k)]
-        x, dot = rate(at.tolist(), floor), sum((F.lit(float(v)) * q for v, q in zip(at, p, strict=True)), F.lit(0.0))
-        bent = F.when(1 - dot > floor, F.col("n")).otherwise(F.lit(0))
+        x, dot = rate(at.tolist(), floor, most), _along(at.tolist())
+        free = F.when((1 - dot > floor) & (1 - dot < most), F.col("n")).otherwise(F.lit(0))
         sums = [F.sum(F.col("n") * ((x - 1) * (x - 1) / 2 + x * dot)), *[F.sum(F.col("n") * x * q) for q in p]]
-        got = groups.agg(*sums, *[F.sum(bent * a * b) for a in p for b in p]).first()
+        got = groups.agg(*sums, *[F.sum(free * a * b) for a in p for b in p]).first()
         got = np.array(got, dtype=float) / total
         off = got[1 : k + 1] - goal
         return got[0] - at @ goal - RIDGE / 2 * at @ at, off - RIDGE * at, got[k + 1 :].reshape(k, k) + RIDGE * np.eye(k), off
 
     at = np.zeros(k)
-    now = value(at)
+    now = round_(at)
     while np.abs(now[1]).max() > SLOPE:
         move, part = np.linalg.solve(now[2], now[1]), 1.0
-        while (then := value(at + part * move))[0] < now[0] + 1e-4 * part * (now[1] @ move) and part > 1e-9:
+        while (then := round_(at + part * move))[0] < now[0] + 1e-4 * part * (now[1] @ move) and part > 1e-9:
             part /= 2
         if then[0] <= now[0] and np.abs(then[1]).max() >= np.abs(now[1]).max():
             break  # rounding hides any gain
@@ -228,6 +239,30 @@ def multipliers(groups: DataFrame, target: list[float], floor: Column) -> list[f
     return at.tolist()
 
 
+def _decided(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...], text: str, doc_id: str, row: str,
+    fit_rows: int, most: float,
+) -> DataFrame:
+    """``row, n_tokens, p, domain, rate, copies`` of ``docs``, whose ``row`` tells rows apart."""
+    if most < 1:
+        raise ValueError("most must be 1 at least")
+    domains = list(targets)
+    rows = docs.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
+    model = fit(rows, labels, domains, fit_rows=fit_rows)
+    signed = written(model.signed(rows), "posteriors")
+    groups = written(signed.groupBy("p").agg(F.sum("n_tokens").alias("n")), "posterior-groups")
+    own = groups.agg(*[F.coalesce(F.sum(F.col("n") * F.col("p")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
+    weight = {d: w / sum(targets.values()) for d, w in targets.items()}
+    budget = max([sum(own), *[1.01 * x / weight[d] for d, x in zip(domains, own, strict=True) if d in keep]])
+    likeliest = F.lit(domains)[F.array_position("p", F.array_max("p")).cast("int") - 1]
+    floor = F.when(likeliest.isin(*keep), F.lit(1.0)).otherwise(F.lit(0.0))
+    at = steps(groups, [weight[d] * budget for d in domains], floor, most)
+    got = signed.withColumn("rate", rate(at, floor, most)).withColumn("domain", likeliest)
+    chance = F.pmod(F.xxhash64("doc_id", "n_tokens", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
+    return got.select(F.col("row").alias(row), "doc_id", "n_tokens", "p", "domain", "rate", copies.cast("long").alias("copies"))
+
+
 def mix(
     docs: DataFrame,
     labels: DataFrame,
@@ -236,6 +271,7 @@ def mix(
     text: str = "text",
     doc_id: str = "doc_id",
     fit_rows: int = FIT_ROWS,
+    most: float = MOST,
     stored: bool = False,
     with_columns: bool = True,
 ) -> DataFrame:
@@ -245,12 +281,14 @@ def mix(
     are divided by their sum.  The mixture has as many tokens as the input has,
     or, if that is more, as are needed so that no domain in ``keep`` shrinks
     (with 1 % to spare).  A document whose likeliest domain is in ``keep`` is taken
-    once at least, even where that puts the targets out of reach.  Added: ``n_tokens`` long, ``p`` array of double (as
+    once at least, and none over ``most`` times, even where that puts the targets out
+    of reach.  Added: ``n_tokens`` long, ``p`` array of double (as
     ``targets`` is ordered), ``domain`` (the likeliest), ``rate`` double and
     ``copies`` long; input columns of those names are replaced.  With
     ``with_columns=False`` of the input only the id is returned, as ``doc_id``,
     and no text shuffles.  Null and empty texts have no tokens and no evidence;
-    repeated rows are rows of their own with the same rate; without labelled
+    very long texts are cut into tokens whole; repeated rows are rows of their own
+    with the same rate; without labelled
     rows all posteriors are alike; an empty table gives an empty one.
     ``stored``: ``docs`` reads files, so that its rows have the same place each time.
     """
@@ -260,32 +298,33 @@ def mix(
     docs = docs.drop(*added)
     if not stored:
         docs = written(docs, "documents")
-    domains = list(targets)
-    model = fit(docs, labels, domains, text, doc_id, fit_rows)
-    row, name, chance = (fresh([*docs.columns, *added, "s"], c) for c in ("row", "name", "chance"))
+    row = fresh([*docs.columns, *added, "doc_id"], "row")
     docs = docs.withColumn(row, F.monotonically_increasing_id())
-    signed = written(model.signed(docs, text, row), "posteriors")
-    groups = written(signed.groupBy("p").agg(F.sum("n_tokens").alias("n")), "posterior-groups")
-    own = groups.agg(*[F.coalesce(F.sum(F.col("n") * F.col("p")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
-    weight = {d: w / sum(targets.values()) for d, w in targets.items()}
-    budget = max([sum(own), *[1.01 * x / weight[d] for d, x in zip(domains, own, strict=True) if d in keep]])
-    likeliest = F.lit(domains)[F.array_position("p", F.array_max("p")).cast("int") - 1]
-    floor = F.when(likeliest.isin(*keep), F.lit(1.0)).otherwise(F.lit(0.0))
-    at = multipliers(groups, [weight[d] * budget for d in domains], floor)
-    got = signed.withColumn("rate", rate(at, floor)).withColumn("domain", likeliest)
-    if with_columns:
-        base, shown = docs, [F.col(f"`{c}`") for c in docs.columns if c != row]
-    else:
-        base, shown = docs.select(row, F.col(f"`{doc_id}`").alias("doc_id")), ["doc_id"]
-        doc_id = "doc_id"
-    chance = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col("n_tokens"), F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
-    return base.join(got, row).select(*shown, "n_tokens", "p", "domain", "rate", copies.cast("long").alias("copies"))
+    got = _decided(docs, labels, targets, keep, text, doc_id, row, fit_rows, most)
+    if not with_columns:
+        return got.drop(row)
+    return docs.join(got.drop("doc_id"), row).select(*[F.col(f"`{c}`") for c in docs.columns if c != row], *added)
 
 
-def taken(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of ``mix`` as often as they are taken, with ``columns`` alone."""
-    times = fresh(mixed.columns, "times")
-    return mixed.where("copies > 0").withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
-        *[F.col(f"`{c}`") for c in columns]
-    )
+def resampled(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = (), text: str = "text", doc_id: str = "doc_id",
+    fit_rows: int = FIT_ROWS, most: float = MOST, stored: bool = False,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it, with all its columns, whatever their names, and no others."""
+    if not stored:
+        docs = written(docs, "documents")
+    row, times = fresh(docs.columns, "row"), fresh([*docs.columns, "row"], "times")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    got = _decided(placed, labels, targets, keep, text, doc_id, row, fit_rows, most).where("copies > 0")
+    got = got.select(row, F.sequence(F.lit(1).cast("long"), F.col("copies")).alias(times))
+    return placed.join(got, row).withColumn(times, F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def totals(mixed: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """``domain, input, expected, copied``: of ``mix``'s documents the tokens by posterior as they are, at their rates, and as copied."""
+    sums = lambda w, i: F.sum(F.col("n_tokens") * w * F.col("p")[i])
+    each = [
+        F.struct(F.lit(d).alias("domain"), *[sums(w, i).alias(n) for n, w in (("input", F.lit(1)), ("expected", F.col("rate")), ("copied", F.col("copies")))])
+        for i, d in enumerate(targets)
+    ]
+    return mixed.agg(F.array(*each).alias("x")).select(F.inline("x"))

@@ -3,9 +3,10 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
-from spanloom.llm.mixing import fit, mix, rates, taken
-from spanloom.llm.queries import MIX_KEEP, op2_mixing
+from spanloom.llm.mixing import MOST, fit, mix, rates, resampled, totals
+from spanloom.llm.queries import MIX_KEEP, MIX_TARGETS, domain_labels, op2_mixing
 
 DOMAINS = ["a", "b", "c"]
 
@@ -40,10 +41,57 @@ def test_kept_domains_do_not_shrink(spark):
     mixed = mix(docs, labels, {"a": 0.5, "b": 0.49, "c": 0.01}, keep=("a", "b"))
     rows = mixed.collect()
     assert all(r.copies >= 1 for r in rows if r.domain in "ab") and sum(r.copies for r in rows if r.domain == "c") < 60
-    out = taken(mixed, docs.columns)
+    out = resampled(docs, labels, {"a": 0.5, "b": 0.49, "c": 0.01}, keep=("a", "b"))
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in rows)
 
 
+def test_no_document_is_taken_too_often(spark):
+    docs, labels, truth = corpus(spark)
+    with pytest.warns(UserWarning, match="out of reach"):
+        rows = mix(docs, labels, {"a": 0.01, "b": 0.98, "c": 0.01}, most=2).collect()
+    assert max(r.copies for r in rows) == 2 and all(r.rate <= 2 for r in rows)
+    optimal(rows, ["a", "b", "c"], {"a": 0.01, "b": 0.98, "c": 0.01}, (), 2)
+
+
+def optimal(rows, domains, targets, keep, most):
+    """What tells the least squares under bounds: no document's gradient points into them."""
+    n = np.array([r.n_tokens for r in rows], dtype=float)
+    p = np.array([r.p for r in rows])
+    x = np.array([r.rate for r in rows])
+    own, weight = n @ p, np.array([targets[d] for d in domains]) / sum(targets.values())
+    budget = max([n.sum(), *[1.01 * o / w for d, o, w in zip(domains, own, weight, strict=True) if d in keep]])
+    off = ((n * x) @ p - weight * budget) / n.sum()
+    low = np.array([float(domains[int(q.argmax())] in keep) for q in p])
+    slope = p @ off
+    used = n > 0
+    assert (x >= low - 1e-9).all() and (x <= most + 1e-9).all()
+    assert (slope[used & (x < most - 1e-6)] >= -1e-5).all() and (slope[used & (x > low + 1e-6)] <= 1e-5).all()
+    return off
+
+
+def test_the_query_is_at_its_optimum(spark):
+    """Clean documents stay whole, so the likely toxic share of texts without evidence stays, too: 1 % is out of reach."""
+    rows = [Row(p=[r.p_good, r.p_plain, r.p_toxic], **r.asDict()) for r in op2_mixing(spark, "/root/testdata/sf0.01").collect()]
+    off = optimal(rows, list(MIX_TARGETS), MIX_TARGETS, MIX_KEEP, MOST)
+    assert abs(off[:2]).max() < 0.05 and 0 < off[2] < 0.04
+
+
+def test_targets_in_reach_are_met_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = domain_labels(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    for targets, keep in (({"good": 0.84, "plain": 0.13, "toxic": 0.03}, ()), ({"good": 0.7, "plain": 0.1, "toxic": 0.2}, ())):
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            got = mix(docs, labels, targets, keep, stored=True, with_columns=False)
+        rows = got.collect()
+        off = optimal(rows, list(targets), targets, keep, MOST)
+        assert abs(off).max() < 1e-3
+        told = {r.domain: r for r in totals(got, targets).collect()}
+        n = sum(r.n_tokens for r in rows)
+        assert all(told[d].expected / n == pytest.approx(w, abs=1e-3) for d, w in targets.items())
+        assert all(told[d].copied == pytest.approx(told[d].expected, rel=0.2, abs=0.01 * n) for d in targets)
+
+
 def test_least_squares_equals_a_dense_solver(spark):
     r = np.random.RandomState(0)
     p = r.dirichlet([0.5] * 3, 12)
