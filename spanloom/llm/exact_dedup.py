@@ -7,20 +7,27 @@ all their bits set possibly repeat, and only they shuffle, by their digest; the
 rest pass straight through.  Digests decide in the end, so false positives cost
 time but change nothing.
 
-The bit map has ``bits`` bits (8 MB by default) at any input size, so
-what is broadcast is bounded: at most ``bits / 64`` rows of two numbers.  With
-many more rows than bits it fills up and more rows shuffle.
+The bit map has ``BITS_PER_ROW`` bits for each row of the input, a power of two of at
+most ``MOST_BITS`` (512 MB), so what is broadcast is bounded.  Executors build it by an
+aggregate, as a row of 64 longs for each segment in which a bit is set.  Up to 250
+million rows one unique row in about a hundred shuffles; with more rows than that the
+map fills up and more do, but results are the same.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, join_groups, without_blanks, written
 
 HASHES = 2
-BITS = 1 << 26
+BITS_PER_ROW = 16
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 32
+#: Bits of a segment of the map, which is one row of 64 longs.
+SEGMENT = 64 * 64
 
 
 def text_key(text: Column) -> Column:
@@ -28,39 +35,50 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(without_blanks(F.coalesce(text, F.lit(""))).cast("binary"), 256))
 
 
+def bits_for(rows: int) -> int:
+    """Size of the bit map for so many rows."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(max(1, rows * BITS_PER_ROW)))))
+
+
 def _positions(key: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(HASHES)]
 
 
-def repeated_positions(keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:
-    """The filter: ``(word long, mask long)``, a bit per position that two rows or more hit."""
-    hit = (
-        keys.select(F.explode(F.array(*_positions(F.col(key), bits))).alias("at"))
-        .groupBy("at")
-        .count()
-        .where("count > 1")
-    )
+def bit_map(positions: DataFrame) -> DataFrame:
+    """``(segment long, words array<long>)`` from the positions ``at`` whose bits are set."""
     bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
-    return hit.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(bit).alias("mask"))
+    words = positions.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(bit).alias("mask"))
+    slot = (F.col("word") % 64).cast("int")
+    held = words.groupBy(F.expr("word div 64").alias("segment")).agg(F.map_from_entries(F.collect_list(F.struct(slot, "mask"))).alias("held"))
+    return held.select("segment", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long"))).alias("words"))
+
+
+def repeated_positions(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """The filter: the bit map of positions that two rows or more hit."""
+    hit = keys.select(F.explode(F.array(*_positions(F.col(key), bits))).alias("at"))
+    return bit_map(hit.groupBy("at").count().where("count > 1"))
 
 
-def possibly_repeated(rows: DataFrame, key: str, filter_: DataFrame, bits: int = BITS) -> tuple[DataFrame, str]:
+def bit_set(rows: DataFrame, at: Column, filter_: DataFrame, mark: str) -> DataFrame:
+    """``rows`` with a boolean column ``mark``: whether the bit at that position is set; the filter is broadcast."""
+    segment, words = fresh([*rows.columns, mark], "segment"), fresh([*rows.columns, mark], "words")
+    side = F.broadcast(filter_.select(F.col("segment").alias(segment), F.col("words").alias(words)))
+    word = F.get(F.col(words), F.floor((at % SEGMENT) / 64).cast("int"))
+    found = rows.join(side, F.floor(at / SEGMENT) == F.col(segment), "left")
+    return found.withColumn(mark, F.coalesce(F.getbit(word, (at % 64).cast("int")) == 1, F.lit(False))).drop(segment, words)
+
+
+def possibly_repeated(rows: DataFrame, key: str, filter_: DataFrame, bits: int) -> tuple[DataFrame, str]:
     """``rows`` with a boolean column, true where all positions of the key are set."""
-    mark = fresh(rows.columns, "maybe")
-    out, tests = rows, []
-    for i, at in enumerate(_positions(F.col(key), bits)):
-        word, mask = fresh(rows.columns, f"word{i}"), fresh(rows.columns, f"mask{i}")
-        side = F.broadcast(filter_.select(F.col("word").alias(word), F.col("mask").alias(mask)))
-        out = out.join(side, F.floor(at / 64) == F.col(word), "left").drop(word)
-        tests.append((mask, F.coalesce(F.getbit(F.col(mask), (at % 64).cast("int")) == 1, F.lit(False))))
-    flag = tests[0][1]
-    for _, t in tests[1:]:
-        flag = flag & t
-    return out.withColumn(mark, flag).drop(*[m for m, _ in tests]), mark
+    mark, one = fresh(rows.columns, "maybe"), fresh(rows.columns, "bit")
+    out = rows.withColumn(mark, F.lit(True))
+    for at in _positions(F.col(key), bits):
+        out = bit_set(out, at, filter_, one).withColumn(mark, F.col(mark) & F.col(one)).drop(one)
+    return out, mark
 
 
 def exact_dedup(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, keep_all: bool = True
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int | None = None, keep_all: bool = True
 ) -> DataFrame:
     """All rows and columns of ``docs`` with the decision on each.
 
@@ -68,40 +86,40 @@ def exact_dedup(
     ``kept`` boolean and ``text_sha256``; an input column of the same name is
     replaced.  Of equal texts the one with most code points stays, then the
     smallest id, null ids last; of rows alike in both, any one.  Null texts
-    count as empty, and empty texts are equal to each other.  An empty table
-    gives an empty table.  With ``keep_all=False`` dropped rows are left out.
+    count as empty, and empty texts are equal to each other.  Very long texts are
+    hashed whole.  An empty table gives an empty table.  With ``keep_all=False``
+    dropped rows are left out and nothing is added: input columns stay whatever
+    their names.  ``bits`` is the size of the filter (see ``bits_for``).
     """
     added = ["keep_id", "group_size", "kept", "text_sha256"]
-    docs = docs.drop(*[c for c in added if c not in (text, doc_id)])
-    key, size, row = (fresh(docs.columns, c) for c in ("key", "size", "row"))
+    if keep_all:
+        docs = docs.drop(*[c for c in added if c not in (text, doc_id)])
+    bits = bits or bits_for(docs.count())
+    names: list[str] = []
+    for c in ("key", "size", "row", "best", "n", *added):
+        names.append(fresh([*docs.columns, *names], c))
+    key, size, row, best, n, *own = names
     keyed = docs.withColumn(key, text_key(F.col(f"`{text}`")))
-    filter_ = repeated_positions(keyed.select(key), key, bits)
-    filter_ = written(filter_, "repeat-bits")
+    filter_ = written(repeated_positions(keyed.select(key), key, bits), "repeat-bits")
     marked, mark = possibly_repeated(keyed, key, filter_, bits)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     sha = F.lower(F.hex(F.col(key)))
 
-    single = marked.where(~F.col(mark)).select(
-        *docs.columns,
-        F.col(f"`{doc_id}`").alias("keep_id"),
-        F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"),
-        sha.alias("text_sha256"),
-    )
+    def decided(rows: DataFrame, *values: Column) -> DataFrame:
+        return rows.select(*columns, *[v.alias(a) for v, a in zip((*values, sha), own, strict=True)])
+
+    single = decided(marked.where(~F.col(mark)), F.col(f"`{doc_id}`"), F.lit(1).cast("long"), F.lit(True))
     chars = F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long")
     again = written(
         marked.where(F.col(mark)).drop(mark).withColumns({size: chars, row: F.monotonically_increasing_id()}),
         "possible-repeats",
     )
     order = F.struct((-F.col(size)).alias("a"), F.col(f"`{doc_id}`").isNull().alias("b"), F.col(f"`{doc_id}`").alias("id"), F.col(row).alias("row"))
-    best, n = fresh(again.columns, "best"), fresh(again.columns, "n")
     groups = again.groupBy(key).agg(F.min(order).alias(best), F.count(F.lit(1)).alias(n))
     groups = written(groups, "repeat-groups")
-    several = join_groups(again, groups, key, n, again.count()).select(
-        *docs.columns,
-        F.col(best)["id"].alias("keep_id"),
-        F.col(n).alias("group_size"),
-        (F.col(best)["row"] == F.col(row)).alias("kept"),
-        sha.alias("text_sha256"),
-    )
+    several = join_groups(again, groups, key, n, again.count())
+    several = decided(several, F.col(best)["id"], F.col(n), F.col(best)["row"] == F.col(row))
     out = single.unionByName(several)
-    return out if keep_all else out.where("kept").select(*docs.columns)
+    if keep_all:
+        return out.select(*columns, *[F.col(a).alias(c) for a, c in zip(own, added, strict=True)])
+    return out.where(own[2]).select(*columns)

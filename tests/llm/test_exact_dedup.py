@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from spanloom.llm.exact_dedup import exact_dedup
+from pyspark.sql import functions as F
+
+from spanloom.llm.exact_dedup import LEAST_BITS, MOST_BITS, bits_for, exact_dedup, possibly_repeated, repeated_positions
 
 BLANK = {ord(c): None for c in " \t\n\x0b\x0c\r"}
 
@@ -45,3 +47,24 @@ def test_kept_rows_only_and_empty_table(spark):
     got = exact_dedup(df, keep_all=False)
     assert got.columns == df.columns and got.count() == len({b[3] for b in brute(rows)})
     assert exact_dedup(df.limit(0)).collect() == []
+
+
+def test_columns_stay_whatever_their_names(spark):
+    rows = [(1, "a", "x", 1, False, -1, "w"), (2, " a", "y", 2, True, -2, "w"), (3, None, "z", 3, None, -3, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id string, group_size int, kept boolean, n int, segment string")
+    assert sorted(tuple(r) for r in exact_dedup(df, keep_all=False).collect()) == rows[1:]
+    whole = {r.doc_id: r for r in exact_dedup(df).collect()}
+    assert whole[1].keep_id == 2 and whole[1].group_size == 2 and not whole[1].kept and whole[3].n == -3
+
+
+def test_the_filter_grows_with_the_rows_up_to_its_bound():
+    assert bits_for(0) == bits_for(1000) == LEAST_BITS and bits_for(10**12) == MOST_BITS
+    assert bits_for(10**6) == 1 << 24 and all(bits_for(n) >= 16 * n for n in (10**5, 10**7, 2 * 10**8))
+
+
+def test_few_unique_rows_shuffle(spark):
+    rows = spark.range(20_000).select(F.concat(F.lit("t"), F.col("id") % 19_000).alias("key"))
+    bits = bits_for(20_000)
+    marked, mark = possibly_repeated(rows, "key", repeated_positions(rows, "key", bits), bits)
+    got = {r.key: r[mark] for r in marked.collect()}
+    assert all(got[f"t{i}"] for i in range(1000)) and sum(got.values()) < 1000 + 0.02 * 18_000
