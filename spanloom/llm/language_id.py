@@ -9,7 +9,8 @@ its score; it is rejected where its distance to that centroid is far beyond
 those of training rows (see ``Model.floor``).
 
 The fit uses a bounded sample of the training rows: about ``per_language`` rows
-of each language, picked by a hash of the id.  Prediction covers every row and
+of each language, fewer where languages are so many that all would have over
+``most_rows``, picked by a hash of the id.  Prediction covers every row and
 the whole text.
 """
 
@@ -29,6 +30,8 @@ from .common import fresh
 
 DIMS = 1 << 12
 PER_LANGUAGE = 1_000
+#: Rows of all languages together that are fitted: 8 KB each on the driver.
+MOST_ROWS = 20_000
 CENTROIDS = 3
 SIZES = DIMS.bit_length()
 UNKNOWN = "und"
@@ -141,7 +144,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(
     docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-    per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS,
+    per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, most_rows: int = MOST_ROWS,
 ) -> Model:
     """A model from rows that have a language and a letter and aren't held out."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(
@@ -150,6 +153,7 @@ def fit(
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model([], np.zeros(0, int), np.zeros(0), np.zeros((0, DIMS)), np.zeros((0, SIZES)))
+    per_language = min(per_language, max(1, most_rows // len(counts)))
     share = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, min(1.0, per_language / n))])
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
 
@@ -170,10 +174,23 @@ def language_id(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``lang_pred``, ``score`` and ``rejected``.
 
     The text alone decides.  Null texts and texts without a letter are ``und``,
-    score 0, rejected; so are all if the model knows no language.  Equal texts
-    get equal results; input columns named as the added ones are replaced.
+    score 0, rejected; so are all if the model knows no language.  Very long texts are
+    read whole, in parts.  Equal texts get equal results; input columns named as the
+    added ones are replaced; an empty table stays empty.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
+    out, got = _predicted(docs, model, text)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], f"{got}.lang_pred", f"{got}.score", f"{got}.rejected")
+
+
+def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with their columns, whatever their names, and no others."""
+    out, got = _predicted(docs, model, text)
+    return out.where(~F.col(got)["rejected"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _predicted(docs: DataFrame, model: Model, text: str) -> tuple[DataFrame, str]:
+    """``docs`` with a struct of ``lang_pred, score, rejected``, and that column's name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: languages x centroids x DIMS
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -184,5 +201,4 @@ def language_id(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     # Only the text goes to Python.  Called nondeterministic, so that filters
     # on the result don't make it run a second time.
     got = fresh(docs.columns, "got")
-    out = docs.withColumn(got, predicted.asNondeterministic()(F.col(f"`{text}`")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], f"{got}.lang_pred", f"{got}.score", f"{got}.rejected")
+    return docs.withColumn(got, predicted.asNondeterministic()(F.col(f"`{text}`"))), got
