@@ -1,7 +1,6 @@
 """Variants of tokens: suffix roots and English base forms, as array columns.
 
-They depend on the token alone, so compute them once per distinct token (see
-``token_variants``), not once per candidate.
+They depend on the token alone; ``words`` computes them once per distinct token.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import small
 from .text import has_malayalam, normal
 
 #: Suffixes that hold beside any supplied list.
@@ -66,6 +66,11 @@ def variants(token: Column, suffixes: Sequence[str] = CORE_SUFFIXES, basic: bool
     return F.sort_array(F.filter(F.array_union(roots, lemmas), lambda v: v != ""))
 
 
-def token_variants(tokens: DataFrame, suffixes: Sequence[str] = CORE_SUFFIXES, basic: bool = False) -> DataFrame:
-    """``token, variants`` of each distinct token of a ``token`` column."""
-    return tokens.select("token").distinct().withColumn("variants", variants(F.col("token"), suffixes, basic))
+def with_lemmas(tokens: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """``tokens`` with ``lemma`` of ``token``: what the dictionary ``lemmas`` (``form``, ``lemma``) has, else by rule."""
+    base = F.when(F.col("token").endswith("'s") & (F.length("token") > 3), F.substring("token", F.lit(1), F.length("token") - 2)).otherwise(F.col("token"))
+    if lemmas is None:
+        return tokens.withColumn("lemma", english_lemma(F.col("token")))
+    known = small(lemmas.select(F.col("form").alias("_form"), F.col("lemma").alias("_lemma")))
+    rows = tokens.join(known, base == F.col("_form"), "left")
+    return rows.withColumn("lemma", F.coalesce("_lemma", english_lemma(F.col("token")))).drop("_form", "_lemma")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters and patterns that decide which tokens come out.
@@ -47,14 +47,9 @@ def nfc(c: Column) -> Column:
     return without_zero_width(_in_python(lambda t: unicodedata.normalize("NFC", t), F.coalesce(c, F.lit(""))))
 
 
-def with_nfc(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``column`` in NFC, null as empty; only rows that can change go through Python.
-
-    Below U+0300 nothing combines, so such texts are in NFC already.
-    """
-    text = F.coalesce(F.col(column), F.lit(""))
-    plain = ~text.rlike("[\\x{0300}-\\x{10FFFF}]")
-    return df.where(plain).withColumn(column, text).unionByName(df.where(~plain).withColumn(column, nfc(F.col(column))))
+def compared(c: Column) -> Column:
+    """A text in NFC, case as it is, with single spaces: equal for reviews that are the same."""
+    return strip_space(F.regexp_replace(nfc(c), f"{SPACE}+", " "))
 
 
 def strip(c: Column, chars: str) -> Column:

@@ -1,5 +1,6 @@
-"""Candidate spans of a lexicon in tokenised texts: exact, fuzzy and by pattern.
+"""Candidate spans of a lexicon in tokenised texts, by joins: exact, fuzzy and by pattern.
 
+This is the way for lexicons too large for ``matcher``, which finds the same.
 A tokenised text is one row, ``row_idx, tokens``.  Windows are built inside the
 row and only windows that match leave it, so texts aren't repeated.
 """
@@ -8,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.joins import small
@@ -70,8 +71,9 @@ def _flags(c: Column, test) -> Column:
 
 
 def windows(
-    analysed: DataFrame, longest: int = LONGEST, lengths: Sequence[int] | None = None, firsts: Sequence[str] | None = None
-) -> DataFrame:
+    analysed: DataFrame, longest: int = LONGEST, lengths: Sequence[int] | None = None, firsts: Sequence[str] | None = None,
+    combinations: int | None = COMBINATIONS,
+) -> DataFrame:
     """``row_idx, start, end, surface, filtered, by_memory, by_price, phrases`` of all windows.
 
     ``lengths``: windows of these numbers of tokens only.  ``firsts``: only
@@ -113,12 +115,9 @@ def windows(
         )
 
     def joined(acc: Column, forms: Column) -> Column:
-        """The variants so far with each of the next token's, in order, the first 64: no more are needed."""
-        return F.slice(
-            F.flatten(F.transform(acc, lambda a: F.transform(forms, lambda v: F.when(a == "", v).otherwise(F.concat(a, F.lit(" "), v))))),
-            1,
-            COMBINATIONS,
-        )
+        """The variants so far with each of the next token's, in order; the first ``combinations`` of them."""
+        each = F.flatten(F.transform(acc, lambda a: F.transform(forms, lambda v: F.when(a == "", v).otherwise(F.concat(a, F.lit(" "), v)))))
+        return F.slice(each, 1, combinations) if combinations else each
 
     def of(n: int) -> Column:
         return F.transform(F.filter("starts", lambda i: i + n <= F.size("tokens")), lambda i: window(i, n))
@@ -126,7 +125,7 @@ def windows(
     return rows.select("row_idx", F.inline(F.concat(*map(of, ns)))).withColumn("is_number", F.col("surface").rlike(NUMBER))
 
 
-def exact(analysed: DataFrame, entries: DataFrame, longest: int = LONGEST) -> DataFrame:
+def exact(analysed: DataFrame, entries: DataFrame, longest: int = LONGEST, combinations: int | None = COMBINATIONS) -> DataFrame:
     """Windows one of whose phrases is an entry; the lexicon is broadcast if it is small."""
     literal = entries.where(~F.col("is_regex") & F.size("tokens").between(1, longest))
     keyed = literal.select(
@@ -136,18 +135,19 @@ def exact(analysed: DataFrame, entries: DataFrame, longest: int = LONGEST) -> Da
     if not lengths:
         return _columns(windows(analysed.limit(0)), entries.limit(0))
     firsts = [r[0] for r in literal.select(F.col("tokens")[0]).distinct().limit(MOST_FIRSTS + 1).collect()]
-    rows = windows(analysed, longest, lengths, firsts if len(firsts) <= MOST_FIRSTS else None).select("*", F.posexplode("phrases").alias("combo", "phrase")).drop("phrases")
+    rows = windows(analysed, longest, lengths, firsts if len(firsts) <= MOST_FIRSTS else None, combinations).select("*", F.posexplode("phrases").alias("combo", "phrase")).drop("phrases")
     hit = rows.join(small(keyed), "phrase")
     gen = F.struct(F.lit(0).alias("a"), (F.col("start") - F.col("end")).alias("b"), F.col("start").alias("c"), F.col("combo").alias("d"), F.col("ord").alias("e"))
     return _candidates(hit, F.lit(1.0), "exact", F.col("norm"), gen)
 
 
 def by_pattern(analysed: DataFrame, entries: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """Windows that a pattern matches whole, whatever the case.
+    """Windows that a pattern matches whole, whatever the case; what is no pattern finds nothing.
 
     Patterns are few and come from a file, so each becomes part of the plan.
     """
     patterns = entries.where("is_regex").select("ord", "category", "norm", "raw", "is_trigger").orderBy("ord").collect()
+    patterns = [p for p in patterns if _is_pattern(analysed.sparkSession, p["raw"])]
     rows = windows(analysed, longest).drop("phrases")
     if not patterns:
         return _columns(rows.limit(0), entries.limit(0))
@@ -164,6 +164,17 @@ def by_pattern(analysed: DataFrame, entries: DataFrame, longest: int = LONGEST)
     return _candidates(rows, F.lit(1.0), "regex", F.col("surface"), gen)
 
 
+def _is_pattern(spark: SparkSession, raw: str) -> bool:
+    """Whether the engine takes a pattern."""
+    try:
+        spark.range(1).where(F.lit("").rlike(f"(?iuU)\\A(?:{raw})\\z")).count()
+    except Exception as e:
+        if "pattern" in str(e).lower():
+            return False
+        raise
+    return True
+
+
 def fuzzy(analysed: DataFrame, entries: DataFrame, cutoff: float = 0.75) -> DataFrame:
     """Single tokens like a one-word entry of the same script and first character.
 
@@ -204,12 +215,16 @@ def _columns(rows: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def candidates(
-    analysed: DataFrame, entries: DataFrame, kinds: Sequence[str] = ("exact", "fuzzy", "regex"), cutoff: float = 0.75, longest: int = LONGEST
-) -> DataFrame:
-    """All candidates of the given kinds; kinds that are off aren't planned."""
+    analysed: DataFrame, entries: DataFrame, kinds: Sequence[str] = ("exact", "fuzzy", "regex"), cutoff: float = 0.75, longest: int = LONGEST,
+    combinations: int | None = COMBINATIONS,
+) -> DataFrame:
+    """All candidates of the given kinds, by joins with the lexicon; kinds that are off aren't planned.
+
+    Lexicons of some 100,000 entries are matched without a join (see ``matcher``).
+    """
     parts = []
     if "exact" in kinds:
-        parts.append(exact(analysed, entries, longest))
+        parts.append(exact(analysed, entries, longest, combinations))
     if "fuzzy" in kinds:
         parts.append(fuzzy(analysed, entries, cutoff))
     if "regex" in kinds:
@@ -220,6 +235,19 @@ def candidates(
     return out
 
 
+def numbers(texts: DataFrame) -> DataFrame:
+    """``row_idx, start, surface, by_memory, by_price`` of tokens that are numbers, with whether such words are beside."""
+    place = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i >= 0) & F.get("tokens", i).rlike(NUMBER))
+    rows = texts.where(F.size("tokens") > 0).select("row_idx", "tokens", F.explode(place).alias("start"))
+
+    def beside(words: Sequence[str], radius: int) -> Column:
+        left = F.greatest(F.lit(0), F.col("start") - radius)
+        part = F.slice("tokens", left + 1, F.col("start") + 1 + radius - left)
+        return F.arrays_overlap(F.transform(part, normal), F.array(*[F.lit(w) for w in words]))
+
+    return rows.select("row_idx", "start", normal(F.get("tokens", F.col("start"))).alias("surface"), beside(MEMORY_WORDS, 1).alias("by_memory"), beside(PRICE_WORDS, 2).alias("by_price"))
+
+
 def guarded(candidates: DataFrame, analysed: DataFrame | None = None) -> DataFrame:
     """Candidates without phones that are numbers; the surface is that of the span."""
     if analysed is None:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, mean_pool, unit
@@ -50,6 +50,8 @@ def centroids(phrases: DataFrame, size: int, by: str = "category", vector: str =
     Sums are taken per position with partial aggregation, so no group of
     vectors is gathered.
     """
+    if not size:
+        return phrases.select(by).distinct().withColumn("centroid", F.array().cast("array<double>"))
     parts = [F.avg(F.get(F.col("u"), F.lit(i))).alias(f"m{i}") for i in range(size)]
     means = phrases.select(by, unit(F.col(vector)).alias("u")).groupBy(by).agg(*parts)
     return means.select(by, unit(F.array(*[F.col(f"m{i}") for i in range(size)])).alias("centroid"))
@@ -62,6 +64,16 @@ def lexicon_centroids(entries: DataFrame, encode: Encode, size: int) -> DataFram
     return centroids(rows.where("vector is not null"), size)
 
 
+def with_similarities(rows: DataFrame, centroids: DataFrame, vector: str) -> DataFrame:
+    """``rows`` with ``scores``, an array of category and cosine to its centroid; those without a cosine are left out.
+
+    The centroids, one per category, come to the rows as one array, so no row is repeated or moved.
+    """
+    table = F.broadcast(centroids.agg(F.collect_list(F.struct("category", "centroid")).alias("_table")))  # one row
+    scores = F.transform("_table", lambda c: F.struct(c["category"].alias("category"), cosine(F.col(vector), c["centroid"]).alias("score")))
+    return rows.join(table).withColumn("scores", F.filter(scores, lambda s: s["score"].isNotNull())).drop("_table")
+
+
 def scored(candidates: DataFrame, texts: DataFrame, centroids: DataFrame, size: int) -> DataFrame:
     """Candidates with ``context``, ``other`` and ``margin``: cosine to their category's centroid, the best of the others', and the gap.
 
@@ -71,9 +83,7 @@ def scored(candidates: DataFrame, texts: DataFrame, centroids: DataFrame, size:
     places = candidates.select("row_idx", "start", "end").distinct().join(texts.select("row_idx", "vectors"), "row_idx")
     own = F.filter(F.slice("vectors", F.col("start") + 1, F.col("end") - F.col("start")), F.isnotnull)
     places = places.select("row_idx", "start", "end", mean_pool(own, size).alias("v")).where("v is not null")
-    table = F.broadcast(centroids.agg(F.collect_list(F.struct("category", "centroid")).alias("table")))  # categories are few
-    scores = F.transform("table", lambda c: F.struct(c["category"].alias("category"), cosine(F.col("v"), c["centroid"]).alias("score")))
-    places = places.join(table).select("row_idx", "start", "end", scores.alias("scores"))
+    places = with_similarities(places, centroids, "v").select("row_idx", "start", "end", "scores")
     rows = candidates.join(places, ["row_idx", "start", "end"], "left")
     score = lambda s: s["score"]
     context = F.array_max(F.transform(F.filter("scores", lambda s: s["category"] == F.col("category")), score))
@@ -103,10 +113,12 @@ def margin_allowed(least: float) -> Column:
 
 def two_best(vectors: DataFrame, centroids: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     """``key, category, score, second, margin``: the nearest centroid, and by how much before the next."""
-    rows = vectors.select(key, vector).join(F.broadcast(centroids)).withColumn("score", cosine(F.col(vector), F.col("centroid")))
-    by = Window.partitionBy(key).orderBy(F.col("score").desc(), "category")
-    ranked = rows.where("score is not null").select(key, "category", "score", F.lead("score").over(by).alias("second"), F.row_number().over(by).alias("nth"))
-    return ranked.where("nth = 1").drop("nth").withColumn("margin", F.col("score") - F.col("second"))
+    rows = with_similarities(vectors.select(key, vector), centroids, vector)
+    ranked = F.array_sort(F.transform("scores", lambda s: F.struct((-s["score"]).alias("less"), s["category"].alias("category"))))
+    best, second = F.get(F.col("ranked"), F.lit(0)), F.get(F.col("ranked"), F.lit(1))
+    rows = rows.withColumn("ranked", ranked).where(F.size("ranked") > 0)
+    rows = rows.select(key, best["category"].alias("category"), (-best["less"]).alias("score"), (-second["less"]).alias("second"))
+    return rows.withColumn("margin", F.col("score") - F.col("second"))
 
 
 def discovered(analysed: DataFrame, texts: DataFrame, candidates: DataFrame, centroids: DataFrame, least: float = 0.60, margin: float = 0.05) -> DataFrame:

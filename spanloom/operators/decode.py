@@ -58,6 +58,16 @@ def piece_labels(word_of: Column, tags: Column, ignored: str = "") -> Column:
     )
 
 
+def common_prefix(pieces: Sequence[Column], most: int, special: Sequence[int] = ()) -> Column:
+    """How many whole words fit into ``most`` pieces by each of several tokenizers.
+
+    ``pieces`` has a column per tokenizer, the number of pieces of each word; ``special``
+    are the pieces that each adds to a text.
+    """
+    added = list(special) or [0] * len(pieces)
+    return F.least(*[fitting_prefix(p, most - s) for p, s in zip(pieces, added, strict=True)], F.lit(1 << 30))
+
+
 def fitting_prefix(pieces: Column, most: int) -> Column:
     """How many whole words fit into ``most`` pieces, from the number of pieces of each."""
     sums = F.aggregate(

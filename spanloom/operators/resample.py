@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import small
+from ..functions.ordering import numbered
 from ..functions.ratios import f1
 
 PAIR = ["tp_a", "fp_a", "fn_a", "tp_b", "fp_b", "fn_b"]
@@ -26,22 +28,23 @@ def paired_counts(a: DataFrame, b: DataFrame, rows: DataFrame) -> DataFrame:
     """``place`` (0 on, by ``row_idx``) and the counts of two systems for every review of ``rows``."""
     out = rows.select("row_idx").join(a.select("row_idx", *[F.col(c).alias(f"{c}_a") for c in ("tp", "fp", "fn")]), "row_idx", "left")
     out = out.join(b.select("row_idx", *[F.col(c).alias(f"{c}_b") for c in ("tp", "fp", "fn")]), "row_idx", "left").fillna(0)
-    # A test set that people labelled has one order and fits one task.
-    return out.withColumn("place", F.row_number().over(Window.orderBy("row_idx")) - 1).select("place", *PAIR)
+    return numbered(out, "place", F.col("row_idx")).select("place", *PAIR)
 
 
-def _draws(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).withColumnRenamed("id", "draw")
+def picks(places: DataFrame, draws: int, seed: int = 42) -> DataFrame:
+    """``draw, place``: for each draw as many places, with repeats, as ``places`` (``place`` from 0 on) has rows.
+
+    Every row of ``places`` makes one pick of each draw, where it stands.
+    """
+    n = places.count()
+    rows = places.select(F.col("place").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    return rows.select("draw", F.pmod(draw_number(seed, F.col("draw"), F.col("slot")), F.lit(max(n, 1))).alias("place"))
 
 
 def bootstrap_deltas(counts: DataFrame, draws: int, seed: int = 42) -> DataFrame:
     """``draw, delta``: the difference in F1 on reviews drawn with replacement."""
-    spark, n = counts.sparkSession, counts.count()
-    picks = _draws(spark, draws).select("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    picks = picks.withColumn("place", (draw_number(seed, F.col("draw"), F.col("slot")) % n).cast("int"))
-    weights = picks.groupBy("draw", "place").agg(F.count(F.lit(1)).alias("w"))
-    sums = weights.join(F.broadcast(counts), "place").groupBy("draw").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in PAIR])
-    return sums.select("draw", (_f1("a") - _f1("b")).alias("delta"))
+    rows = picks(counts.select("place"), draws, seed).join(small(counts), "place")
+    return rows.groupBy("draw").agg(*[F.sum(c).alias(c) for c in PAIR]).select("draw", (_f1("a") - _f1("b")).alias("delta"))
 
 
 def _f1(side: str) -> Column:
@@ -56,19 +59,20 @@ def interval(draws: DataFrame, value: str = "delta", level: float = 0.95) -> Dat
 
 def randomization(counts: DataFrame, draws: int, seed: int = 42, tolerance: float = 1e-12) -> DataFrame:
     """One row: ``observed, two_sided, one_sided``; reviews change sides by a bit, and one is added to each count."""
-    observed = counts.agg(*[F.sum(c).alias(c) for c in PAIR]).select((_f1("a") - _f1("b")).alias("observed"))
-    rows = _draws(counts.sparkSession, draws).join(F.broadcast(counts))  # draws times a labelled test set
-    swap = draw_number(seed, F.col("draw"), F.col("place")) % 2 == 1
+    # Draw -1 changes nothing: it is what was observed.  Sums are partial where the reviews stand.
+    rows = counts.select("place", *PAIR, F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("draw"))
+    swap = (F.col("draw") >= 0) & (draw_number(seed, F.col("draw"), F.col("place")) % 2 == 1)
     put = []
     for c in ("tp", "fp", "fn"):
         put.append(F.sum(F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))).alias(f"{c}_a"))
         put.append(F.sum(F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))).alias(f"{c}_b"))
-    deltas = rows.groupBy("draw").agg(*put).select((_f1("a") - _f1("b")).alias("delta"))
-    deltas = deltas.join(F.broadcast(observed))  # one row
-    far = F.abs("delta") >= F.abs("observed") - tolerance
-    above = F.col("delta") >= F.col("observed") - tolerance
-    p = lambda c: (F.count(F.when(c, 1)) + 1) / F.lit(draws + 1)
-    return deltas.agg(F.first("observed").alias("observed"), p(far).alias("two_sided"), p(above).alias("one_sided"))
+    deltas = rows.groupBy("draw").agg(*put).select("draw", (_f1("a") - _f1("b")).alias("delta"))
+    # One row of one number a draw.
+    one = deltas.agg(F.max(F.when(F.col("draw") < 0, F.col("delta"))).alias("observed"), F.collect_list(F.when(F.col("draw") >= 0, F.col("delta"))).alias("deltas"))
+    far = F.filter("deltas", lambda d: F.abs(d) >= F.abs(F.col("observed")) - tolerance)
+    above = F.filter("deltas", lambda d: d >= F.col("observed") - tolerance)
+    p = lambda found: (F.size(found) + 1) / F.lit(draws + 1)
+    return one.select("observed", p(far).alias("two_sided"), p(above).alias("one_sided"))
 
 
 def exact_sign_flip(differences: Sequence[int]) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal
@@ -39,27 +39,38 @@ def invalid(rows: DataFrame) -> DataFrame:
     return tag.where(F.col("tag").startswith("I-") & ~orphan).select("row_idx", "pos", "tag")
 
 
+def spans_of(tags: Column | str, on_invalid: str = "drop") -> Column:
+    """``array<struct<start, end, category>>`` of the spans in an array of tags; see ``decoded``."""
+    tags = F.col(tags) if isinstance(tags, str) else tags
+    n = F.size(tags)
+    category = lambda t: F.when(t != "O", F.substring(t, 3, 1 << 20))
+
+    def goes_on(i: Column) -> Column:
+        here, before = F.get(tags, i), F.get(tags, i - 1)
+        return here.startswith("I-") & F.coalesce(category(before) == category(here), F.lit(False))
+
+    # Runs: each from a tag that doesn't go on to the next such tag.
+    begins = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~goes_on(i)))
+    ends = F.concat(F.slice(begins, F.lit(2), n), F.array(n))
+    runs = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.get(tags, a).alias("tag")))
+    if on_invalid == "raise":
+        ok = F.assert_true(~F.coalesce(F.exists(runs, lambda r: r["tag"].startswith("I-")), F.lit(False)), F.lit("an I- tag continues nothing"))
+        runs = F.when(ok.isNull(), runs)
+    spans = F.transform(
+        F.filter(runs, lambda r: r["tag"].startswith("B-")),
+        lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), category(r["tag"]).alias("category")),
+    )
+    return F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,category:string>>"))
+
+
 def decoded(rows: DataFrame, on_invalid: str = "drop") -> DataFrame:
-    """``row_idx, start, end, category`` of the spans in ``tags``.
+    """``row_idx, start, end, category`` of the spans in ``tags``, decoded within the row.
 
     A span begins with B- and goes on with I- of its category; an I- that
     continues nothing ends what is open and is left out, or, with
     ``on_invalid="raise"``, fails the query.
     """
-    tags = rows.select("row_idx", F.posexplode("tags").alias("pos", "tag"))
-    category = F.when(F.col("tag") == "O", None).otherwise(F.substring("tag", 3, 1 << 20))
-    tags = tags.withColumn("category", category)
-    by = Window.partitionBy("row_idx").orderBy("pos")
-    going = F.col("tag").startswith("I-") & F.coalesce(F.lag("category").over(by) == F.col("category"), F.lit(False))
-    tags = tags.withColumn("going", going)
-    tags = tags.withColumn("island", F.sum(F.when(F.col("going"), 0).otherwise(1)).over(by))
-    spans = tags.groupBy("row_idx", "island").agg(
-        F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.min_by("tag", "pos").alias("first"), F.first("category").alias("category")
-    )
-    if on_invalid == "raise":
-        ok = F.assert_true(~F.col("first").startswith("I-"), F.lit("an I- tag continues nothing"))
-        spans = spans.withColumn("ok", ok).where(F.col("ok").isNull()).drop("ok")
-    return spans.where(F.col("first").startswith("B-")).select("row_idx", "start", "end", "category")
+    return rows.select("row_idx", F.inline(spans_of("tags", on_invalid)))
 
 
 def term(spans: DataFrame, texts: DataFrame) -> DataFrame:
@@ -78,6 +89,16 @@ def aspects(spans: DataFrame, texts: DataFrame) -> DataFrame:
     return by_category.groupBy("row_idx").agg(F.map_from_entries(F.collect_list(F.struct("category", terms.alias("terms")))).alias("aspects"))
 
 
+def aspects_in_row(rows: DataFrame, spans: str = "spans") -> DataFrame:
+    """``aspects`` of rows that hold their spans, in order of places, as ``matcher.matched`` gives them."""
+    own = lambda s: normal(F.when(s["match_type"].isin("compound", "contextual-extension"), s["surface"]).otherwise(s["canonical"]))
+    terms = F.transform(spans, lambda s: F.struct(s["category"].alias("category"), own(s).alias("term")))
+    rows = rows.select("row_idx", F.filter(terms, lambda t: t["term"] != "").alias("terms")).where(F.size("terms") > 0)
+    of = lambda c: F.array_distinct(F.transform(F.filter("terms", lambda t: t["category"] == c), lambda t: t["term"]))
+    categories = F.array_distinct(F.transform("terms", lambda t: t["category"]))
+    return rows.select("row_idx", F.map_from_entries(F.transform(categories, lambda c: F.struct(c, of(c)))).alias("aspects"))
+
+
 def snippet(tokens: Column, start: Column, end: Column, radius: int = 4) -> Column:
     """A span with ``radius`` tokens on either side."""
     left = F.greatest(F.lit(0), start - radius)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.morphology import CORE_SUFFIXES
-from ..functions.text import tokens, with_nfc
+from ..functions.words import with_tokens
 from ..operators import context as ctx
-from ..operators.candidates import analysed, candidates, guarded
+from ..operators.candidates import COMBINATIONS, analysed, candidates, guarded, phone_allowed
+from ..operators.matcher import Choice, Search, exploded, matched, small_lexicon
+from ..operators.metrics import board, contributions
 from ..operators.select import merged, with_scores, without_overlap
-from ..operators.tags import aspects, emitted
+from ..operators.tags import aspects, aspects_in_row, emitted
 
 
 @dataclass(frozen=True)
@@ -22,6 +25,10 @@ class Config:
     kinds: tuple[str, ...] = ("exact", "fuzzy", "regex")
     fuzzy_cutoff: float = 0.75
     longest: int = 4
+    #: Phrases of variants tried per window; None tries all.
+    combinations: int | None = COMBINATIONS
+    #: Base forms of words that count before the rules, as pairs.
+    lemmas: tuple[tuple[str, str], ...] = ()
     basic: bool = False
     use_stop: bool = True
     use_context: bool = False
@@ -47,10 +54,20 @@ class Config:
             raise ValueError("discovery and extension need the context model")
 
 
+    def choice(self) -> Choice:
+        """What the one pass over texts does of this configuration."""
+        search = Search(self.fuzzy_cutoff, self.longest, self.basic, self.suffixes, self.combinations, self.lemmas)
+        return Choice(search, self.kinds, self.use_stop, self.use_guard, not self.evidence_aware)
+
+    @property
+    def in_row(self) -> bool:
+        """Whether a text's spans can be chosen from its candidates alone, without scores of a context model."""
+        return not self.use_context and self.margin_threshold is None
+
+
 def tokenised(texts: DataFrame, row_idx: str = "row_idx", text: str = "text") -> DataFrame:
     """``row_idx, tokens``; null texts have none."""
-    rows = with_nfc(texts.select(F.col(row_idx).alias("row_idx"), F.col(text).alias("text")), "text")
-    return rows.select("row_idx", tokens(F.col("text")).alias("tokens"))
+    return with_tokens(texts.select(F.col(row_idx).alias("row_idx"), F.col(text).alias("text")))
 
 
 def extract(
@@ -61,13 +78,30 @@ def extract(
     encode: ctx.Encode | None = None,
     vector_size: int = 32,
 ) -> dict[str, DataFrame]:
-    """From ``row_idx, tokens``: ``candidates``, ``spans``, ``tagged`` (all texts, with ``tags``) and ``aspects``.
+    """From ``row_idx`` and ``text`` or ``tokens``: ``candidates``, ``spans``, ``tagged`` (all texts, with ``tags``) and ``aspects``.
 
-    Each text depends on itself alone, so the plan also runs on a stream up to
-    the selection.
+    Each text depends on itself alone, so the plan also runs on a stream up to the
+    selection.  Without a context model every result is one pass over the texts,
+    which stay rows of their own; a lexicon that is too large for that is joined.
     """
-    rows = analysed(texts, stop if config.use_stop else (), config.suffixes, config.basic)
-    found = with_scores(candidates(rows, entries, config.kinds, config.fuzzy_cutoff, config.longest))
+    stop = stop if config.use_stop else ()
+    known = small_lexicon(entries)
+    if known is not None and config.in_row:
+        choice = {"spans": config.choice()}
+        pass_over = lambda *keep: matched(texts, known, choice, keep, stop)
+        found = with_scores(exploded(pass_over("candidates"), "candidates"))
+        if config.use_guard:
+            found = found.where(phone_allowed(F.col("category"), F.col("surface")))
+        tagged = pass_over("tokens", "spans_tags").withColumnRenamed("spans_tags", "tags")
+        return {"candidates": found, "spans": with_scores(exploded(pass_over("spans"), "spans")), "tagged": tagged, "aspects": aspects_in_row(pass_over("spans"))}
+
+    texts = texts if "tokens" in texts.columns else with_tokens(texts)
+    rows = analysed(texts, stop, config.suffixes, config.basic)
+    if known is not None:
+        found = exploded(matched(texts, known, {"spans": config.choice()}, ("candidates",), stop), "candidates").drop("surface")
+    else:
+        found = candidates(rows, entries, config.kinds, config.fuzzy_cutoff, config.longest, config.combinations)
+    found = with_scores(found)
     vectors = centres = None
     if config.use_context:
         encode = encode or ctx.hash_encoder(vector_size)
@@ -87,3 +121,46 @@ def extract(
         more = without_overlap(more).drop("nth")
         spans = merged(spans.select(*more.columns).unionByName(more))
     return {"candidates": found, "spans": spans, "tagged": emitted(texts, spans), "aspects": aspects(spans, texts)}
+
+
+#: A configuration's parts, and what it is without each.
+PARTS = {
+    "morphology": {"basic": True},
+    "stop_filter": {"use_stop": False},
+    "category_guard": {"use_guard": False},
+    "evidence_rank": {"evidence_aware": False},
+}
+
+
+def ablations(config: Config) -> dict[str, Config]:
+    """``full`` and, for every part that is on, the configuration without it."""
+    out = {"full": config}
+    for part, off in PARTS.items():
+        if any(getattr(config, k) != v for k, v in off.items()):
+            out[f"without_{part}"] = replace(config, **off)
+    for kind in config.kinds:
+        if len(config.kinds) > 1:
+            out[f"without_{kind}"] = replace(config, kinds=tuple(k for k in config.kinds if k != kind))
+    if config.use_context:
+        out["without_context"] = replace(config, use_context=False, discover=False, extend=False)
+    return out
+
+
+def systems(texts: DataFrame, entries: DataFrame, configs: dict[str, Config], stop: tuple[str, ...] = ()) -> DataFrame:
+    """``system, row_idx, start, end, category`` of several configurations without a context model, in one pass over the texts.
+
+    Configurations that search alike share their candidates.
+    """
+    known = small_lexicon(entries)
+    if known is None or not all(c.in_row for c in configs.values()):
+        parts = [extract(texts, entries, c, stop)["spans"].select(F.lit(n).alias("system"), "row_idx", "start", "end", "category") for n, c in configs.items()]
+        return reduce(DataFrame.unionByName, parts)
+    rows = matched(texts, known, {n: c.choice() for n, c in configs.items()}, tuple(configs), stop)
+    place = lambda n: F.transform(n, lambda s: F.struct(F.lit(n).alias("system"), s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category")))
+    return rows.select("row_idx", F.inline(F.concat(*[place(n) for n in configs]))).select("system", "row_idx", "start", "end", "category")
+
+
+def ablation(texts: DataFrame, entries: DataFrame, gold: DataFrame, config: Config, stop: tuple[str, ...] = ()) -> DataFrame:
+    """``system, f1, contribution, effect``: what each part of a configuration does for its F1 on ``gold``."""
+    configs = ablations(config)
+    return contributions("full", board(gold, systems(texts, entries, configs, stop), list(configs)))

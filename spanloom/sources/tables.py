@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ast
+import json
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +16,8 @@ def read_reviews(spark: SparkSession, path: str, text: str = "Review_Text", limi
     """``row_idx, text`` of a CSV file with a header, quoted lines included; ``limit`` takes the first rows.
 
     ``row_idx`` is the row's place, from 0: partitions keep the order of the
-    file, so it is the sum of rows before plus the place within.
+    file, so it is the sum of rows before plus the place within.  A file with quoted
+    line breaks is read by one task; at scale, give reviews as Parquet with ``row_idx``.
     """
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
     raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
@@ -70,13 +74,34 @@ def checked_gold(gold: DataFrame) -> DataFrame:
     return gold.withColumn("_ok", ok).where("_ok is null").drop("_ok")
 
 
+def run_record(spark: SparkSession, path: str, config: Mapping[str, Any], reads: str, writes: str, resources: Sequence[str] = ()) -> dict[str, Any]:
+    """Writes what a run will do to a new JSON file, before it does: configuration, input, output and hashes of resources."""
+    hashes = {r: file_hashes(spark, r).first()["sha256"] for r in resources}
+    record = {"configuration": dict(config), "input": reads, "output": writes, "resources": hashes}
+    write_text(spark, path, json.dumps(record, ensure_ascii=False, indent=2))
+    return record
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small new file in any store that Spark writes to; fails if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def write_result(df: DataFrame, path: str, reads: tuple[str, ...] = (), kind: str = "parquet") -> None:
     """Writes to a new folder; never over a path that the plan reads."""
     if path.rstrip("/") in {r.rstrip("/") for r in reads}:
         raise ValueError(f"{path} is also read: write to another folder")
-    if kind == "csv":
+    if kind in ("csv", "csv-bom"):
         flat = [F.to_json(f.name).alias(f.name) if f.dataType.simpleString().startswith(("array", "map", "struct")) else F.col(f.name) for f in df.schema]
-        df.select(*flat).write.csv(path, header=True, escape='"')
+        flat = df.select(*flat)
+        if kind == "csv-bom" and flat.columns:  # for programs that know UTF-8 by it; each file begins with its header
+            flat = flat.withColumnRenamed(flat.columns[0], f"\ufeff{flat.columns[0]}")
+        flat.write.csv(path, header=True, escape='"')
     elif kind == "json":
         df.write.json(path)
     else:
@@ -84,7 +109,7 @@ def write_result(df: DataFrame, path: str, reads: tuple[str, ...] = (), kind: st
 
 
 def file_hashes(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """``path, bytes, sha256`` of files."""
+    """``path, bytes, sha256`` of files, each at most 2 GB, of all folders below if ``recursive``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
