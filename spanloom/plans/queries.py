@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import morphology, text
-from ..functions.vectors import cosine
+from ..functions.joins import small
 from ..operators import agreement as agr
-from ..operators import audit, candidates, context, metrics, resample, select, splits, tags
+from ..operators import audit, candidates, context, matcher, metrics, resample, select, splits, tags
 from ..sources import tables
-from .extract import Config, extract, tokenised
+from .extract import Config, ablations, extract, systems, tokenised
 
 #: The lexicon of the queries: order, category, form, whether a pattern, whether a trigger.
 LEXICON = [
@@ -31,6 +31,9 @@ LEXICON = [
     (12, "memory", "[0-9]+", True, False),
     (13, "price", "[0-9]+k?", True, False),
     (14, "phone", "[0-9]+k?", True, False),
+    (15, "general", "avec", False, False),
+    (16, "network", "dan", False, False),
+    (17, "camera", "elle de la", False, False),
 ]
 STOP = ("the", "of", "und", "der")
 SUFFIXES = ("tion", "ung", "ment", "er", "es", "e")
@@ -108,19 +111,31 @@ CAND = f"""{TOK}, {LEX}, {WIN},
     cand AS (SELECT * FROM hit
         WHERE NOT regexp_full_match(surface, '{_NUM}') OR CASE category WHEN 'phone' THEN false
             WHEN 'memory' THEN by_memory WHEN 'price' THEN by_price ELSE true END)"""
-BEST = CAND + """,
-    ranked AS (SELECT *, CASE WHEN match_type = 'exact' AND e - s > 1 THEN 5 WHEN match_type = 'exact' THEN 4 ELSE 3 END AS ev
-        FROM cand WHERE NOT (category = 'phone' AND regexp_full_match(surface, '[0-9]+(?:\\.[0-9]+)?k?'))),
-    best AS (SELECT * FROM ranked
+_EVIDENCE = "CASE WHEN match_type = 'exact' AND e - s > 1 THEN 5 WHEN match_type = 'exact' THEN 4 ELSE 3 END"
+_GUARD = "NOT (category = 'phone' AND regexp_full_match(surface, '[0-9]+(?:\\.[0-9]+)?k?'))"
+
+
+def _best(name: str = "", rank: str = _EVIDENCE, guard: str = _GUARD, kinds: str = "'exact', 'regex'", cand: str = "cand") -> str:
+    return f"""
+    ranked{name} AS (SELECT *, {rank} AS ev FROM {cand} WHERE match_type IN ({kinds}) AND {guard}),
+    best{name} AS (SELECT * FROM ranked{name}
         QUALIFY row_number() OVER (PARTITION BY row_idx, s, e ORDER BY ev DESC, a, b, c, d, ord) = 1)"""
-# Greedy choice: a step for each span of a text, in order of preference.
-CHOSEN = BEST + """,
-    ordered AS (SELECT row_idx, list({'s': s, 'e': e, 'category': category, 'canonical': canonical, 'match_type': match_type}
-            ORDER BY ev DESC, s, a, b, c, d, ord) AS l FROM best WHERE NOT filtered GROUP BY row_idx),
-    picked AS (SELECT row_idx, unnest(list_reduce(list_transform(l, lambda x: [x]),
+
+
+def _greedy(name: str = "", stop: str = "NOT filtered") -> str:
+    """Greedy choice: a step for each span of a text, in order of preference."""
+    return f"""
+    ordered{name} AS (SELECT row_idx, list({{'s': s, 'e': e, 'category': category, 'canonical': canonical, 'match_type': match_type}}
+            ORDER BY ev DESC, s, a, b, c, d, ord) AS l FROM best{name} WHERE {stop} GROUP BY row_idx),
+    picked{name} AS (SELECT row_idx, unnest(list_reduce(list_transform(l, lambda x: [x]),
             lambda acc, y: CASE WHEN len(list_filter(acc, lambda t: t.s < y[1].e AND y[1].s < t.e)) = 0
-                THEN acc || y ELSE acc END)) AS x FROM ordered),
-    chosen AS (SELECT row_idx, x.s AS s, x.e AS e, x.category AS category, x.canonical AS canonical, x.match_type AS match_type FROM picked)"""
+                THEN acc || y ELSE acc END)) AS x FROM ordered{name}),
+    chosen{name} AS (SELECT row_idx, x.s AS s, x.e AS e, x.category AS category, x.canonical AS canonical, x.match_type AS match_type FROM picked{name})"""
+
+
+BEST = f"{CAND},{_best()}"
+CHOSEN = f"{BEST},{_greedy()}"
+SIMPLE = f"{CAND},{_best('_simple', 'e - s')},{_greedy('_simple')}"
 _LABELS = "(['B-a', 'I-a', 'I-b', 'B-b', 'O'])[length(tok) % 5 + 1]"
 TAGS = rf"""{TOK},
     flat AS (SELECT row_idx, unnest(tokens) AS tok, unnest(range(len(tokens))) AS pos FROM tok),
@@ -177,12 +192,12 @@ def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumns({c: F.round(c, 6) for c in ("mean", "sd", "p95")})
 
 
-def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.analysed(documents(spark, sf_dir), STOP, basic=True)
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "text")
 
 
-def _found(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    return candidates.candidates(_analysed(spark, sf_dir), lexicon(spark), kinds)
+def _found(spark: SparkSession, sf_dir: str, *kinds: str, basic: bool = True) -> DataFrame:
+    return extract(texts(spark, sf_dir), lexicon(spark), Config(kinds=kinds, basic=basic, use_guard=False), STOP)["candidates"]
 
 
 @query(f"WITH {CAND} SELECT row_idx, s AS \"start\", e AS \"end\", category, canonical FROM cand WHERE match_type = 'exact'")
@@ -202,8 +217,7 @@ def regex_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = candidates.fuzzy(_analysed(spark, sf_dir), lexicon(spark))
-    return got.select("row_idx", "start", "end", "category", "canonical", F.round("score", 9).alias("score"))
+    return _found(spark, sf_dir, "fuzzy").select("row_idx", "start", "end", "category", "canonical", F.round("score", 9).alias("score"))
 
 
 def _distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,8 +251,8 @@ def stop_filter_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOK}, {WIN} SELECT row_idx, s AS "start", surface, by_memory AS memory, by_price AS price, false AS phone
     FROM win WHERE n = 1 AND regexp_full_match(surface, '{_NUM}')""")
 def numeric_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = candidates.windows(_analysed(spark, sf_dir), 1, [1]).where("is_number")
-    ok = lambda c: candidates.number_allowed(F.lit(c), F.col("is_number"), F.col("by_memory"), F.col("by_price")).alias(c)
+    rows = candidates.numbers(documents(spark, sf_dir))
+    ok = lambda c: candidates.number_allowed(F.lit(c), F.lit(True), F.col("by_memory"), F.col("by_price")).alias(c)
     return rows.select("row_idx", "start", "surface", ok("memory"), ok("price"), ok("phone"))
 
 
@@ -250,18 +264,20 @@ def category_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f'WITH {BEST} SELECT row_idx, s AS "start", e AS "end", category, canonical, match_type FROM best')
 def best_per_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = candidates.guarded(_found(spark, sf_dir, "exact", "regex"))
+    rows = extract(texts(spark, sf_dir), lexicon(spark), Config(kinds=("exact", "regex"), basic=True), STOP)["candidates"]
     return select.best_per_span(rows).select("row_idx", "start", "end", "category", "canonical", "match_type")
 
 
-def _extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    docs = documents(spark, sf_dir)
-    return docs, extract(docs, lexicon(spark), Config(kinds=("exact", "regex"), basic=True), STOP)
+BASE = Config(kinds=("exact", "regex"), basic=True)
+
+
+def _extracted(spark: SparkSession, sf_dir: str, config: Config = BASE) -> dict[str, DataFrame]:
+    return extract(texts(spark, sf_dir), lexicon(spark), config, STOP)
 
 
 @query(f'WITH {CHOSEN} SELECT row_idx, s AS "start", e AS "end", category, canonical, match_type FROM chosen')
 def greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(spark, sf_dir)[1]["spans"].select("row_idx", "start", "end", "category", "canonical", "match_type")
+    return _extracted(spark, sf_dir)["spans"].select("row_idx", "start", "end", "category", "canonical", "match_type")
 
 
 @query(f"""WITH {CHOSEN}, flat AS (SELECT row_idx, unnest(range(len(tokens))) AS pos FROM tok),
@@ -269,14 +285,14 @@ def greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT row_idx, string_agg(CASE WHEN category IS NULL THEN 'O' WHEN pos = s THEN 'B-' || category ELSE 'I-' || category END, ' ' ORDER BY pos) AS tags
     FROM flat LEFT JOIN cover USING (row_idx, pos) GROUP BY row_idx""")
 def iob2_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _extracted(spark, sf_dir)[1]["tagged"]
+    rows = _extracted(spark, sf_dir)["tagged"]
     return rows.where(F.size("tokens") > 0).select("row_idx", F.array_join("tags", " ").alias("tags"))
 
 
 @query(f"""WITH {CHOSEN}, first AS (SELECT row_idx, category, canonical AS term, min(s) AS s FROM chosen GROUP BY ALL)
     SELECT row_idx, category, string_agg(term, '|' ORDER BY s) AS terms FROM first GROUP BY row_idx, category""")
 def aspect_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _extracted(spark, sf_dir)[1]["aspects"]
+    rows = _extracted(spark, sf_dir)["aspects"]
     return rows.select("row_idx", F.explode("aspects").alias("category", "terms")).withColumn("terms", F.array_join("terms", "|"))
 
 
@@ -314,27 +330,54 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
-def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tag_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tagged(spark, sf_dir)
-    return metrics.leaderboard(_spans(t, "gold"), {"full": _spans(t, "gold"), "one": _spans(t, "one"), "two": _spans(t, "two")})
+    return metrics.leaderboard(_spans(t, "gold"), {"one": _spans(t, "one"), "two": _spans(t, "two")})
 
 
-_BOARD = f"""{SCORES},{_outcome('out_full', 'gold_spans')}, board AS (SELECT system, {_PRF} FROM (
-        SELECT 'full' AS system, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM out_full
-        UNION ALL SELECT 'one', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM out_one
-        UNION ALL SELECT 'two', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM out_two))"""
+@query(f"""WITH {SCORES}, board AS (SELECT system, {_PRF} FROM (
+        SELECT 'one' AS system, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM out_one
+        UNION ALL SELECT 'two', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM out_two))
+    SELECT system, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM board ORDER BY f1 DESC, system""")
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_tag_board(spark, sf_dir), "precision", "recall", "f1").orderBy(F.col("f1").desc(), "system")
 
 
-@query(f"WITH {_BOARD} SELECT system, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM board ORDER BY f1 DESC, system")
-def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_board(spark, sf_dir), "precision", "recall", "f1").orderBy(F.col("f1").desc(), "system")
+# The gold of the ablation: what every other word's length leaves of the simple choice, so that no system is the gold.
+_GOLD = "SELECT row_idx, s, e, category FROM chosen_simple WHERE (row_idx + s) % 5 <> 0"
+_ABLATED = {
+    "full": (_best("_full"), _greedy("_full")),
+    "without_stop_filter": (_best("_without_stop_filter"), _greedy("_without_stop_filter", "true")),
+    "without_category_guard": (_best("_without_category_guard", guard="true"), _greedy("_without_category_guard")),
+    "without_evidence_rank": (_best("_without_evidence_rank", "e - s"), _greedy("_without_evidence_rank")),
+    "without_exact": (_best("_without_exact", kinds="'regex'"), _greedy("_without_exact")),
+    "without_regex": (_best("_without_regex", kinds="'exact'"), _greedy("_without_regex")),
+}
+_ABLATION = f"""{SIMPLE},{','.join(x for parts in _ABLATED.values() for x in parts)}, gold AS ({_GOLD}),
+    found AS ({' UNION ALL '.join(f"SELECT '{n}' AS system, row_idx, s, e, category FROM chosen_{n}" for n in _ABLATED)}),
+    hits AS (SELECT system, count(*) AS found, count(g.s) AS tp FROM found f LEFT JOIN gold g USING (row_idx, s, e, category) GROUP BY system),
+    board AS (SELECT system, {_PRF} FROM (SELECT system, tp, found - tp AS fp, (SELECT count(*) FROM gold) - tp AS fn FROM hits))"""
+
+
+def _ablation_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _extracted(spark, sf_dir, Config(kinds=("exact", "regex"), basic=True, evidence_aware=False))["spans"]
+    return spans.where("(row_idx + start) % 5 <> 0").select("row_idx", "start", "end", "category")
 
 
-@query(f"""WITH {_BOARD} SELECT b.system, round(b.f1, 9) AS f1, round(f.f1 - b.f1, 9) AS contribution,
+@query(f"""WITH {_ABLATION} SELECT b.system, round(b.f1, 9) AS f1, round(f.f1 - b.f1, 9) AS contribution,
     CASE WHEN f.f1 > b.f1 THEN 'helps' WHEN f.f1 < b.f1 THEN 'hurts' ELSE 'neutral' END AS effect
     FROM board b, (SELECT f1 FROM board WHERE system = 'full') f WHERE b.system <> 'full'""")
 def component_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.contributions("full", _board(spark, sf_dir)), "f1", "contribution")
+    configs = ablations(BASE)
+    board = metrics.board(_ablation_gold(spark, sf_dir), systems(texts(spark, sf_dir), lexicon(spark), configs, STOP), list(configs))
+    return _rounded(metrics.contributions("full", board), "f1", "contribution")
+
+
+@query(f"""WITH {_ABLATION} SELECT system, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM board ORDER BY board.f1 DESC, board.precision DESC, board.recall DESC, system LIMIT 1""")
+def best_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configs = ablations(BASE)
+    board = metrics.board(_ablation_gold(spark, sf_dir), systems(texts(spark, sf_dir), lexicon(spark), configs, STOP), list(configs))
+    return _rounded(splits.best_config(board, "system").drop("support"), "precision", "recall", "f1")
 
 
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,20 +465,24 @@ _BENCH = TOK.replace("cleaned AS", "b_cleaned AS").replace("tok AS", "b_tok AS")
     FROM w LEFT JOIN s USING (norm) LEFT JOIN e USING (norm)""")
 def exposure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = lexicon(spark).where("not is_regex")
-    seen = lambda docs: candidates.exact(candidates.analysed(docs, basic=True), lexicon(spark)).select(F.col("canonical").alias("norm"))
-    bench = tokenised(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return audit.exposure(forms, seen(documents(spark, sf_dir)), seen(bench))
+    only = Config(kinds=("exact",), basic=True, longest=5)
+    seen = lambda docs: extract(docs, lexicon(spark), only)["candidates"].select(F.col("canonical").alias("norm"))
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_idx"), "text")
+    return audit.exposure(forms, seen(texts(spark, sf_dir)), seen(bench))
+
+
+_KEY = "trim(regexp_replace(replace(lower(nfc_normalize(coalesce(line, ''))), 'ß', 'ss'), '\\s+', ' ', 'g'))"
 
 
-@query("""WITH k AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM documents),
-    b AS (SELECT DISTINCT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM documents WHERE doc_id % 10 = 0)
-    SELECT doc_id FROM k WHERE doc_id % 10 <> 0 AND key NOT IN (SELECT key FROM b)""")
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+    b AS (SELECT DISTINCT {_KEY.replace('line', 'text')} AS key FROM benchmark)
+    SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, {_KEY} AS key FROM l) WHERE key NOT IN (SELECT key FROM b) GROUP BY doc_id""")
 def quarantine_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose text no document of the evaluation part, every tenth id, has."""
-    key = F.lower(F.trim(F.regexp_replace("text", "\\s+", " ")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
-    held = rows.where("doc_id % 10 = 0")
-    return audit.quarantined(rows.where("doc_id % 10 <> 0"), held).select("doc_id")
+    """Of every document how many lines no text of ``benchmark`` is, but for case, form and white space."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    keyed = lines.select("doc_id", text.text_key(F.col("line")).alias("key"))
+    held = table(spark, sf_dir, "benchmark").select(text.text_key(F.col("text")).alias("key"))
+    return audit.quarantined(keyed, held).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
 _COVER = f"""{CHOSEN}, c AS (SELECT DISTINCT row_idx, s, e, category AS other FROM cand WHERE match_type = 'exact'),
@@ -445,20 +492,21 @@ _COVER = f"""{CHOSEN}, c AS (SELECT DISTINCT row_idx, s, e, category AS other FR
 
 @query(f"""WITH {_COVER} SELECT category, count(*) AS spans, round(avg(same_place::INT), 8) AS same_place, round(avg(same_category::INT), 8) AS same_category FROM cov GROUP BY category""")
 def candidate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = _extracted(spark, sf_dir)[1]["spans"].select("row_idx", "start", "end", "category")
+    gold = _extracted(spark, sf_dir)["spans"].select("row_idx", "start", "end", "category")
     return audit.coverage_by_category(audit.coverage(gold, _found(spark, sf_dir, "exact")))
 
 
 @query(f"""WITH {CHOSEN}, c AS (SELECT DISTINCT row_idx, s, e, category AS other FROM cand)
     SELECT g.category, other, count(*) AS n FROM chosen g JOIN c USING (row_idx, s, e) WHERE g.category <> other GROUP BY ALL""")
 def category_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = _extracted(spark, sf_dir)[1]["spans"].select("row_idx", "start", "end", "category")
+    gold = _extracted(spark, sf_dir)["spans"].select("row_idx", "start", "end", "category")
     return audit.confusions(gold, _found(spark, sf_dir, "exact", "regex"))
 
 
 def _centres(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings")
-    size = rows.select(F.size("embedding")).first()[0]
+    first = rows.select(F.size("embedding")).first()
+    size = first[0] if first else 0
     return rows, context.centroids(rows, size, "label", "embedding").withColumnRenamed("label", "category")
 
 
@@ -479,10 +527,10 @@ def nearest_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CENTRES} SELECT vec_id, own AS label, round(max(score) FILTER (own = label) - max(score) FILTER (own <> label), 6) AS margin FROM near GROUP BY ALL""")
 def category_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, centres = _centres(spark, sf_dir)
-    near = rows.join(F.broadcast(centres)).withColumn("s", cosine(F.col("embedding"), F.col("centroid")))
-    own = F.col("label") == F.col("category")
-    margin = F.max(F.when(own, F.col("s"))) - F.max(F.when(~own, F.col("s")))
-    return near.groupBy("vec_id", "label").agg(F.round(margin, 6).alias("margin"))
+    near = context.with_similarities(rows.select("vec_id", "label", "embedding"), centres, "embedding")
+    most = lambda keep: F.array_max(F.transform(F.filter("scores", keep), lambda s: s["score"]))
+    margin = most(lambda s: s["category"] == F.col("label")) - most(lambda s: s["category"] != F.col("label"))
+    return near.select("vec_id", "label", F.round(margin, 6).alias("margin"))
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lang = 'de' AND doc_id = 4 OR lang = 'de' AND source = 'src4'")
@@ -501,9 +549,13 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split(table(spark, sf_dir, "labels"), "doc_id").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1")
+@query(f"""WITH {_ROLES}, two AS (SELECT doc_id, role FROM role UNION ALL SELECT doc_id, 'test' FROM role WHERE doc_id % 9 = 0)
+    SELECT doc_id FROM two GROUP BY doc_id HAVING count(DISTINCT role) > 1""")
 def split_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.disjoint(splits.split(table(spark, sf_dir, "labels"), "doc_id"), "doc_id").select("doc_id")
+    """Rows that a second manifest, every ninth id as test, puts into another role than the first."""
+    roles = splits.split(table(spark, sf_dir, "labels"), "doc_id")
+    second = roles.where("doc_id % 9 = 0").select("doc_id", F.lit("test").alias("role"))
+    return splits.disjoint(roles.unionByName(second), "doc_id").select("doc_id")
 
 
 @query("""SELECT doc_id::VARCHAR AS path, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'ok' END AS status FROM documents LEFT JOIN labels l USING (doc_id)""")
