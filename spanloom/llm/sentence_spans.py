@@ -5,7 +5,8 @@ whose last letter or digit there is one of ``. ! ? ; : ,``, or at a line's end,
 so clauses count as sentences and a passage set into another sentence loses
 little.  Marks of other scripts (such as the full stops of Chinese, Japanese,
 Hindi or Arabic) end no sentence, and text without spaces has few words, so
-passages repeated within paragraphs of such scripts aren't found.  At every sentence starts one span: the least run of consecutive
+passages repeated within paragraphs of such scripts aren't found.
+At every sentence starts one span: the least run of consecutive
 sentences that has ``LEAST_SENTENCES`` of them and ``LEAST_WORDS`` words.  Spans
 are compared by a 128-bit hash of their words, A-Z lower-cased, white space
 aside.
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import bit_map, bit_set, bits_for
 from .common import fresh, join_groups, written
 from .shingles import _PART, _cut, _power, _word_hashes, mix64
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 16
-BITS = 1 << 26
 _HI = 0xD6E8FEB86659FD93
 _LO = 0xA0761D6478BD642F
 _INVERSES = {p: pow(p, -1, 1 << 64) for p in (_HI, _LO)}
@@ -119,9 +120,8 @@ def text_spans(texts: Sequence[str | None], sentences: int = LEAST_SENTENCES, wo
     return out
 
 
-def _span_rows(docs: DataFrame, sentences: int, words: int, bits: np.ndarray | None = None) -> DataFrame:
-    """``hi, lo, row, doc_id, first, last`` of spans, with ``bits`` of those whose bit is set."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
+def _span_rows(docs: DataFrame, sentences: int, words: int) -> DataFrame:
+    """``hi, lo, row, doc_id, first, last`` of spans."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,10 +130,6 @@ def _span_rows(docs: DataFrame, sentences: int, words: int, bits: np.ndarray | N
                 got = text_spans(part.column(2).to_pylist(), sentences, words)
                 hi, lo, first, last = (np.concatenate([getattr(g, c) for g in got]) for c in ("hi", "lo", "first", "last"))
                 index = np.repeat(np.arange(len(got)), [len(g.hi) for g in got])
-                if shared is not None:
-                    bit = (lo.view(np.uint64) % np.uint64(8 * len(shared.value))).astype(np.int64)
-                    set_ = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                    hi, lo, first, last, index = (x[set_] for x in (hi, lo, first, last, index))
                 take = pa.array(index)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hi), pa.array(lo), part.column(0).take(take), part.column(1).take(take), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
@@ -150,15 +146,11 @@ def repeated_spans(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     groups = spans.groupBy("hi", "lo").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).where("n > 1")
     key = F.struct("hi", "lo").alias("key")
     groups = written(groups.select(key, "place", "n"), "repeated-spans")
-    # 2 ** 64 is a multiple of BITS, so pmod of the signed hash is the unsigned remainder.
-    word = groups.groupBy(F.expr(f"shiftright(pmod(key.lo, {BITS}L), 5)").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(pmod(key.lo, 32L) as int))")).alias("mask")
-    )
-    bits = np.zeros(BITS // 32, dtype="<u4")
-    for r in word.select("word", "mask").toLocalIterator(prefetchPartitions=True):  # at most BITS / 32 rows
-        bits[r["word"]] = r["mask"]
-    bits = bits.view(np.uint8)
-    maybe = written(_span_rows(docs, sentences, words, bits).select(key, "row", "first", "last"), "maybe-repeated")
+    bits = bits_for(groups.count())
+    at = lambda lo: F.pmod(lo, F.lit(bits))
+    filter_ = written(bit_map(groups.select(at(F.col("key.lo")).alias("at")).distinct()), "repeat-bits")
+    maybe = bit_set(_span_rows(docs, sentences, words), at(F.col("lo")), filter_, "maybe").where("maybe")
+    maybe = written(maybe.select(key, "row", "first", "last"), "maybe-repeated")
     joined = join_groups(maybe, groups, "key", "n", maybe.count())
     return joined.where((F.col("place.row") != F.col("row")) | (F.col("place.first") != F.col("first"))).select("row", "first", "last")
 
@@ -177,8 +169,8 @@ def span_dedup(
     replaced.  A removed sentence goes with the white space behind it; what is
     left is byte for byte as it was.  Null texts stay null with no sentences;
     texts shorter than a span stay as they are; of repeated rows the first row
-    stays whole, also if ids repeat or are null.  An empty table gives an empty
-    one.  ``stored``: ``docs`` reads files, so that its rows have the same place
+    stays whole, also if ids repeat or are null.  Very long texts are read whole, in
+    parts.  An empty table gives an empty one.  ``stored``: ``docs`` reads files, so that its rows have the same place
     each time; otherwise it is written first.
     """
     docs = docs.drop(*[c for c in ("n_sentences", "n_removed") if c not in (text, doc_id)])

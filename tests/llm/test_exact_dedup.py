@@ -3,7 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from spanloom.llm.exact_dedup import LEAST_BITS, MOST_BITS, bits_for, exact_dedup, possibly_repeated, repeated_positions
+from spanloom.llm.bits import LEAST_BITS, MOST_BITS, bits_for
+from spanloom.llm.exact_dedup import exact_dedup, possibly_repeated, repeated_positions
 
 BLANK = {ord(c): None for c in " \t\n\x0b\x0c\r"}
 
