@@ -1,7 +1,8 @@
 """Document fingerprints by invertible Bloom lookup sketches, in DataFrame operations only.
 
-A text's paragraphs (its lines, each as it is) are hashed to 64-bit digests.
-Its sketch has ``3 * GROUP`` cells; each distinct digest is put into one cell of
+A text's paragraphs (its lines, each as it is, but that a line of over ``LONG``
+characters is cut after sentences, so that an edit in it leaves the rest) are hashed
+to 64-bit digests.  Its sketch has ``3 * GROUP`` cells; each distinct digest is put into one cell of
 each third.  A cell has a count, the XOR of its digests and the XOR of their
 check hashes.  Subtracting two versions' sketches leaves the digests in which
 they differ: a cell with count 1 or -1 and a fitting check holds one digest,
@@ -30,6 +31,9 @@ GROUP = 16
 CELLS = 3 * GROUP
 ROUNDS = 24
 ATTEMPTS = 12
+LONG = 200
+#: Where long lines are cut: at the space after a mark.
+SENTENCE = "(?<=[.!?;\u2026\u3002\uff01\uff1f]) "
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -37,10 +41,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def digests(text: Column) -> Column:
-    """The distinct paragraph digests of a text; null counts as empty, which is one empty paragraph."""
+def paragraphs(text: Column) -> Column:
+    """The lines of a text, long ones cut after a sentence's mark and a space; null counts as empty, which is one empty line."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.array_distinct(F.transform(lines, lambda p: F.xxhash64(p)))
+    cut = lambda p: F.when(F.length(p) > LONG, F.split(p, SENTENCE)).otherwise(F.array(p))
+    return F.flatten(F.transform(lines, cut))
+
+
+def digests(text: Column) -> Column:
+    """The distinct paragraph digests of a text."""
+    return F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p)))
 
 
 def _placed(d: Column, sign: Column) -> Column:
@@ -202,8 +212,9 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``.  Null texts count as empty.  Repeated rows and
     equal ids are documents of their own, null ids come last; one document
-    alone follows itself; an empty table gives an empty one.  Other columns are
-    not used.  ``stored``: ``docs`` reads files, so its rows have the same
+    alone follows itself; an empty table gives an empty one.  Very long texts are
+    hashed whole, and their differences peeled in as many sketches as they need.
+    Other columns are not used.  ``stored``: ``docs`` reads files, so its rows have the same
     place each time; otherwise it is written first.
     """
     docs = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))

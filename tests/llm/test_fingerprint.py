@@ -1,11 +1,17 @@
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from spanloom.llm.fingerprint import differences, edited_fingerprints
 
 
+def paragraphs(t):
+    """Lines, long ones cut after sentences."""
+    return [p for line in t.split("\n") for p in (re.split("(?<=[.!?;…。！？]) ", line) if len(line) > 200 else [line])]
+
+
 def brute(rows):
     """Per document in descending order of id: id, size, edited text, exact likeness to both."""
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
@@ -14,7 +20,7 @@ def brute(rows):
         t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
         cut = len(t) // 3
         edited = t[: len(t) - cut] + nxt[:cut]
-        like = lambda a, b: 1 - len(set(a.split("\n")) ^ set(b.split("\n"))) / (len(set(a.split("\n"))) + len(set(b.split("\n"))))
+        like = lambda a, b: 1 - len(set(paragraphs(a)) ^ set(paragraphs(b))) / (len(set(paragraphs(a))) + len(set(paragraphs(b))))
         out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(like(t, edited), 9), round(like(t, nxt), 9), t, edited))
     return out
 
@@ -23,6 +29,7 @@ def test_equals_brute_force(spark):
     r = random.Random(5)
     line = lambda: " ".join(r.choice(["ä", "bee", "cat 🐈", "dog", "x"]) + str(r.randrange(30)) for _ in range(r.randrange(6)))
     rows = [(i, "\n".join(line() for _ in range(r.choice([0, 1, 2, 8, 30, 300]))), "e") for i in r.sample(range(1000), 60)]
+    rows += [(3000 + i, "".join(line() + r.choice([". ", "! ", ", ", "… "]) for _ in range(80)), "e") for i in range(8)]
     rows += [(2000, None, "e"), (2001, "", "e"), (2002, "one\ntwo\nthree\nfour", "e"), (2003, "\n".join(map(str, range(20_000))), "e"), (None, "a\nb", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, next string")
     got = edited_fingerprints(df).collect()
@@ -34,7 +41,14 @@ def test_equals_brute_force(spark):
     for w in want:
         for t, p in zip(w[5:], prints[w[0]], strict=True):
             assert by.setdefault(t, p) == p
-    assert len(set(by.values())) >= len({frozenset(t.split("\n")) for t in by})
+    assert len(set(by.values())) >= len({frozenset(paragraphs(t)) for t in by})
+
+
+def test_most_of_a_one_line_document_stays_alike(spark):
+    text = " ".join(f"Sentence {i} says thing {i * 7}." for i in range(60))
+    df = spark.createDataFrame([(2, text), (1, text.replace("thing", "other"))], "doc_id long, text string")
+    got = {g.doc_id: g for g in edited_fingerprints(df).collect()}
+    assert got[2].near_edited > 0.6 and got[2].near_next == 0.0
 
 
 def test_peeling_recovers_digests_and_retries(spark):
