@@ -28,7 +28,7 @@ _SMALL = 32
 _WORDS = BITS // 64
 _FIRST = 8
 #: Pairs of a large node are looked at so many at a time.
-_PART = 1 << 20
+_PART = 1 << 18
 
 
 def bounds(total: np.ndarray, percent: int, sampled: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +74,8 @@ class _Rows:
         maybe, sure = np.zeros(len(i), bool), np.zeros(len(i), bool)
         low, high = np.minimum(self.n[0][i], self.n[0][j]), np.maximum(self.n[0][i], self.n[0][j])
         open_ = np.flatnonzero(100 * low >= percent * high)
-        for a in range(0, len(open_), 1 << 16):
-            part = open_[a : a + (1 << 16)]
+        for a in range(0, len(open_), 1 << 14):
+            part = open_[a : a + (1 << 14)]
             x, y = i[part], j[part]
             most = (self.n[0][x] + self.n[0][y]) * (100 - percent) // (100 + percent)
             w = self.words[0]
@@ -91,25 +91,24 @@ class _Rows:
         return maybe, sure
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the edges of a spanning forest, and each vertex' tree (its least vertex).
+def spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges that join trees; ``label``, each vertex' tree (its least vertex), is brought up to date.
 
     Each round every tree takes its edge of least ``weight`` to a tree with a lesser
     label, so that edges fall on many vertices and are the same in other nodes.
     """
-    label, left, taken = np.arange(n), np.arange(len(i)), []
+    left, taken = np.arange(len(i)), []
     while True:
-        a, b = label[i[left]], label[j[left]]
-        left = left[a != b]
+        left = left[label[i[left]] != label[j[left]]]
         if not len(left):
-            return (np.concatenate(taken) if taken else left), label
+            return np.concatenate([left, *taken])
         high = np.maximum(label[i[left]], label[j[left]])
         order = np.lexsort((weight[left], high))
         pick = order[np.concatenate([[True], np.diff(high[order]) > 0])]
         taken.append(left[pick])
         label[high[pick]] = np.minimum(label[i[left[pick]]], label[j[left[pick]]])
         while not np.array_equal(deeper := label[label], label):
-            label = deeper
+            label[:] = deeper
 
 
 def _within(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -117,9 +116,10 @@ def _within(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
     small = np.repeat(sizes <= _SMALL, sizes)
-    for k in range(1, min(_SMALL, int(sizes.max()))):
-        at = np.flatnonzero((key[k:] == key[:-k]) & small[k:])
-        yield at, at + k
+    shifts = range(1, min(_SMALL, int(sizes.max())))
+    found = [np.flatnonzero((key[k:] == key[:-k]) & small[k:]) for k in shifts]
+    if found:
+        yield np.concatenate(found), np.concatenate([at + k for at, k in zip(found, shifts, strict=True)])
     for s, n in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
         step = max(1, _PART // n)
         for a in range(0, n, step):
@@ -129,26 +129,39 @@ def _within(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def compared(batch: pa.Table, percent: int, forest: bool) -> pa.RecordBatch:
-    """``a, b, sure`` from whole nodes: ``key, v, sketch, comp``, sorted by key; equal ``comp`` are joined already."""
+    """``a, b, sure`` from whole nodes: ``key, v, sketch, comp``, sorted by key; equal ``comp`` are joined already.
+
+    Pairs are made in parts, and of those that a part's sure links join no further
+    one is looked at, so memory follows the rows and the doubtful pairs alone.
+    """
     key, v, comp = (batch.column(c).to_numpy() for c in (0, 1, 3))
-    rows, found = _Rows(batch.column(2).combine_chunks()), []
+    rows = _Rows(batch.column(2).combine_chunks())
+    # Vertices are the node's components; the same one in another node is another vertex.
+    order = np.lexsort((comp, key))
+    new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(comp[order]) != 0)])
+    vertex = np.empty(len(key), np.int64)
+    vertex[order] = np.cumsum(new) - 1
+    label = np.arange(int(vertex.max()) + 1)
+    out: list[tuple[np.ndarray, np.ndarray, bool]] = []
     for i, j in _within(key):
-        go = comp[i] != comp[j]
+        go = label[vertex[i]] != label[vertex[j]]
         i, j = i[go], j[go]
         maybe, sure = rows.likely(i, j, percent)
-        found.append((i[maybe], j[maybe], sure[maybe]))
+        if forest:
+            x, y = i[sure], j[sure]
+            a, b = np.minimum(v[x], v[y]), np.maximum(v[x], v[y])
+            weight = mix64(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
+            edges = spanning(label, vertex[x], vertex[y], weight)
+            out.append((x[edges], y[edges], True))
+            maybe &= ~sure
+        i, j = i[maybe], j[maybe]
+        go = label[vertex[i]] != label[vertex[j]]
+        out.append((i[go], j[go], False))
     none = np.zeros(0, np.int64)
-    i, j, sure = (np.concatenate(x) for x in zip((none, none, none.astype(bool)), *found, strict=True))
-    a, b = np.minimum(v[i], v[j]), np.maximum(v[i], v[j])
-    if forest and len(i):
-        # Vertices are the node's components; the same one in another node is another vertex.
-        _, vertex = np.unique(np.stack([key, comp]), axis=1, return_inverse=True)
-        x, y, s = vertex[i], vertex[j], np.flatnonzero(sure)
-        weight = mix64(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
-        edges, tree = spanning(int(vertex.max()) + 1, x[s], y[s], weight[s])
-        rest = np.flatnonzero(~sure & (tree[x] != tree[y]))
-        some = np.concatenate([s[edges], rest])
-        a, b, sure = a[some], b[some], sure[some]
+    i, j = (np.concatenate([none, *[o[k] for o in out]]) for k in (0, 1))
+    sure = np.concatenate([none, *[np.full(len(o[0]), o[2]) for o in out]]).astype(bool)
+    some = sure | (label[vertex[i]] != label[vertex[j]])
+    a, b, sure = np.minimum(v[i], v[j])[some], np.maximum(v[i], v[j])[some], sure[some]
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
 
 
