@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+#: Rows that go to Python at once while a table is written: whole texts are held in this number, not in Spark's 10,000.
+ARROW_ROWS = 1024
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """At most ``ARROW_ROWS`` rows in an Arrow batch of plans made meanwhile."""
+    before = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW, before)
+
+
 def written(df: DataFrame, hint: str, scratch: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
@@ -41,7 +58,8 @@ def written(df: DataFrame, hint: str, scratch: list[str] | None = None) -> DataF
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{hint}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     if scratch is not None:
         scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)

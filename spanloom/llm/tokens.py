@@ -26,8 +26,8 @@ _NUMBERS = "0-9²³¹¼½¾"
 _SAFE = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ‐-‧‰-⁞€]*")
 _CUT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^\t\n\r {_LETTERS}{_NUMBERS}]+")
 _SURROGATE = re.compile("[\ud800-\udfff]")
-#: Pieces in each of a worker process's two tables: about 60 MB each at most.
-KEPT_PIECES = 400_000
+#: Pieces in each of a worker process's two tables: about 30 MB each at most.
+KEPT_PIECES = 150_000
 
 
 class _Pieces(dict):
