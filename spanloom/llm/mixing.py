@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, fresh, written
+from .common import BLANKS, drop, fresh, written
 
 BUCKETS = 1 << 16
 FIT_ROWS = 20_000
@@ -140,18 +140,20 @@ def regression(s: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, domains: list[str], text: str = "text", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS
+    docs: DataFrame, labels: DataFrame, domains: list[str], text: str = "text", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS,
+    scratch: list[str] | None = None,
 ) -> Classifier:
     """A classifier from ``labels`` (``doc_id, domain``): of an id with several, the last by name; others are left out.
 
     About ``fit_rows`` labelled ids, picked by a hash, are used, and broadcast.
+    ``scratch``: see ``written``; the classifier reads one of the tables.
     """
     labels = labels.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     share = min(1.0, fit_rows / max(1, labels.count()))
     picked = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) < share * 1_000_003)
     known = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "doc_id")
     known = known.select("domain", F.sort_array(distinct_buckets(tokens(F.col("text")))).alias("buckets"))
-    known = written(known.withColumn("as", F.xxhash64("buckets")).dropDuplicates(["as", "domain"]).drop("as"), "labelled")
+    known = written(known.withColumn("as", F.xxhash64("buckets")).dropDuplicates(["as", "domain"]).drop("as"), "labelled", scratch)
     n = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     total = sum(n.values())
     counts = known.select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
@@ -171,7 +173,7 @@ def fit(
             w = F.lit(0.0)
         weights.append(F.greatest(w, F.lit(0.0)).alias(f"w{i}"))
     weights = counts.select("bucket", *weights).where(" or ".join(f"w{i} > 0" for i in range(len(domains))))
-    made = Classifier(domains, written(weights, "evidence"), None, [(n.get(d, 0) + 1) / (total + len(domains)) for d in domains])
+    made = Classifier(domains, written(weights, "evidence", scratch), None, [(n.get(d, 0) + 1) / (total + len(domains)) for d in domains])
     rows = known.withColumn("row", F.monotonically_increasing_id()).select("row", "domain", F.explode_outer("buckets").alias("bucket"))
     sums = rows.join(F.broadcast(made.weights), "bucket", "left").groupBy("row", "domain").agg(
         *[_sum(f"w{i}").alias(f"s{i}") for i in range(len(domains))]
@@ -248,15 +250,16 @@ def _decided(
         raise ValueError("most must be 1 at least")
     domains = list(targets)
     rows = docs.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
-    model = fit(rows, labels, domains, fit_rows=fit_rows)
-    signed = written(model.signed(rows), "posteriors")
-    groups = written(signed.groupBy("p").agg(F.sum("n_tokens").alias("n")), "posterior-groups")
+    scratch: list[str] = []
+    signed = written(fit(rows, labels, domains, fit_rows=fit_rows, scratch=scratch).signed(rows), "posteriors")
+    groups = written(signed.groupBy("p").agg(F.sum("n_tokens").alias("n")), "posterior-groups", scratch)
     own = groups.agg(*[F.coalesce(F.sum(F.col("n") * F.col("p")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
     weight = {d: w / sum(targets.values()) for d, w in targets.items()}
     budget = max([sum(own), *[1.01 * x / weight[d] for d, x in zip(domains, own, strict=True) if d in keep]])
     likeliest = F.lit(domains)[F.array_position("p", F.array_max("p")).cast("int") - 1]
     floor = F.when(likeliest.isin(*keep), F.lit(1.0)).otherwise(F.lit(0.0))
     at = steps(groups, [weight[d] * budget for d in domains], floor, most)
+    drop(docs.sparkSession, scratch)
     got = signed.withColumn("rate", rate(at, floor, most)).withColumn("domain", likeliest)
     chance = F.pmod(F.xxhash64("doc_id", "n_tokens", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
