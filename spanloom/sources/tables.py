@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 from collections.abc import Mapping, Sequence
+from importlib.metadata import PackageNotFoundError, version
 from typing import Any
 
 import pandas as pd
@@ -114,6 +115,17 @@ def file_hashes(spark: SparkSession, path: str, recursive: bool = False) -> Data
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def versions(packages: Sequence[str]) -> dict[str, str | None]:
+    """Of each package the version that is installed here; None if there is none."""
+    out: dict[str, str | None] = {}
+    for p in packages:
+        try:
+            out[p] = version(p)
+        except PackageNotFoundError:
+            out[p] = None
+    return out
+
+
 def verified(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """``path, status`` of a manifest (``path, sha256``): ok, changed or missing."""
     f = files.select("path", F.col("sha256").alias("found"))

@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,7 @@ def test_records_hashes_and_sinks(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("a")
     (tmp_path / "in" / "sub" / "b.txt").write_text("b")
     hashes = {os.path.basename(r.path): r.sha256 for r in tables.file_hashes(spark, f"{tmp_path}/in", recursive=True).collect()}
+    assert tables.versions(["pyspark", "no-such-package"]) == {"pyspark": pyspark.__version__, "no-such-package": None}
     assert hashes == {f"{x}.txt": hashlib.sha256(x.encode()).hexdigest() for x in "ab"}
     files = tables.file_hashes(spark, f"{tmp_path}/in", recursive=True)
     manifest = files.select("path", F.upper(F.when(F.col("path").endswith("b.txt"), F.lit("0")).otherwise(F.col("sha256"))).alias("sha256"))
