@@ -97,16 +97,22 @@ def without_blanks(c: Column) -> Column:
     return c
 
 
+def hot_size(total: int) -> int:
+    """Groups of more rows than this, of ``total`` in all, are hot: there are 10,000 of them at most."""
+    return max(10_000, total // 10_000)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Inner join of rows with one row per group, by ``key``; ``n`` is the group's size.
+    """Inner join of rows with one row per group, by ``key``; ``n`` is the group's size, ``total`` the number of rows.
 
-    Groups with over ``max(10_000, total / 10_000)`` rows number 10,000 at
-    most, so those, and only those, are broadcast; their rows stay where they
-    are.  The others are joined by a shuffle in which no key is large.
+    Hot groups, if there are any, and only those, are broadcast; their rows stay where
+    they are.  The others are joined by a shuffle in which no key is large.
     """
-    least = max(10_000, total // 10_000)
-    mark = fresh([*rows.columns, *groups.columns], "hot")
+    least = hot_size(total)
     hot = groups.where(F.col(n) > least)
+    if total <= least or hot.isEmpty():
+        return rows.join(groups, key)
+    mark = fresh([*rows.columns, *groups.columns], "hot")
     marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias(mark))), key, "left")
     large = marked.where(F.col(mark)).drop(mark).join(F.broadcast(hot), key)
     rest = marked.where(F.col(mark).isNull()).drop(mark).join(groups.where(F.col(n) <= least), key)

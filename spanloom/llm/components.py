@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, written
+from .common import hot_size, join_groups, written
 
 
 def _mapped(rows: DataFrame, key: str, to: DataFrame, name: str, total: int) -> DataFrame:
     """``rows`` with ``name``, what ``to`` (``v``, ``parent``) gives for ``key``; a key of very many rows is no hot task."""
+    to = to.select(F.col("v").alias(key), F.col("parent").alias(name))
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    groups = to.select(F.col("v").alias(key), F.col("parent").alias(name)).join(sizes, key)
-    return join_groups(rows, groups, key, "_n", total).drop("_n")
+    if total <= hot_size(total) or sizes.where(F.col("_n") > hot_size(total)).isEmpty():
+        return rows.join(to, key)
+    return join_groups(rows, to.join(sizes, key), key, "_n", total).drop("_n")
 
 
 def _roots(parent: DataFrame, total: int, scratch: list[str] | None) -> DataFrame:
