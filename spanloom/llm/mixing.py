@@ -4,7 +4,7 @@
    share of each domain's documents that have it.  Tokens that are more
    frequent in one domain than in the rest beyond doubt (a z-score of ``Z``)
    and by a factor of ``LIFT`` are evidence for it, of weight log of the factor.
-   A document's posterior of the domains is a multinomial logistic regression,
+   A document's posterior of the domains, found within its row, is a multinomial logistic regression,
    fitted to the labelled documents, on its own sums of evidence (as they are, by
    their logarithms and up to ``STRONG``).  ``fit_rows`` bounds the labelled rows
    used; there are at most ``BUCKETS`` weights.
@@ -46,6 +46,8 @@ LIFT = 4.0
 LEAST_SHARE = 0.02
 #: The regression has each sum of evidence up to here as a term, too.
 STRONG = 4.0
+#: So many tokens of evidence are looked up within a document's row.
+IN_ROW = 4096
 #: No document is taken more often.
 MOST = 4
 #: Totals may be off by so much of all tokens without a warning.
@@ -64,11 +66,23 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(apart, " "), "")
 
 
-def distinct_buckets(ts: Column) -> Column:
-    """The hashed tokens of a text, each once, and one sign for how often tokens repeat: the whole log2 of the mean."""
-    hashed = F.array_distinct(F.transform(ts, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")))
-    times = F.floor(F.log2(F.size(ts) / F.greatest(F.size(hashed), F.lit(1)) + 1e-9))
-    return F.concat(hashed, F.array((F.lit(BUCKETS) + F.coalesce(times, F.lit(0)).cast("int"))))
+def hashed(ts: Column) -> Column:
+    """The buckets of a text's tokens, each once."""
+    return F.array_distinct(F.transform(ts, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")))
+
+
+def with_buckets(docs: DataFrame, text: str, n: str, buckets: str) -> DataFrame:
+    """``docs`` with its number of tokens and their distinct buckets, of which one more says how often tokens repeat: the whole log2 of the mean."""
+    ts, own = fresh([*docs.columns, n, buckets], "ts"), fresh([*docs.columns, n, buckets], "own")
+    rows = docs.withColumn(ts, tokens(F.col(f"`{text}`"))).withColumn(own, hashed(F.col(ts)))
+    times = F.floor(F.log2(F.size(ts) / F.greatest(F.size(own), F.lit(1)) + 1e-9))
+    sign = F.lit(BUCKETS) + F.coalesce(times, F.lit(0)).cast("int")
+    return rows.withColumns({n: F.size(ts).cast("long"), buckets: F.concat(own, F.array(sign))}).drop(ts, own)
+
+
+def _constant(values: list, kind: str) -> Column:
+    """A constant array, written as one text, so that a plan stays small."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
 @dataclass
@@ -91,17 +105,31 @@ class Classifier:
         e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
         return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
-    def signed(self, docs: DataFrame) -> DataFrame:
-        """``row, doc_id, n_tokens, p`` of every document of ``row, doc_id, text``."""
-        cut = docs.select("row", "doc_id", tokens(F.col("text")).alias("tokens"))
-        rows = cut.select(
-            "row", "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.explode_outer(distinct_buckets(F.col("tokens"))).alias("bucket")
-        )
+    def with_posterior(self, docs: DataFrame, text: str, n: str, p: str) -> DataFrame:
+        """``docs`` with number of tokens and posterior of each document, in the row; ``docs`` reads files.
+
+        With over ``IN_ROW`` tokens of evidence, which would be looked through for each document, tokens are joined.
+        """
+        b, s = fresh([*docs.columns, n, p], "b"), fresh([*docs.columns, n, p], "s")
         ws = [f"w{i}" for i in range(len(self.domains))]
-        sums = rows.join(F.broadcast(self.weights), "bucket", "left").groupBy("row").agg(
-            F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.array(*[_sum(w) for w in ws]).alias("s")
-        )
-        return sums.select("row", "doc_id", "n_tokens", self.posterior(F.col("s")).alias("p"))
+        rows = self.weights.limit(IN_ROW + 1).collect()
+        if len(rows) <= IN_ROW:
+            rows.sort(key=lambda r: r["bucket"])
+            known = _constant([r["bucket"] for r in rows], "int") if rows else F.array().cast("array<int>")
+            held = with_buckets(docs, text, n, b).withColumn(b, F.array_intersect(b, known))
+
+            def total(w: str) -> Column:
+                """The weights of a document's evidence, in the order of its buckets."""
+                of = _constant([r[w] for r in rows], "double") if rows else F.array().cast("array<double>")
+                return F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(of, F.array_position(known, x).cast("int") - 1))
+
+            sums = [F.round(total(w), 9) for w in ws]
+            return held.withColumn(s, F.array(*sums)).withColumn(p, self.posterior(F.col(s))).drop(b, s)
+        row = fresh([*docs.columns, n, p, b, s], "row")
+        docs = docs.withColumn(row, F.monotonically_increasing_id())
+        each = with_buckets(docs.select(row, F.col(f"`{text}`").alias(text)), text, n, b).select(row, n, F.explode_outer(b).alias("bucket"))
+        sums = each.join(F.broadcast(self.weights), "bucket", "left").groupBy(row).agg(F.max(n).alias(n), F.array(*[_sum(w) for w in ws]).alias(s))
+        return docs.join(sums.select(row, n, self.posterior(F.col(s)).alias(p)), row).drop(row)
 
 
 def _sum(w: str) -> Column:
@@ -152,7 +180,7 @@ def fit(
     share = min(1.0, fit_rows / max(1, labels.count()))
     picked = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) < share * 1_000_003)
     known = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "doc_id")
-    known = known.select("domain", F.sort_array(distinct_buckets(tokens(F.col("text")))).alias("buckets"))
+    known = with_buckets(known, "text", "n", "buckets").select("domain", F.sort_array("buckets").alias("buckets"))
     known = written(known.withColumn("as", F.xxhash64("buckets")).dropDuplicates(["as", "domain"]).drop("as"), "labelled", scratch)
     n = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     total = sum(n.values())
@@ -195,13 +223,13 @@ def rates(groups: DataFrame, target: list[float], floor: Column | None = None, m
     return groups.withColumn("rate", rate(steps(groups, target, floor, most), floor, most))
 
 
-def _along(at: list[float]) -> Column:
-    return sum((F.lit(float(x)) * F.col("p")[i] for i, x in enumerate(at)), F.lit(0.0))
+def _along(at: list[float], p: str = "p") -> Column:
+    return sum((F.lit(float(x)) * F.col(p)[i] for i, x in enumerate(at)), F.lit(0.0))
 
 
-def rate(at: list[float], floor: Column, most: float) -> Column:
+def rate(at: list[float], floor: Column, most: float, p: str = "p") -> Column:
     """``1 - at . p``, projected to the bounds."""
-    return F.least(F.greatest(floor, F.lit(1.0) - _along(at)), F.lit(float(most)))
+    return F.least(F.greatest(floor, F.lit(1.0) - _along(at, p)), F.lit(float(most)))
 
 
 def steps(groups: DataFrame, target: list[float], floor: Column, most: float) -> list[float]:
@@ -241,29 +269,35 @@ def steps(groups: DataFrame, target: list[float], floor: Column, most: float) ->
     return at.tolist()
 
 
+ADDED = ["n_tokens", "p", "domain", "rate", "copies"]
+
+
 def _decided(
-    docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...], text: str, doc_id: str, row: str,
-    fit_rows: int, most: float,
-) -> DataFrame:
-    """``row, n_tokens, p, domain, rate, copies`` of ``docs``, whose ``row`` tells rows apart."""
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...], text: str, doc_id: str, fit_rows: int, most: float
+) -> tuple[DataFrame, list[str]]:
+    """``docs``, which reads files, with what is ``ADDED``, and the names under which, which no column of ``docs`` has.
+
+    Texts are read twice, for the totals and for the rates, but never move.
+    """
     if most < 1:
         raise ValueError("most must be 1 at least")
-    domains = list(targets)
-    rows = docs.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
-    scratch: list[str] = []
-    signed = written(fit(rows, labels, domains, fit_rows=fit_rows, scratch=scratch).signed(rows), "posteriors")
-    groups = written(signed.groupBy("p").agg(F.sum("n_tokens").alias("n")), "posterior-groups", scratch)
+    domains, scratch, names = list(targets), [], []
+    for c in ADDED:
+        names.append(fresh([*docs.columns, *names], c))
+    n, p, domain, x, copies = names
+    model = fit(docs, labels, domains, text, doc_id, fit_rows, scratch)
+    signed = model.with_posterior(docs, text, n, p)
+    groups = written(signed.groupBy(F.col(p).alias("p")).agg(F.sum(n).alias("n")), "posterior-groups", scratch)
     own = groups.agg(*[F.coalesce(F.sum(F.col("n") * F.col("p")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
     weight = {d: w / sum(targets.values()) for d, w in targets.items()}
-    budget = max([sum(own), *[1.01 * x / weight[d] for d, x in zip(domains, own, strict=True) if d in keep]])
-    likeliest = F.lit(domains)[F.array_position("p", F.array_max("p")).cast("int") - 1]
-    floor = F.when(likeliest.isin(*keep), F.lit(1.0)).otherwise(F.lit(0.0))
-    at = steps(groups, [weight[d] * budget for d in domains], floor, most)
-    drop(docs.sparkSession, scratch)
-    got = signed.withColumn("rate", rate(at, floor, most)).withColumn("domain", likeliest)
-    chance = F.pmod(F.xxhash64("doc_id", "n_tokens", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
-    return got.select(F.col("row").alias(row), "doc_id", "n_tokens", "p", "domain", "rate", copies.cast("long").alias("copies"))
+    budget = max([sum(own), *[1.01 * t / weight[d] for d, t in zip(domains, own, strict=True) if d in keep]])
+    likeliest = lambda c: F.lit(domains)[F.array_position(c, F.array_max(c)).cast("int") - 1]
+    floor = lambda c: F.when(likeliest(c).isin(*keep), F.lit(1.0)).otherwise(F.lit(0.0))
+    at = steps(groups, [weight[d] * budget for d in domains], floor("p"), most)
+    drop(docs.sparkSession, [t for t in scratch if "/evidence-" not in t])
+    got = signed.withColumn(domain, likeliest(p)).withColumn(x, rate(at, floor(p), most, p))
+    chance = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(n), F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return got.withColumn(copies, (F.floor(x) + (chance < F.col(x) - F.floor(x)).cast("long")).cast("long")), names
 
 
 def mix(
@@ -295,18 +329,14 @@ def mix(
     rows all posteriors are alike; an empty table gives an empty one.
     ``stored``: ``docs`` reads files, so that its rows have the same place each time.
     """
-    added = ["n_tokens", "p", "domain", "rate", "copies"]
-    if text in added or doc_id in added:
-        raise ValueError(f"the text and id columns may not be named as one of {added}")
-    docs = docs.drop(*added)
+    if text in ADDED or doc_id in ADDED:
+        raise ValueError(f"the text and id columns may not be named as one of {ADDED}")
+    docs = docs.drop(*ADDED)
     if not stored:
         docs = written(docs, "documents")
-    row = fresh([*docs.columns, *added, "doc_id"], "row")
-    docs = docs.withColumn(row, F.monotonically_increasing_id())
-    got = _decided(docs, labels, targets, keep, text, doc_id, row, fit_rows, most)
-    if not with_columns:
-        return got.drop(row)
-    return docs.join(got.drop("doc_id"), row).select(*[F.col(f"`{c}`") for c in docs.columns if c != row], *added)
+    got, names = _decided(docs, labels, targets, keep, text, doc_id, fit_rows, most)
+    columns = [F.col(f"`{c}`") for c in docs.columns] if with_columns else [F.col(f"`{doc_id}`").alias("doc_id")]
+    return got.select(*columns, *[F.col(n).alias(a) for n, a in zip(names, ADDED, strict=True)])
 
 
 def resampled(
@@ -316,11 +346,10 @@ def resampled(
     """The rows of ``docs``, each as often as ``mix`` takes it, with all its columns, whatever their names, and no others."""
     if not stored:
         docs = written(docs, "documents")
-    row, times = fresh(docs.columns, "row"), fresh([*docs.columns, "row"], "times")
-    placed = docs.withColumn(row, F.monotonically_increasing_id())
-    got = _decided(placed, labels, targets, keep, text, doc_id, row, fit_rows, most).where("copies > 0")
-    got = got.select(row, F.sequence(F.lit(1).cast("long"), F.col("copies")).alias(times))
-    return placed.join(got, row).withColumn(times, F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    got, names = _decided(docs, labels, targets, keep, text, doc_id, fit_rows, most)
+    copies = F.col(names[-1])
+    times = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<long>"))
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(times).alias(names[-1])).drop(names[-1])
 
 
 def totals(mixed: DataFrame, targets: dict[str, float]) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 
+from spanloom.llm import mixing
 from spanloom.llm.mixing import MOST, fit, mix, rates, resampled, totals
 from spanloom.llm.queries import MIX_KEEP, MIX_TARGETS, domain_labels, op2_mixing
 
@@ -140,3 +141,16 @@ def test_nulls_repeats_no_labels_and_empty(spark):
     assert len(mix(docs, labels, {"a": 1, "b": 1}).collect()) == 5
     assert mix(docs.limit(0), labels, {"a": 1, "b": 1}).collect() == []
     assert len(fit(docs, none, DOMAINS).prior) == 3
+
+
+def test_evidence_in_the_row_and_joined_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    labels = domain_labels(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    targets = {"good": 0.8, "plain": 0.12, "toxic": 0.08}
+    found = []
+    for most in (mixing.IN_ROW, 0):
+        monkeypatch.setattr(mixing, "IN_ROW", most)
+        got = mix(docs, labels, targets, stored=True)
+        found.append(sorted((r.doc_id, r.n_tokens, *[round(x, 7) for x in r.p], r.domain, round(r.rate, 5)) for r in got.collect()))
+        assert got.columns == [*docs.columns, *mixing.ADDED]
+    assert found[0] == found[1] and len({r[2] for r in found[0]}) > 3
