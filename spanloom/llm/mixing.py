@@ -273,11 +273,13 @@ ADDED = ["n_tokens", "p", "domain", "rate", "copies"]
 
 
 def _decided(
-    docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...], text: str, doc_id: str, fit_rows: int, most: float
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...], text: str, doc_id: str, fit_rows: int, most: float,
+    without_text: bool = False,
 ) -> tuple[DataFrame, list[str]]:
     """``docs``, which reads files, with what is ``ADDED``, and the names under which, which no column of ``docs`` has.
 
-    Texts are read twice, for the totals and for the rates, but never move.
+    Texts are read twice, for the totals and for the rates, but never move; ``without_text``,
+    they are read once, and ids and posteriors are written between.
     """
     if most < 1:
         raise ValueError("most must be 1 at least")
@@ -287,6 +289,8 @@ def _decided(
     n, p, domain, x, copies = names
     model = fit(docs, labels, domains, text, doc_id, fit_rows, scratch)
     signed = model.with_posterior(docs, text, n, p)
+    if without_text:
+        signed = written(signed.drop(text) if text != doc_id else signed, "posteriors")
     groups = written(signed.groupBy(F.col(p).alias("p")).agg(F.sum(n).alias("n")), "posterior-groups", scratch)
     own = groups.agg(*[F.coalesce(F.sum(F.col("n") * F.col("p")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
     weight = {d: w / sum(targets.values()) for d, w in targets.items()}
@@ -334,7 +338,9 @@ def mix(
     docs = docs.drop(*ADDED)
     if not stored:
         docs = written(docs, "documents")
-    got, names = _decided(docs, labels, targets, keep, text, doc_id, fit_rows, most)
+    if not with_columns:
+        docs = docs.select(*dict.fromkeys([doc_id, text]))
+    got, names = _decided(docs, labels, targets, keep, text, doc_id, fit_rows, most, without_text=not with_columns)
     columns = [F.col(f"`{c}`") for c in docs.columns] if with_columns else [F.col(f"`{doc_id}`").alias("doc_id")]
     return got.select(*columns, *[F.col(n).alias(a) for n, a in zip(names, ADDED, strict=True)])
 
