@@ -31,7 +31,7 @@ GROUP = 16
 CELLS = 3 * GROUP
 ROUNDS = 24
 ATTEMPTS = 12
-LONG = 200
+LONG = 600
 #: Where long lines are cut: at the space after a mark.
 SENTENCE = "(?<=[.!?;\u2026\u3002\uff01\uff1f]) "
 

@@ -9,7 +9,7 @@ from spanloom.llm.fingerprint import differences, edited_fingerprints
 
 def paragraphs(t):
     """Lines, long ones cut after sentences."""
-    return [p for line in t.split("\n") for p in (re.split("(?<=[.!?;…。！？]) ", line) if len(line) > 200 else [line])]
+    return [p for line in t.split("\n") for p in (re.split("(?<=[.!?;…。！？]) ", line) if len(line) > 600 else [line])]
 
 
 def brute(rows):
