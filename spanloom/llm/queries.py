@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import centroids as op11
 from . import exact_dedup as op7
 from . import fingerprint as op5
 from . import html_text as op6
@@ -114,6 +115,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", op10.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of ``embeddings`` and its distance to the cluster's centroid."""
+    found, centres = op11.cluster(_table(spark, sf_dir, "embeddings"))
+    digests = F.array(*[F.lit(d) for d in op11.digests(centres)]).cast("array<string>")
+    return found.withColumn("centroid_sha256", F.get(digests, F.col("cluster")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -125,8 +133,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_language_id": op10_language_id,
+    "op11_centroids": op11_centroids,
 }
 
+
+def _lloyd_sql() -> str:
+    """The rounds of ``centroids`` one after the other, as lists of whole numbers."""
+    near = lambda r: f"""a{r} AS MATERIALIZED (SELECT p, min(struct_pack(d := list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c := c)) AS best
+        FROM kept, c{r} GROUP BY p)"""
+    floor = "(s - ((s % n) + n) % n) // n"
+    move = lambda r: f"""s{r} AS (SELECT best.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{r} JOIN kept USING (p), range(1, 65) t(i) GROUP BY ALL),
+    c{r + 1} AS MATERIALIZED (SELECT c{r}.c AS c, coalesce(g.m, c{r}.m) AS m FROM c{r} LEFT JOIN (SELECT c, list(({floor})::BIGINT ORDER BY i) AS m FROM s{r} GROUP BY c) g USING (c))"""
+    rounds = ",\n    ".join(f"{near(r)},\n    {move(r)}" for r in range(op11.ROUNDS))
+    return f"""
+    WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS p, vec_id, list_transform(embedding, lambda x: floor({op11.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = {op11.SIZE} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (SELECT row_number() OVER w - 1 AS c, v AS m FROM kept WINDOW w AS (ORDER BY sha256('{op11.SEED}:' || vec_id) NULLS LAST, v)
+        QUALIFY row_number() OVER w <= {op11.K}),
+    {rounds},
+    {near(op11.ROUNDS)}
+    SELECT vec_id, best.c::INTEGER AS cluster, best.d::BIGINT AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia,
+        sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+    FROM a{op11.ROUNDS} JOIN kept USING (p) JOIN c{op11.ROUNDS} ON c{op11.ROUNDS}.c = best.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": """
         WITH rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
@@ -160,3 +190,4 @@ ORACLE_SQL: dict[str, str] = {
         WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
     """,
 }
+ORACLE_SQL["op11_centroids"] = _lloyd_sql()
