@@ -15,6 +15,7 @@ from . import language_id as op10
 from . import mixing as op2
 from . import near_dedup as op8
 from . import packing as op4
+from . import periodic_runs as op12
 from . import sentence_spans as op9
 from . import token_file as op3
 from . import url_filter as op1
@@ -122,6 +123,11 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("centroid_sha256", F.get(digests, F.col("cluster")))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every text of ``documents``, after some were given one."""
+    return op12.periodic_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -134,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentence_spans": op9_sentence_spans,
     "op10_language_id": op10_language_id,
     "op11_centroids": op11_centroids,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 
