@@ -16,6 +16,7 @@ from . import mixing as op2
 from . import near_dedup as op8
 from . import packing as op4
 from . import periodic_runs as op12
+from . import quality_rules as op13
 from . import sentence_spans as op9
 from . import token_file as op3
 from . import url_filter as op1
@@ -128,6 +129,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12.periodic_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), plant=True)
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of every text of ``documents``, and whether the rules learned from ``labels`` keep it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = op13.learn(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return op13.quality_rules(docs, rules).select("doc_id", *op13.COUNTS[:5], "base_failed", "kept", "rule")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -141,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_centroids": op11_centroids,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 
