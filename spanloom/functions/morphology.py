@@ -1,6 +1,6 @@
 """Variants of tokens: suffix roots and English base forms, as array columns.
 
-They depend on the token alone; ``words`` computes them once per distinct token.
+They depend on the token alone.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import small
-from .text import has_malayalam, normal
+from .lookup import Lookup
+from .text import has_malayalam, let, normal
 
 #: Suffixes that hold beside any supplied list.
 CORE_SUFFIXES = ("യുടെ", "ന്റെ", "നുള്ള", "ത്തിൽ", "കളെ", "ങ്ങൾ", "ങ്ങളായി", "മായി", "പ്പെട്ടു", "നിന്റെ")
@@ -39,31 +40,40 @@ def suffix_roots(base: Column, suffixes: Sequence[str] = CORE_SUFFIXES) -> Colum
     return F.sort_array(F.array_union(one, shorter(one)))
 
 
-def english_lemma(token: Column) -> Column:
-    """Base form by rule: possessive, then -ies, -ses, -s."""
+def english_lemma(token: Column, lemmas: Lookup | None = None) -> Column:
+    """Base form: without possessive, what the dictionary ``lemmas`` has, else by rule: -ies, -ses, -s."""
     owned = token.endswith("'s") & (F.length(token) > 3)
     base = F.when(owned, F.substring(token, F.lit(1), F.length(token) - 2)).otherwise(token)
     cut = lambda n: F.substring(base, F.lit(1), F.length(base) - n)
-    return (
+    by_rule = (
         F.when(base.endswith("ies") & (F.length(base) > 4), F.concat(cut(3), F.lit("y")))
         .when(base.endswith("ses") & (F.length(base) > 4), cut(2))
         .when(base.endswith("s") & ~base.endswith("ss") & (F.length(base) > 3), cut(1))
         .otherwise(base)
     )
+    return F.coalesce(lemmas(base), by_rule) if lemmas else by_rule
 
 
-def variants(token: Column, suffixes: Sequence[str] = CORE_SUFFIXES, basic: bool = False) -> Column:
+def variants(
+    token: Column, suffixes: Sequence[str] = CORE_SUFFIXES, basic: bool = False, lemmas: Lookup | None = None, normalised: bool = False
+) -> Column:
     """All forms under which a token may be found, sorted: itself, suffix roots, base forms.
 
     Suffixes go from tokens with Malayalam letters; base forms are those of
-    forms without.  ``basic``: the token alone.
+    forms without.  ``basic``: the token alone.  ``normalised``: the token is ``normal`` already.
     """
-    base = normal(token)
+    base = token if normalised else normal(token)
+    alone = F.filter(F.array(base), lambda v: v != "")
     if basic:
-        return F.filter(F.array(base), lambda v: v != "")
-    roots = F.when(has_malayalam(base), suffix_roots(base, suffixes)).otherwise(F.array(base))
-    lemmas = F.transform(F.filter(roots, lambda f: ~has_malayalam(f)), english_lemma)
-    return F.sort_array(F.filter(F.array_union(roots, lemmas), lambda v: v != ""))
+        return alone
+
+    def with_lemmas(roots: Column) -> Column:
+        bases = F.transform(F.filter(roots, lambda f: ~has_malayalam(f)), lambda f: english_lemma(f, lemmas))
+        return F.sort_array(F.filter(F.array_union(roots, bases), lambda v: v != ""))
+
+    # By the rules only words in s have another base form.
+    may = F.lit(True) if lemmas else base.endswith("s")
+    return F.when(has_malayalam(base), let(suffix_roots(base, suffixes), with_lemmas)).when(may, with_lemmas(F.array(base))).otherwise(alone)
 
 
 def with_lemmas(tokens: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:

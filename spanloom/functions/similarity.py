@@ -23,12 +23,17 @@ def sequence_ratio(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
+def needed(a: Column, b: Column, cutoff: float) -> Column:
+    """The ratio that words of two lengths need."""
+    short = F.least(a, b)
+    return F.when(short <= 3, max(cutoff, 0.90)).when(short <= 5, max(cutoff, 0.80)).otherwise(cutoff)
+
+
 def fuzzy_allowed(variant: Column, target: Column, ratio: Column, cutoff: float) -> Column:
     """Whether a ratio suffices: shorter words need more, words of one script the same first character,
     and lengths may differ by two or two fifths."""
-    short = F.least(F.length(variant), F.length(target))
     long = F.greatest(F.length(variant), F.length(target))
-    need = F.when(short <= 3, max(cutoff, 0.90)).when(short <= 5, max(cutoff, 0.80)).otherwise(cutoff)
+    need = needed(F.length(variant), F.length(target), cutoff)
     same_script = has_malayalam(variant) == has_malayalam(target)
     first = F.substring(variant, 1, 1) == F.substring(target, 1, 1)
     apart = F.abs(F.length(variant) - F.length(target)) <= F.greatest(F.lit(2), F.round(long * 0.4).cast("int"))

@@ -1,26 +1,26 @@
 """Candidate spans of a lexicon in tokenised texts, by joins: exact, fuzzy and by pattern.
 
 This is the way for lexicons too large for ``matcher``, which finds the same.
-A tokenised text is one row, ``row_idx, tokens``.  Windows are built inside the
-row and only windows that match leave it, so texts aren't repeated.
+A tokenised text is one row, ``row_idx, tokens``; what leaves it is a place with the few tokens around it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import small
+from ..functions.lookup import Lookup
 from ..functions.morphology import CORE_SUFFIXES, variants
-from ..functions.similarity import fuzzy_allowed, sequence_ratio
-from ..functions.text import has_malayalam, normal
+from ..functions.text import normal
+from . import lattice, patterns
+from .fuzzy import similar_entries
 
-#: Longest window, and most combinations of variants tried in one.
-LONGEST, COMBINATIONS = 4, 64
-#: Lexicons of so many first words at most prune windows before they leave their row.
-MOST_FIRSTS = 5_000
+#: Tokens of the longest window.
+LONGEST = 4
 # Words beside which a bare number is a size or a price.
 MEMORY_WORDS = ("gb", "mb", "kb", "tb", "ജിബി", "ram", "storage", "memory")
 PRICE_WORDS = (
@@ -41,11 +41,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def analysed(texts: DataFrame, stop: Sequence[str] = (), suffixes: Sequence[str] = CORE_SUFFIXES, basic: bool = False) -> DataFrame:
+def analysed(
+    texts: DataFrame, stop: Sequence[str] = (), suffixes: Sequence[str] = CORE_SUFFIXES, basic: bool = False, lemmas: Lookup | None = None
+) -> DataFrame:
     """``row_idx, tokens, forms, norms, stops``: each token's variants, normal form, and whether one of them is a stop word."""
     texts = settled(texts.select("row_idx", "tokens"))
-    out = texts.withColumn("forms", F.transform("tokens", lambda t: variants(t, suffixes, basic)))
-    out = settled(out.withColumn("norms", F.transform("tokens", normal)))
+    out = settled(texts.withColumn("norms", F.transform("tokens", normal)))
+    out = settled(out.withColumn("forms", F.transform("norms", lambda t: variants(t, suffixes, basic, lemmas, normalised=True))))
     if not stop:
         return out.withColumn("stops", F.transform("tokens", lambda _: F.lit(False)))
     found = F.array_intersect(F.flatten("forms"), F.array(*[F.lit(w) for w in sorted(set(stop))]))
@@ -65,135 +67,51 @@ def phone_allowed(category: Column, surface: Column) -> Column:
     return ~((category == "phone") & (surface.rlike(NUMBER) | surface.rlike(NUMBER_OR_K)))
 
 
-def _flags(c: Column, test) -> Column:
-    """A test of each token as a string of 0 and 1: windows then cut strings, not arrays."""
-    return F.array_join(F.transform(c, lambda t: F.when(test(t), "1").otherwise("0")), "")
+def _described(rows: DataFrame) -> DataFrame:
+    """Rows with ``row_idx, start, n, around``: ``end, surface, filtered, is_number, by_memory, by_price`` in place of ``n`` and ``around``."""
+    at, norms = F.col("around.at"), F.col("around.norms")
 
+    def beside(words: Sequence[str], radius: int) -> Column:
+        left = F.greatest(F.lit(0), at - radius)
+        return F.arrays_overlap(F.slice(norms, left + 1, at + F.col("n") + radius - left), F.array(*[F.lit(w) for w in words]))
 
-def windows(
-    analysed: DataFrame, longest: int = LONGEST, lengths: Sequence[int] | None = None, firsts: Sequence[str] | None = None,
-    combinations: int | None = COMBINATIONS,
-) -> DataFrame:
-    """``row_idx, start, end, surface, filtered, by_memory, by_price, phrases`` of all windows.
+    surface = F.array_join(F.slice(norms, at + 1, F.col("n")), " ")
+    return rows.withColumns({
+        "end": F.col("start") + F.col("n"), "surface": surface, "filtered": F.forall(F.slice("around.stops", at + 1, F.col("n")), lambda s: s),
+        "is_number": (F.col("n") == 1) & surface.rlike(NUMBER), "by_memory": beside(MEMORY_WORDS, 1), "by_price": beside(PRICE_WORDS, 2),
+    }).drop("around")
 
-    ``lengths``: windows of these numbers of tokens only.  ``firsts``: only
-    windows that can begin with one of these words.
-    """
-    is_in = lambda ws: lambda t: t.isin(*ws)
-    rows = settled(analysed).withColumns(
-        {
-            "stop": _flags(F.col("stops"), lambda s: s),
-            "memory": _flags(F.col("norms"), is_in(MEMORY_WORDS)),
-            "price": _flags(F.col("norms"), is_in(PRICE_WORDS)),
-            "several": _flags(F.col("forms"), lambda f: F.size(f) != 1),
-        }
-    )
-    starts = F.sequence(F.lit(0), F.size("tokens") - 1)
-    if firsts is not None:
-        known = F.array_intersect(F.flatten("forms"), F.array(*[F.lit(w) for w in firsts]).cast("array<string>"))
-        rows = settled(rows.withColumn("known", known).where(F.size("known") > 0))
-        starts = F.filter(starts, lambda i: F.arrays_overlap(F.get("forms", i), F.col("known")))
-    rows = settled(rows.where(F.size("tokens") > 0).withColumn("starts", starts))
-    ns = sorted(lengths or range(1, longest + 1))
-
-    def any_in(c: str, i: Column, n: int, radius: int) -> Column:
-        left = F.greatest(F.lit(0), i - radius)
-        return F.contains(F.substring(F.col(c), left + 1, i + n + radius - left), F.lit("1"))
-
-    def window(i: Column, n: int) -> Column:
-        surface = F.array_join(F.slice("norms", i + 1, n), " ")
-        combos = F.aggregate(F.slice("forms", i + 1, n), F.array(F.lit("")), joined)
-        plain = ~F.contains(F.substring(F.col("several"), i + 1, F.lit(n)), F.lit("1"))
-        return F.struct(
-            i.alias("start"),
-            (i + n).alias("end"),
-            surface.alias("surface"),
-            (F.substring(F.col("stop"), i + 1, F.lit(n)) == "1" * n).alias("filtered"),
-            any_in("memory", i, n, 1).alias("by_memory"),
-            any_in("price", i, n, 2).alias("by_price"),
-            F.when(plain, F.array(surface)).otherwise(combos).alias("phrases"),
-        )
-
-    def joined(acc: Column, forms: Column) -> Column:
-        """The variants so far with each of the next token's, in order; the first ``combinations`` of them."""
-        each = F.flatten(F.transform(acc, lambda a: F.transform(forms, lambda v: F.when(a == "", v).otherwise(F.concat(a, F.lit(" "), v)))))
-        return F.slice(each, 1, combinations) if combinations else each
-
-    def of(n: int) -> Column:
-        return F.transform(F.filter("starts", lambda i: i + n <= F.size("tokens")), lambda i: window(i, n))
-
-    return rows.select("row_idx", F.inline(F.concat(*map(of, ns)))).withColumn("is_number", F.col("surface").rlike(NUMBER))
-
-
-def exact(analysed: DataFrame, entries: DataFrame, longest: int = LONGEST, combinations: int | None = COMBINATIONS) -> DataFrame:
-    """Windows one of whose phrases is an entry; the lexicon is broadcast if it is small."""
-    literal = entries.where(~F.col("is_regex") & F.size("tokens").between(1, longest))
-    keyed = literal.select(
-        F.array_join("tokens", " ").alias("phrase"), "ord", "category", "norm", "is_trigger", F.size("tokens").alias("n")
-    )
-    lengths = [r["n"] for r in keyed.select("n").distinct().collect()]
-    if not lengths:
-        return _columns(windows(analysed.limit(0)), entries.limit(0))
-    firsts = [r[0] for r in literal.select(F.col("tokens")[0]).distinct().limit(MOST_FIRSTS + 1).collect()]
-    rows = windows(analysed, longest, lengths, firsts if len(firsts) <= MOST_FIRSTS else None, combinations).select("*", F.posexplode("phrases").alias("combo", "phrase")).drop("phrases")
-    hit = rows.join(small(keyed), "phrase")
-    gen = F.struct(F.lit(0).alias("a"), (F.col("start") - F.col("end")).alias("b"), F.col("start").alias("c"), F.col("combo").alias("d"), F.col("ord").alias("e"))
-    return _candidates(hit, F.lit(1.0), "exact", F.col("norm"), gen)
 
+def exact(analysed: DataFrame, entries: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """Windows one of whose phrases, over all forms of their tokens, is an entry."""
+    hits = lattice.joined(analysed, entries, longest, patterns.around(F.col("start"), 2, longest + 1))
+    hits = _described(hits.where(F.size("found.entries") > 0)).select("*", F.inline("found.entries"))
+    gen = F.struct(F.lit(0).alias("a"), (-F.col("n")).alias("b"), F.col("start").alias("c"), F.col("place").alias("d"), F.col("ord").alias("e"))
+    return _candidates(hits, F.lit(1.0), "exact", F.col("norm"), gen)
 
-def by_pattern(analysed: DataFrame, entries: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """Windows that a pattern matches whole, whatever the case; what is no pattern finds nothing.
 
-    Patterns are few and come from a file, so each becomes part of the plan.
-    """
-    patterns = entries.where("is_regex").select("ord", "category", "norm", "raw", "is_trigger").orderBy("ord").collect()
-    patterns = [p for p in patterns if _is_pattern(analysed.sparkSession, p["raw"])]
-    rows = windows(analysed, longest).drop("phrases")
-    if not patterns:
-        return _columns(rows.limit(0), entries.limit(0))
-    hits = [
-        F.when(
-            F.col("surface").rlike(f"(?iuU)\\A(?:{p['raw']})\\z"),
-            F.struct(F.lit(p["ord"]).cast("long").alias("ord"), F.lit(p["category"]).alias("category"), F.lit(p["norm"]).alias("norm"), F.lit(p["is_trigger"]).alias("is_trigger")),
-        )
-        for p in patterns
-    ]
-    rows = rows.withColumn("hits", F.array_compact(F.array(*hits))).where(F.size("hits") > 0)
-    rows = rows.select("*", F.inline("hits")).drop("hits")
-    gen = F.struct(F.lit(2).alias("a"), F.col("ord").cast("int").alias("b"), (F.col("start") - F.col("end")).alias("c"), F.col("start").alias("d"), F.col("ord").alias("e"))
+def by_pattern(analysed: DataFrame, entries: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """Windows that a pattern matches whole, whatever the case; what is no pattern finds nothing."""
+    rows = _described(patterns.joined(analysed, entries, longest)).select("*", "entry.ord", "entry.category", "entry.norm", "entry.is_trigger")
+    gen = F.struct(F.lit(2).alias("a"), F.col("ord").cast("int").alias("b"), (-F.col("n")).alias("c"), F.col("start").cast("long").alias("d"), F.col("ord").alias("e"))
     return _candidates(rows, F.lit(1.0), "regex", F.col("surface"), gen)
 
 
-def _is_pattern(spark: SparkSession, raw: str) -> bool:
-    """Whether the engine takes a pattern."""
-    try:
-        spark.range(1).where(F.lit("").rlike(f"(?iuU)\\A(?:{raw})\\z")).count()
-    except Exception as e:
-        if "pattern" in str(e).lower():
-            return False
-        raise
-    return True
-
-
 def fuzzy(analysed: DataFrame, entries: DataFrame, cutoff: float = 0.75) -> DataFrame:
     """Single tokens like a one-word entry of the same script and first character.
 
-    The ratio is taken once per distinct pair of variant and entry; of a token's
-    variants that pass the gate the best counts; a token that is an entry
+    The ratio is taken once per distinct pair of form and word that may pass; of a token's
+    forms that pass the gate the best counts; a token that is an entry
     exactly is no fuzzy candidate for it.
     """
-    bucket = lambda c: [has_malayalam(c).alias("script"), F.substring(c, 1, 1).alias("initial")]
-    words = entries.where(~F.col("is_regex") & (F.size("tokens") == 1)).withColumn("word", F.col("tokens")[0])
-    words = words.select("ord", "category", "norm", "is_trigger", "word", *bucket(F.col("word")))
-    rows = windows(analysed, 1, [1]).select("*", F.explode("phrases").alias("form")).drop("phrases")
-    forms = rows.select("form").distinct().select("form", *bucket(F.col("form")))
-    pairs = forms.join(small(words), ["script", "initial"]).where("form <> word")
-    pairs = pairs.withColumn("score", sequence_ratio("form", "word"))
-    pairs = pairs.where(fuzzy_allowed(F.col("form"), F.col("word"), F.col("score"), cutoff)).select("form", "ord", "category", "norm", "is_trigger", "score")
-    exact_hit = rows.join(small(words.select(F.col("word").alias("form"), "ord")), "form").select("row_idx", "start", "ord").distinct()
-    hit = rows.join(pairs, "form").join(exact_hit, ["row_idx", "start", "ord"], "left_anti")
-    best = hit.groupBy(*[c for c in hit.columns if c not in ("form", "score")]).agg(F.max("score").alias("score"))
-    gen = F.struct(F.lit(1).alias("a"), F.col("start").alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"), F.col("ord").alias("e"))
+    place = F.explode(F.sequence(F.lit(0), F.size("forms") - 1)).alias("start")
+    rows = analysed.where(F.size("forms") > 0).select("row_idx", place, "*")
+    rows = rows.select("row_idx", "start", F.lit(1).alias("n"), patterns.around(F.col("start"), 2, 2).alias("around"), F.get("forms", F.col("start")).alias("forms"))
+    rows = rows.select("*", F.explode("forms").alias("form"))
+    pairs = similar_entries(rows.select("form").distinct(), entries, cutoff)
+    hit = rows.join(small(pairs), "form").where(~F.array_contains(F.col("forms"), F.col("word")))
+    best = _described(hit.groupBy("row_idx", "start", "ord").agg(F.max("score").alias("score"), *[F.any_value(c).alias(c) for c in ("n", "around", "category", "norm", "is_trigger")]))
+    gen = F.struct(F.lit(1).alias("a"), F.col("start").alias("b"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("d"), F.col("ord").alias("e"))
     return _candidates(best, F.col("score"), "fuzzy", F.col("norm"), gen)
 
 
@@ -208,31 +126,21 @@ def _candidates(hits: DataFrame, score: Column, kind: str, canonical: Column, ge
     return first.withColumn("match_type", F.lit(kind)).select(*COLUMNS)
 
 
-def _columns(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    none = rows.crossJoin(entries.select("ord", "category", "norm", "is_trigger"))  # both are empty
-    gen = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"), F.col("ord").alias("e"))
-    return _candidates(none, F.lit(1.0), "none", F.col("norm"), gen)
-
-
 def candidates(
-    analysed: DataFrame, entries: DataFrame, kinds: Sequence[str] = ("exact", "fuzzy", "regex"), cutoff: float = 0.75, longest: int = LONGEST,
-    combinations: int | None = COMBINATIONS,
-) -> DataFrame:
+    analysed: DataFrame, entries: DataFrame, kinds: Sequence[str] = ("exact", "fuzzy", "regex"), cutoff: float = 0.75, longest: int = LONGEST
+) -> DataFrame:
     """All candidates of the given kinds, by joins with the lexicon; kinds that are off aren't planned.
 
-    Lexicons of some 100,000 entries are matched without a join (see ``matcher``).
+    Small lexicons are matched without a join (see ``matcher``).
     """
     parts = []
     if "exact" in kinds:
-        parts.append(exact(analysed, entries, longest, combinations))
+        parts.append(exact(analysed, entries, longest))
     if "fuzzy" in kinds:
         parts.append(fuzzy(analysed, entries, cutoff))
     if "regex" in kinds:
         parts.append(by_pattern(analysed, entries, longest))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def numbers(texts: DataFrame) -> DataFrame:

@@ -1,51 +1,44 @@
-"""One pass over texts: tokens, candidates of a lexicon, and the spans chosen among them, all in the text's own row.
+"""One scan of the texts: tokens, candidates of a lexicon, and the spans chosen among them, as expressions in the text's own row.
 
-A lexicon of up to ``MOST_ENTRIES`` entries, which is checked, goes to the tasks as a
-phrase table, buckets of single words and compiled patterns; what can be known of a
-token alone (forms, stop word, similar words) is found once per distinct token.
-Larger lexicons are joined (see ``candidates``).  Texts never shuffle.
+A lexicon of up to ``MOST_ENTRIES`` entries, which is checked, becomes tables that expressions
+look up (prefixes of phrases, grams of patterns, words that tokens are like), so texts
+never shuffle and no Python reads them, but for NFC.  Larger lexicons are joined (see ``candidates``).
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from difflib import SequenceMatcher
-from itertools import islice, product
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.morphology import CORE_SUFFIXES
-from ..functions.words import Kept, has_malayalam, lists, normal, token_batches, tokeniser, variants
-from .candidates import COMBINATIONS, LONGEST, MEMORY_WORDS, PRICE_WORDS
+from ..functions.lookup import Lookup, lookup
+from ..functions.morphology import CORE_SUFFIXES, variants
+from ..functions.text import EDGE, SPACE, let, nfc, normal, tokens
+from . import lattice, patterns
+from .candidates import LONGEST, MEMORY_WORDS, NUMBER, PRICE_WORDS, number_allowed, phone_allowed, settled
+from .fuzzy import similar_entries
+from .select import chosen_in_row
 
-MOST_ENTRIES = 200_000
+MOST_ENTRIES = 5_000
 KINDS = ("exact", "fuzzy", "regex")
-_NUMBER = re.compile(r"\d+(?:\.\d+)?")
-_NUMBER_OR_K = re.compile(r"\d+(?:\.\d+)?[kK\u212a]?")
+#: A character that may keep a token from being normal.
+ABNORMAL = f"[[^a-z0-9 ]&&[’{EDGE}\\p{{Lu}}\\p{{Lt}}{SPACE[1:-1]}]]|^ | $|  "
 SPAN = (
     "array<struct<start:int,end:int,category:string,canonical:string,score:double,match_type:string,is_trigger:boolean,"
-    "filtered:boolean,gen:struct<a:int,b:int,c:int,d:int,e:bigint>,surface:string>>"
+    "filtered:boolean,gen:struct<a:int,b:int,c:int,d:bigint,e:bigint>,surface:string>>"
 )
-_GEN = pa.struct([(c, pa.int32()) for c in "abcd"] + [("e", pa.int64())])
-_SPAN = pa.struct([
-    ("start", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("canonical", pa.string()), ("score", pa.float64()),
-    ("match_type", pa.string()), ("is_trigger", pa.bool_()), ("filtered", pa.bool_()), ("gen", _GEN), ("surface", pa.string()),
-])
 
 
 @dataclass(frozen=True)
 class Search:
-    """How candidates are found; ``combinations`` bounds the phrases tried per window, None tries all."""
+    """How candidates are found; ``lemmas`` are pairs of a form and its base form, which count before the rules."""
 
     cutoff: float = 0.75
     longest: int = LONGEST
     basic: bool = False
     suffixes: tuple[str, ...] = CORE_SUFFIXES
-    combinations: int | None = COMBINATIONS
     lemmas: tuple[tuple[str, str], ...] = ()
 
 
@@ -60,212 +53,167 @@ class Choice:
     simple: bool = False
 
 
-Candidate = tuple  # as _SPAN
-
-
-def fuzzy_fits(form: str, word: str, ratio: float, cutoff: float) -> bool:
-    """See ``similarity.fuzzy_allowed``."""
-    short, long = sorted((len(form), len(word)))
-    need = max(cutoff, 0.90) if short <= 3 else max(cutoff, 0.80) if short <= 5 else cutoff
-    same = has_malayalam(form) == has_malayalam(word)
-    return bool(form) and ratio >= need and (not same or form[:1] == word[:1]) and long - short <= max(2, int(long * 0.4 + 0.5))
-
-
-class Matcher:
-    """Finds the candidates of a text's tokens; ``entries`` has ``ord, category, norm, raw, is_regex, is_trigger, tokens``."""
-
-    def __init__(self, entries: Sequence, search: Search, kinds: Sequence[str], stop: Sequence[str]) -> None:
-        self.search, self.kinds = search, kinds
-        self.phrases: dict[str, list] = {}
-        self.buckets: dict[tuple[bool, str], list] = {}
-        self.patterns = []
-        literal = [e for e in entries if not e["is_regex"]]
-        for e in literal:
-            if 1 <= len(e["tokens"]) <= search.longest:
-                self.phrases.setdefault(" ".join(e["tokens"]), []).append(e)
-            if len(e["tokens"]) == 1:
-                self.buckets.setdefault((has_malayalam(e["tokens"][0]), e["tokens"][0][:1]), []).append(e)
-        self.lengths = sorted({len(e["tokens"]) for e in literal if 1 <= len(e["tokens"]) <= search.longest})
-        firsts = {e["tokens"][0] for e in literal if e["tokens"]}
-        for e in entries:
-            # What is no pattern finds nothing, as an entry that isn't there.
-            if e["is_regex"] and (p := compiled(e["raw"])):
-                self.patterns.append((e, p))
-        # One pattern of all, unless references to groups would go astray.
-        together = len(self.patterns) > 1 and not any(p.groups for _, p in self.patterns)
-        self.any = compiled("|".join(f"(?:{e['raw']})" for e, _ in self.patterns)) if together else None
-        stops, lemmas = set(stop), dict(search.lemmas)
-
-        def about(token: str) -> tuple:
-            forms = variants(token, search.suffixes, search.basic, lemmas)
-            norm = normal(token)
-            return norm, forms, not stops.isdisjoint(forms), not firsts.isdisjoint(forms), norm in MEMORY_WORDS, norm in PRICE_WORDS
-
-        self.about = Kept(about)
-        self.similar = Kept(self._similar)
-        self.one = Kept(self._matching)
-
-    def _similar(self, token: str) -> list[tuple]:
-        """``ord``, entry and score of the words a token is like, but for those it is exactly."""
-        forms, best = self.about[token][1], {}
-        for form in forms:
-            for e in self.buckets.get((has_malayalam(form), form[:1]), ()):
-                word = e["tokens"][0]
-                if word in forms:
-                    continue
-                score = SequenceMatcher(None, form, word).ratio()
-                if fuzzy_fits(form, word, score, self.search.cutoff) and score > best.get(e["ord"], (None, -1.0))[1]:
-                    best[e["ord"]] = (e, score)
-        return [best[o] for o in sorted(best)]
-
-    def _matching(self, surface: str) -> list:
-        if self.any and not self.any.fullmatch(surface):
-            return []
-        return [e for e, p in self.patterns if p.fullmatch(surface)]
-
-    def candidates(self, tokens: list[str]) -> list[Candidate]:
-        """All candidates, each place, category and form of a kind once, as first generated."""
-        infos = [self.about[t] for t in tokens]
-        n, found = len(tokens), {}
-        norms = [i[0] for i in infos]
-
-        def add(kind: str, entry, start: int, end: int, score: float, surface: str, canonical: str, gen: tuple) -> None:
-            category = entry["category"]
-            if end - start == 1 and _NUMBER.fullmatch(surface):
-                near = lambda at, r: any(i[at] for i in infos[max(0, start - r) : end + r])
-                if category == "phone" or category == "memory" and not near(4, 1) or category == "price" and not near(5, 2):
-                    return
-            key = (kind, start, end, category, entry["norm"])
-            if key not in found or gen < found[key][8]:
-                filtered = all(i[2] for i in infos[start:end])
-                found[key] = (start, end, category, canonical, score, kind, entry["is_trigger"], filtered, gen, surface)
-
-        if "exact" in self.kinds:
-            for start in range(n):
-                if not infos[start][3]:
-                    continue
-                for k in self.lengths:
-                    end = start + k
-                    if end > n:
-                        break
-                    combos = product(*[i[1] for i in infos[start:end]])
-                    for c, words in enumerate(islice(combos, self.search.combinations)):
-                        for e in self.phrases.get(" ".join(words), ()):
-                            add("exact", e, start, end, 1.0, " ".join(norms[start:end]), e["norm"], (0, -k, start, c, e["ord"]))
-        if "fuzzy" in self.kinds:
-            for start, token in enumerate(tokens):
-                for e, score in self.similar[token]:
-                    add("fuzzy", e, start, start + 1, score, norms[start], e["norm"], (1, start, 0, 0, e["ord"]))
-        if "regex" in self.kinds and self.patterns:
-            for start in range(n):
-                surface = ""
-                for end in range(start + 1, min(n, start + self.search.longest) + 1):
-                    surface = f"{surface} {norms[end - 1]}" if end > start + 1 else norms[start]
-                    for e in self.one[surface] if end == start + 1 else self._matching(surface):
-                        add("regex", e, start, end, 1.0, surface, surface, (2, e["ord"], start - end, start, e["ord"]))
-        return sorted(found.values(), key=lambda c: c[8])
-
-
-def compiled(raw: str) -> re.Pattern | None:
-    """A pattern whatever the case; None if it is no pattern."""
-    try:
-        return re.compile(raw, re.I)
-    except re.error:
-        return None
-
-
-def evidence(kind: str, length: int) -> int:
-    """See ``select.evidence``."""
-    if kind == "exact":
-        return 5 if length > 1 else 4
-    return {"regex": 3, "fuzzy": 2, "semantic": 1, "contextual-extension": 0}.get(kind, -1)
-
-
-def chosen(found: list[Candidate], choice: Choice) -> list[Candidate]:
-    """The best candidate of each place, then the best first without overlap; in order of places."""
-
-    def rank(c: Candidate) -> tuple:
-        length = c[1] - c[0]
-        return (-length if choice.simple else -evidence(c[5], length), -c[4], c[0], c[8])
-
-    best: dict[tuple[int, int], tuple] = {}
-    for c in found:
-        if c[5] not in choice.kinds or choice.use_guard and c[2] == "phone" and _NUMBER_OR_K.fullmatch(c[9]):
-            continue
-        r = rank(c)
-        if (c[0], c[1]) not in best or r < best[c[0], c[1]][0]:
-            best[c[0], c[1]] = (r, c)
-    used, out = set(), []
-    for _, c in sorted(best.values(), key=lambda x: x[0]):
-        if (choice.use_stop and c[7]) or not used.isdisjoint(range(c[0], c[1])):
-            continue
-        used.update(range(c[0], c[1]))
-        out.append(c)
-    return sorted(out, key=lambda c: c[0])
-
-
-def tags(n: int, spans: list[Candidate]) -> list[str]:
-    """IOB2 tags of ``n`` tokens."""
-    out = ["O"] * n
-    for c in spans:
-        out[c[0] : c[1]] = [f"B-{c[2]}", *[f"I-{c[2]}"] * (c[1] - c[0] - 1)]
-    return out
-
-
-def _spans(rows: list[list[Candidate]]) -> pa.ListArray:
-    ends, flat = [0], [c for r in rows for c in r]
-    for r in rows:
-        ends.append(ends[-1] + len(r))
-    columns = list(zip(*flat, strict=True)) if flat else [()] * len(_SPAN)
-    gen = [pa.array(c, k.type) for c, k in zip(zip(*columns[8], strict=True) if flat else [()] * 5, _GEN, strict=True)]
-    arrays = [
-        pa.StructArray.from_arrays(gen, fields=list(_GEN)) if f.name == "gen" else pa.array(c, f.type) for f, c in zip(_SPAN, columns, strict=True)
-    ]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(_SPAN)))
-
+@dataclass(frozen=True)
+class Tables:
+    """What expressions look up; None for kinds that aren't searched."""
 
-def small_lexicon(entries: DataFrame, most: int = MOST_ENTRIES) -> list | None:
-    """The lexicon's rows; None if there are over ``most``."""
-    rows = entries.select("ord", "category", "norm", "raw", "is_regex", "is_trigger", "tokens").limit(most + 1).collect()
-    return None if len(rows) > most else sorted(rows, key=lambda r: r["ord"])
+    phrases: Lookup | None
+    index: patterns.Index | None
+    similar: Lookup | None
 
 
-def matched(texts: DataFrame, entries: Sequence, choices: Mapping[str, Choice], keep: Sequence[str], stop: Sequence[str] = ()) -> DataFrame:
+def lemma_table(texts: DataFrame, lemmas: Sequence[tuple[str, str]]) -> Lookup | None:
+    """A dictionary of base forms as a table; None without one."""
+    if not lemmas:
+        return None
+    found = lookup(texts.sparkSession.createDataFrame(list(dict(lemmas).items()), "form string, lemma string"), "form", "lemma")
+    if found is None:
+        raise ValueError("the dictionary of base forms has too many entries")
+    return found
+
+
+def with_tokens(texts: DataFrame) -> DataFrame:
+    """``row_idx, tokens`` of ``row_idx, text`` (or ``tokens``); null texts have none."""
+    if "tokens" in texts.columns:
+        return texts.select("row_idx", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    return texts.select("row_idx", tokens(nfc(F.col("text"))).alias("tokens"))
+
+
+def small_lexicon(entries: DataFrame, most: int = MOST_ENTRIES) -> bool:
+    """Whether the lexicon is small enough for tables."""
+    return entries.limit(most + 1).count() <= most
+
+
+def once(entries: DataFrame) -> DataFrame:
+    """Entries that are alike in category, form and kind once, the first."""
+    pick = [F.min_by(c, "ord").alias(c) for c in ("raw", "tokens", "is_trigger")]
+    return entries.groupBy("category", "norm", "is_regex").agg(F.min("ord").cast("long").alias("ord"), *pick)
+
+
+def tables(rows: DataFrame, forms: Column, entries: DataFrame, search: Search, kinds: Sequence[str]) -> Tables | None:
+    """The tables for a search in ``rows``; None if one is too large.  Words like the lexicon's are found among the distinct forms first."""
+    found = []
+    if "exact" in kinds:
+        found.append(lookup(lattice.prefixes(entries, search.longest), "phrase", "found"))
+    if "regex" in kinds:
+        found.append(patterns.index(entries))
+    if "fuzzy" in kinds:
+        distinct = rows.select(F.explode(F.flatten(forms)).alias("form")).distinct()
+        one = F.struct("ord", "category", "norm", "is_trigger", "word", "score")
+        by_form = similar_entries(distinct, entries, search.cutoff).groupBy("form").agg(F.sort_array(F.collect_list(one)).alias("like"))
+        found.append(lookup(by_form, "form", "like"))
+    if any(t is None for t in found):
+        return None
+    by = dict(zip([k for k in ("exact", "regex", "fuzzy") if k in kinds], found, strict=True))
+    return Tables(by.get("exact"), by.get("regex"), by.get("fuzzy"))
+
+
+def candidates(norms: Column, forms: Column, known: Tables, search: Search, stop: Sequence[str]) -> Column:
+    """All candidates of a text as ``SPAN``: each place, category and form of a kind once."""
+    stops = F.array(*[F.lit(w) for w in sorted(set(stop))]).cast("array<string>")
+    surface_of = lambda start, n: F.array_join(F.slice(norms, start + 1, n), " ")
+
+    def span(start: Column, n: Column, e: Column, canonical: Column, score: Column, kind: str, surface: Column, gen: list[Column]) -> Column:
+        filtered = F.forall(F.slice(forms, start + 1, n), lambda f: F.arrays_overlap(f, stops)) if stop else F.lit(False)
+        return F.struct(
+            start.alias("start"), (start + n).alias("end"), e["category"].alias("category"), canonical.alias("canonical"), score.cast("double").alias("score"),
+            F.lit(kind).alias("match_type"), e["is_trigger"].alias("is_trigger"), filtered.alias("filtered"),
+            F.struct(*[g.cast(t).alias(c) for g, t, c in zip(gen, ("int", "int", "int", "bigint", "bigint"), "abcde", strict=True)]).alias("gen"), surface.alias("surface"),
+        )
+
+    parts, zero = [], F.lit(0)
+    if known.phrases:
+        parts.append(F.flatten(F.transform(
+            F.filter(lattice.in_row(forms, known.phrases, search.longest), lambda h: F.size(h["found"]["entries"]) > 0),
+            lambda h: F.transform(h["found"]["entries"], lambda e: span(
+                h["start"], h["n"], e, e["norm"], F.lit(1.0), "exact", surface_of(h["start"], h["n"]), [zero, -h["n"], h["start"], h["place"], e["ord"]])),
+        )))
+    if known.similar:
+
+        def like(fs: Column, i: Column) -> Column:
+            """Of the words that a token's forms are like, but are not, each entry once, by the best form."""
+            found = F.flatten(F.array_compact(F.transform(fs, known.similar)))
+            other = F.array_distinct(F.filter(found, lambda x: ~F.array_contains(fs, x["word"])))
+            best = let(other, lambda xs: F.filter(xs, lambda x: ~F.exists(xs, lambda y: (y["ord"] == x["ord"]) & (y["score"] > x["score"]))))
+            return F.transform(best, lambda x: span(i, F.lit(1), x, x["norm"], x["score"], "fuzzy", F.get(norms, i), [F.lit(1), i, zero, zero, x["ord"]]))
+
+        parts.append(F.flatten(F.transform(forms, like)))
+    if known.index:
+        parts.append(F.transform(patterns.in_row(norms, known.index, search.longest), lambda h: span(
+            h["start"], h["n"], h["entry"], h["surface"], F.lit(1.0), "regex", h["surface"], [F.lit(2), h["entry"]["ord"], -h["n"], h["start"], h["entry"]["ord"]])))
+
+    def allowed(c: Column) -> Column:
+        near = lambda words, r: F.arrays_overlap(
+            F.slice(norms, F.greatest(zero, c["start"] - r) + 1, c["end"] + r - F.greatest(zero, c["start"] - r)), F.array(*[F.lit(w) for w in words]))
+        number = (c["end"] - c["start"] == 1) & c["surface"].rlike(NUMBER)
+        return number_allowed(c["category"], number, near(MEMORY_WORDS, 1), near(PRICE_WORDS, 2))
+
+    none = F.array().cast(SPAN)
+    return F.filter(F.concat(*[p.cast(SPAN) for p in parts]) if parts else none, allowed)
+
+
+def chosen(found: Column, choice: Choice) -> Column:
+    """The spans a choice takes of candidates, in order of places."""
+    in_it = lambda c: c["match_type"].isin(*choice.kinds) & (phone_allowed(c["category"], c["surface"]) if choice.use_guard else F.lit(True))
+    return chosen_in_row(F.filter(found, in_it), choice.simple, not choice.use_stop, choice.search.longest)
+
+
+def tags(n: Column, spans: Column) -> Column:
+    """IOB2 tags of ``n`` tokens with spans in order of places."""
+    done = F.aggregate(
+        spans,
+        F.array().cast("array<string>"),
+        lambda acc, s: F.concat(
+            acc, F.array_repeat(F.lit("O"), s["start"] - F.size(acc)), F.array(F.concat(F.lit("B-"), s["category"])),
+            F.array_repeat(F.concat(F.lit("I-"), s["category"]), s["end"] - s["start"] - 1),
+        ),
+    )
+    return let(done, lambda x: F.concat(x, F.array_repeat(F.lit("O"), n - F.size(x))))
+
+
+def _forms(norms: Column, search: Search, lemmas: Lookup | None) -> Column:
+    return F.transform(norms, lambda t: variants(t, search.suffixes, search.basic, lemmas, normalised=True))
+
+
+def matched(texts: DataFrame, entries: DataFrame, choices: Mapping[str, Choice], keep: Sequence[str], stop: Sequence[str] = ()) -> DataFrame | None:
     """``row_idx`` of all texts with the columns ``keep``: ``tokens``, ``candidates``, and, by a choice's name, its spans, an
-    array as ``SPAN``, and their tags under the name with ``_tags``.
+    array as ``SPAN``, and their tags under the name with ``_tags``; None if the lexicon's tables are too large.
 
     ``texts`` has ``row_idx`` and ``tokens``, or ``text``.  Candidates are those of the first
     choice's search and kinds.  Null and empty texts have no tokens and no spans.
     """
-    given = texts.select("row_idx", "tokens" if "tokens" in texts.columns else "text")
-    plans = list(choices.items())
-    shown = list(keep)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokeniser()
-        searches = list(dict.fromkeys(c.search for _, c in plans))
-        kinds = {s: [k for k in KINDS if any(c.search == s and k in c.kinds for _, c in plans)] for s in searches}
-        finders = {s: Matcher(entries, s, kinds[s], stop) for s in searches}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                cut = token_batches(batch, tokens)
-                found = {s: [m.candidates(t) for t in cut] for s, m in finders.items()}
-                first = plans[0][1]
-                columns: dict[str, Callable[[], pa.Array]] = {
-                    "tokens": lambda cut=cut: lists(cut, pa.string()),
-                    "candidates": lambda found=found: _spans([[c for c in r if c[5] in first.kinds] for r in found[first.search]]),
-                }
-                for name, c in plans:
-                    if name in shown or f"{name}_tags" in shown:
-                        best = [chosen(r, c) for r in found[c.search]]
-                        columns[name] = lambda best=best: _spans(best)
-                        columns[f"{name}_tags"] = lambda best=best, cut=cut: lists([tags(len(t), b) for t, b in zip(cut, best, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[columns[c]() for c in shown]], names=["row_idx", *shown])
-
-    kind = lambda c: "array<string>" if c == "tokens" or c.endswith("_tags") else SPAN
-    schema = ", ".join(["row_idx " + given.schema["row_idx"].dataType.simpleString(), *[f"{c} {kind(c)}" for c in shown]])
-    return given.mapInArrow(rows, schema)
+    rows = settled(with_tokens(texts))
+    searches = list(dict.fromkeys(c.search for c in choices.values()))
+    first = next(iter(choices.values()))
+    columns: dict[str, Column] = {}
+    norms = F.col("norms")
+    rows = settled(rows.withColumn("norms", all_normal(F.col("tokens"))))
+    entries = once(entries)
+    for i, s in enumerate(searches):
+        columns[f"forms{i}"] = _forms(norms, s, lemma_table(texts, s.lemmas))
+    rows = settled(rows.withColumns(columns))
+    found: dict[str, Column] = {}
+    for i, s in enumerate(searches):
+        kinds = [k for k in KINDS if any(c.search == s and k in c.kinds for c in choices.values())]
+        known = tables(rows, F.col(f"forms{i}"), entries, s, kinds)
+        if known is None:
+            return None
+        found[f"found{i}"] = candidates(norms, F.col(f"forms{i}"), known, s, stop)
+    rows = settled(rows.withColumns(found).select("row_idx", "tokens", *found))
+    at = lambda c: F.col(f"found{searches.index(c.search)}")
+    named = [n for n in choices if n in keep or f"{n}_tags" in keep]
+    # A choice's name may be that of a column.
+    rows = rows.select("row_idx", "tokens", F.filter(at(first), lambda c: c["match_type"].isin(*first.kinds)).alias("candidates") if "candidates" in keep else F.lit(None).alias("candidates"),
+                       *[chosen(at(choices[n]), choices[n]).alias(n) for n in named])
+    if any(f"{n}_tags" in keep for n in named):
+        rows = settled(rows)
+        rows = rows.withColumns({f"{n}_tags": tags(F.size("tokens"), F.col(n)) for n in named if f"{n}_tags" in keep})
+    return rows.select("row_idx", *keep)
+
+
+def all_normal(ts: Column) -> Column:
+    """``normal`` of every token; texts whose tokens are all normal already are seen at once."""
+    return F.when(~F.array_join(ts, " ").rlike(ABNORMAL), ts).otherwise(F.transform(ts, normal))
 
 
 def exploded(rows: DataFrame, column: str) -> DataFrame:

@@ -6,10 +6,11 @@ without a context model).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def evidence(kind: Column, length: Column) -> Column:
     """Strength of a candidate's evidence."""
@@ -55,37 +56,72 @@ def best_per_span(candidates: DataFrame, simple: bool = False) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(place)).where("nth = 1").drop("nth")
 
 
-def _free(starts: Column, ends: Column) -> Column:
-    """Of spans in order of preference the numbers of those that overlap none taken before."""
+def _rank_of(c: Column, simple: bool, scored: bool) -> list[Column]:
+    """``rank`` of a candidate as columns of which the least wins; ``scored``: it has a margin and a context."""
+    length = c["end"] - c["start"]
+    if simple:
+        return [-length, -c["score"]]
+    context = [-F.coalesce(c["margin"], F.lit(-1.0)), -F.coalesce(c["context"], F.lit(-1.0))] if scored else []
+    return [-evidence(c["match_type"], length), *context, -c["score"]]
 
-    def one(s, e) -> list[int]:
-        used, out = bytearray(max(e, default=0)), []
-        for i, (a, b) in enumerate(zip(s, e, strict=True)):
-            if not any(used[a:b]):
-                used[a:b] = b"\x01" * (b - a)
-                out.append(i)
-        return out
 
-    def run(starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([one(s, e) for s, e in zip(starts, ends, strict=True)], dtype=object)
+def chosen_in_row(found: Column, simple: bool = False, stop_words: bool = False, longest: int | None = None, scored: bool = False) -> Column:
+    """Of an array of candidates the best of each place, then the best first without overlap, in order of places.
 
-    return F.pandas_udf(run, "array<int>")(starts, ends)
+    Of equal ones the first in place, then the first generated wins; candidates of stop words alone never enter unless ``stop_words``.
+    Candidates part into stretches that don't touch, and the choice is made within each, so work follows
+    the stretches.  ``longest`` bounds the candidates' tokens; without it the longest is looked up.
+    """
+    ranked = lambda c: F.struct(
+        c["start"].alias("start"), c["end"].alias("end"), F.struct(*[x.alias(f"r{i}") for i, x in enumerate(_rank_of(c, simple, scored))]).alias("rank"),
+        c["gen"].alias("gen"), c.alias("c"),
+    )
+
+    def first_of_place(xs: Column) -> Column:
+        before = lambda i: F.get(xs, i - 1)
+        same = lambda x, i: (i > 0) & (before(i)["start"] == x["start"]) & (before(i)["end"] == x["end"])
+        return F.filter(xs, lambda x, i: ~F.coalesce(same(x, i), F.lit(False)))
+
+    def greedy(xs: Column) -> Column:
+        """The choice within a stretch."""
+        key = lambda x: F.struct(x["rank"].alias("rank"), x["start"].alias("start"), x["gen"].alias("gen"), x["c"].alias("c"))
+        inside = lambda t, c: (t["start"] < c["end"]) & (c["start"] < t["end"])
+        in_order = F.transform(F.array_sort(F.transform(xs, key)), lambda x: x["c"])
+        first = F.slice(in_order, 1, 1)
+        taken = F.aggregate(
+            F.slice(in_order, F.lit(2), F.size(xs)), first, lambda acc, c: F.when(F.exists(acc, lambda t: inside(t, c)), acc).otherwise(F.concat(acc, F.array(c)))
+        )
+        return F.when(F.size(xs) == 1, F.transform(xs, lambda x: x["c"])).otherwise(taken)
+
+    def stretches(xs: Column, width: Column) -> Column:
+        """No candidate of a place before reaches into the place at which a stretch begins."""
+        reach = width * width
+        inside = lambda x, i: F.exists(F.slice(xs, F.greatest(F.lit(1), i + 1 - reach), F.least(i, reach)), lambda y: y["end"] > x["start"])
+        starts = F.filter(F.transform(xs, lambda x, i: F.when(~inside(x, i), i)), lambda i: i.isNotNull())
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(xs)))
+        return F.zip_with(starts, ends, lambda a, b: F.slice(xs, a + 1, b - a))
+
+    def choice(xs: Column) -> Column:
+        width = F.lit(longest) if longest else F.array_max(F.transform(xs, lambda x: x["end"] - x["start"]))
+        parts = lambda w: F.flatten(F.transform(stretches(xs, w), greedy))
+        taken = parts(width) if longest else let(width, parts)
+        return F.transform(F.array_sort(F.transform(taken, lambda c: F.struct(c["start"].alias("start"), c.alias("c")))), lambda x: x["c"])
+
+    best = let(F.array_sort(F.transform(found, ranked)), first_of_place)
+    kept = best if stop_words else F.filter(best, lambda x: ~x["c"]["filtered"])
+    none = F.slice(found, F.lit(1), F.lit(0))
+    return let(kept, lambda xs: F.when(F.size(xs) > 0, choice(xs)).otherwise(none))
 
 
 def without_overlap(candidates: DataFrame, simple: bool = False) -> DataFrame:
     """Greedy choice per text, best rank first; candidates of stop words alone never enter.
 
-    A text's spans are in one row, which its length bounds; each span marks the
-    tokens it takes, so work is in proportion to their lengths.
+    A text's candidates come together in one row, which its length bounds.
     """
-    best = best_per_span(candidates, simple).where(~F.col("filtered"))
-    columns = [c for c in best.columns if c not in ("row_idx", "rank")]
-    # sort_array is descending by rank; of equal ranks the first generated comes first.
-    order = F.struct(F.col("rank").alias("rank"), F.struct(*[(-F.col(f"gen.{k}")).alias(k) for k in "abcde"]).alias("early"), F.struct(*columns).alias("c"))
-    rows = best.groupBy("row_idx").agg(F.sort_array(F.collect_list(order), asc=False).alias("cs"))
-    taken = _free(F.transform("cs", lambda x: x["c"]["start"]), F.transform("cs", lambda x: x["c"]["end"]))
-    rows = rows.select("row_idx", F.transform(taken, lambda i: F.col("cs")[i]["c"]).alias("taken"))
-    return rows.select("row_idx", F.inline("taken"))
+    rows = with_scores(candidates)
+    columns = [c for c in rows.columns if c != "row_idx"]
+    by_text = rows.groupBy("row_idx").agg(F.collect_list(F.struct(*columns)).alias("found"))
+    return by_text.select("row_idx", F.inline(chosen_in_row(F.col("found"), simple, scored=True)))
 
 
 def merged(spans: DataFrame) -> DataFrame:

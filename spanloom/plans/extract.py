@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.morphology import CORE_SUFFIXES
-from ..functions.words import with_tokens
 from ..operators import context as ctx
-from ..operators.candidates import COMBINATIONS, analysed, candidates, guarded, phone_allowed
-from ..operators.matcher import Choice, Search, exploded, matched, small_lexicon
+from ..operators.candidates import analysed, candidates, guarded, phone_allowed
+from ..operators.matcher import Choice, Search, exploded, lemma_table, matched, once, small_lexicon, with_tokens
 from ..operators.metrics import board, contributions
 from ..operators.select import merged, with_scores, without_overlap
 from ..operators.tags import aspects, aspects_in_row, emitted
@@ -25,8 +24,6 @@ class Config:
     kinds: tuple[str, ...] = ("exact", "fuzzy", "regex")
     fuzzy_cutoff: float = 0.75
     longest: int = 4
-    #: Phrases of variants tried per window; None tries all.
-    combinations: int | None = COMBINATIONS
     #: Base forms of words that count before the rules, as pairs.
     lemmas: tuple[tuple[str, str], ...] = ()
     basic: bool = False
@@ -56,7 +53,7 @@ class Config:
 
     def choice(self) -> Choice:
         """What the one pass over texts does of this configuration."""
-        search = Search(self.fuzzy_cutoff, self.longest, self.basic, self.suffixes, self.combinations, self.lemmas)
+        search = Search(self.fuzzy_cutoff, self.longest, self.basic, self.suffixes, self.lemmas)
         return Choice(search, self.kinds, self.use_stop, self.use_guard, not self.evidence_aware)
 
     @property
@@ -82,25 +79,24 @@ def extract(
 
     Each text depends on itself alone, so the plan also runs on a stream up to the
     selection.  Without a context model every result is one pass over the texts,
-    which stay rows of their own; a lexicon that is too large for that is joined.
+    which stay rows of their own, but that words like the lexicon's are found among the distinct
+    forms first; a lexicon that is too large for that is joined.
     """
     stop = stop if config.use_stop else ()
-    known = small_lexicon(entries)
-    if known is not None and config.in_row:
+    if config.in_row and small_lexicon(entries):
         choice = {"spans": config.choice()}
-        pass_over = lambda *keep: matched(texts, known, choice, keep, stop)
-        found = with_scores(exploded(pass_over("candidates"), "candidates"))
-        if config.use_guard:
-            found = found.where(phone_allowed(F.col("category"), F.col("surface")))
-        tagged = pass_over("tokens", "spans_tags").withColumnRenamed("spans_tags", "tags")
-        return {"candidates": found, "spans": with_scores(exploded(pass_over("spans"), "spans")), "tagged": tagged, "aspects": aspects_in_row(pass_over("spans"))}
-
-    texts = texts if "tokens" in texts.columns else with_tokens(texts)
-    rows = analysed(texts, stop, config.suffixes, config.basic)
-    if known is not None:
-        found = exploded(matched(texts, known, {"spans": config.choice()}, ("candidates",), stop), "candidates").drop("surface")
-    else:
-        found = candidates(rows, entries, config.kinds, config.fuzzy_cutoff, config.longest, config.combinations)
+        keep = ("candidates", "tokens", "spans", "spans_tags")
+        rows = matched(texts, entries, choice, keep, stop)
+        if rows is not None:
+            found = with_scores(exploded(rows, "candidates"))
+            if config.use_guard:
+                found = found.where(phone_allowed(F.col("category"), F.col("surface")))
+            tagged = rows.select("row_idx", "tokens", F.col("spans_tags").alias("tags"))
+            return {"candidates": found, "spans": with_scores(exploded(rows, "spans")), "tagged": tagged, "aspects": aspects_in_row(rows)}
+
+    texts = with_tokens(texts)
+    rows = analysed(texts, stop, config.suffixes, config.basic, lemma_table(texts, config.lemmas))
+    found = candidates(rows, once(entries), config.kinds, config.fuzzy_cutoff, config.longest)
     found = with_scores(found)
     vectors = centres = None
     if config.use_context:
@@ -151,11 +147,12 @@ def systems(texts: DataFrame, entries: DataFrame, configs: dict[str, Config], st
 
     Configurations that search alike share their candidates.
     """
-    known = small_lexicon(entries)
-    if known is None or not all(c.in_row for c in configs.values()):
+    rows = None
+    if all(c.in_row for c in configs.values()) and small_lexicon(entries):
+        rows = matched(texts, entries, {n: c.choice() for n, c in configs.items()}, tuple(configs), stop)
+    if rows is None:
         parts = [extract(texts, entries, c, stop)["spans"].select(F.lit(n).alias("system"), "row_idx", "start", "end", "category") for n, c in configs.items()]
         return reduce(DataFrame.unionByName, parts)
-    rows = matched(texts, known, {n: c.choice() for n, c in configs.items()}, tuple(configs), stop)
     place = lambda n: F.transform(n, lambda s: F.struct(F.lit(n).alias("system"), s["start"].alias("start"), s["end"].alias("end"), s["category"].alias("category")))
     return rows.select("row_idx", F.inline(F.concat(*[place(n) for n in configs]))).select("system", "row_idx", "start", "end", "category")
 

@@ -64,7 +64,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenised(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return tokenised(texts(spark, sf_dir))
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
@@ -193,7 +193,7 @@ def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    return tables.spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "text"))
 
 
 def _found(spark: SparkSession, sf_dir: str, *kinds: str, basic: bool = True) -> DataFrame:

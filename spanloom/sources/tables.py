@@ -132,3 +132,13 @@ def verified(manifest: DataFrame, files: DataFrame) -> DataFrame:
     rows = manifest.select("path", "sha256").join(f, "path", "left")
     status = F.when(F.col("found").isNull(), "missing").when(F.col("found") == F.lower("sha256"), "ok").otherwise("changed")
     return rows.select("path", status.alias("status"))
+
+
+#: Bytes up to which rows are dealt out to all cores.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """A small table with its rows dealt out to all cores, as a small file is often one row group, so one task; larger ones as they are."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
