@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import morphology, text
 from ..functions.joins import small
 from ..operators import agreement as agr
-from ..operators import audit, candidates, context, matcher, metrics, resample, select, splits, tags
+from ..operators import audit, candidates, context, grid, matcher, metrics, resample, select, splits, tags
 from ..sources import tables
 from .extract import Config, ablations, extract, systems, tokenised
 
@@ -565,3 +565,39 @@ def file_hash_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = docs.select("path", F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
     found = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("path", F.sha2("text", 256).alias("sha256"))
     return tables.verified(manifest, found)
+
+
+# Contexts and margins stand for those of a model: numbers of a candidate's place and category, so that SQL says the same.
+GRID = [grid.Thresholds(exact=e, trigger=t, margin=m) for e in (0.0, 0.3, 0.6) for t in (0.0, 0.5) for m in (None, 0.0, 0.2)]
+_GRID = "grid(config_id, exact, trig, margin) AS (VALUES " + ", ".join(f"({i}, {t.exact}, {t.trigger}, {'NULL' if t.margin is None else t.margin}::DOUBLE)" for i, t in enumerate(GRID)) + ")"
+_PHRASE = "match_type = 'exact' AND e - s > 1"
+
+
+@query(f"""WITH {SIMPLE}, gold AS ({_GOLD}), {_GRID},
+    sc AS (SELECT *, ((row_idx * 7 + s * 13 + e + length(category)) % 100) / 100.0 AS context, ((row_idx * 3 + s * 5 + length(category)) % 50) / 100.0 - 0.1 AS mg FROM cand WHERE {_GUARD}),
+    ok AS (SELECT config_id, sc.*, {_EVIDENCE} AS ev FROM sc, grid WHERE CASE WHEN {_PHRASE} THEN true WHEN is_trigger THEN context >= trig WHEN e - s = 1 THEN context >= exact ELSE true END
+            AND ({_PHRASE} OR margin IS NULL OR mg >= margin)),
+    top AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY config_id, row_idx, s, e ORDER BY ev DESC, mg DESC, context DESC, a, b, c, d, ord) = 1),
+    lists AS (SELECT config_id, row_idx, list({{'s': s, 'e': e, 'category': category}} ORDER BY ev DESC, mg DESC, context DESC, s, a, b, c, d, ord) AS l FROM top WHERE NOT filtered GROUP BY ALL),
+    got AS (SELECT config_id, row_idx, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda t: t.s < y[1].e AND y[1].s < t.e)) = 0 THEN acc || y ELSE acc END)) AS x FROM lists),
+    hits AS (SELECT config_id, count(*) AS n, count(g.s) AS tp FROM got LEFT JOIN gold g ON got.row_idx = g.row_idx AND x.s = g.s AND x.e = g.e AND x.category = g.category GROUP BY config_id),
+    board AS (SELECT config_id, exact, trig, margin, {_PRF} FROM (SELECT grid.*, coalesce(tp, 0) AS tp, coalesce(n, 0) - coalesce(tp, 0) AS fp, (SELECT count(*) FROM gold) - coalesce(tp, 0) AS fn FROM grid LEFT JOIN hits USING (config_id)))
+    SELECT config_id, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support, exact::DOUBLE AS exact, trig::DOUBLE AS trigger, margin FROM board""")
+def grid_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All configurations of a grid of thresholds, in one pass over the texts, against the gold of the ablation."""
+    choices = {"gold": Config(kinds=("exact", "regex"), basic=True, evidence_aware=False).choice(), "guarded": BASE.choice()}
+    rows = matcher.matched(texts(spark, sf_dir), lexicon(spark), choices, ("candidates", "gold"), STOP)
+    size = lambda c: F.length(c["category"])
+    number = lambda c: F.col("row_idx") * 7 + c["start"] * 13 + c["end"] + size(c)
+    margin = lambda c: F.pmod(F.col("row_idx") * 3 + c["start"] * 5 + size(c), F.lit(50)) / 100 - 0.1
+    fit = F.filter("candidates", lambda c: candidates.phone_allowed(c["category"], c["surface"]))
+    with_scores = F.transform(fit, lambda c: c.withField("context", F.pmod(number(c), F.lit(100)) / 100).withField("margin", margin(c)))
+    true = F.filter("gold", lambda s: (F.col("row_idx") + s["start"]) % 5 != 0)
+    rows = candidates.settled(rows.select(with_scores.alias("found"), true.alias("gold")))
+    return _rounded(grid.board(rows, GRID, longest=4).drop("fuzzy", "cutoff").withColumn("config_id", F.col("config_id").cast("int")), "precision", "recall", "f1")
+
+
+@query(ORACLE_SQL["grid_board"].replace("FROM board", "FROM (SELECT *, row_number() OVER (ORDER BY f1 DESC, precision DESC, recall DESC, config_id) AS nth FROM board) WHERE nth = 1"))
+def best_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best configuration of the grid."""
+    return splits.best_config(grid_board(spark, sf_dir))
