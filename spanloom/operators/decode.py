@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 NEVER = -1e9
 
 
@@ -17,35 +17,43 @@ def legal(before: str | None, tag: str) -> bool:
     return not tag.startswith("I-") or before in (f"B-{tag[2:]}", f"I-{tag[2:]}")
 
 
-def best_tags(labels: Sequence[str], transitions: np.ndarray | None = None, observed: Sequence[str] | None = None):
-    """A pandas UDF from scores (an array per token, in the order of ``labels``) to the best legal tags.
+def best_tags(
+    labels: Sequence[str], transitions: Sequence[Sequence[float]] | None = None, observed: Sequence[str] | None = None
+) -> Callable[[Column | str], Column]:
+    """An expression from scores (an array per token, in the order of ``labels``) to the best legal tags, as a fold over the tokens.
 
-    ``transitions[i, j]`` is added from label i to j; labels not in ``observed``
-    are left out.  Of equal sequences the one of earlier labels counts.
+    ``transitions[i][j]`` is added from label i to j; labels not in ``observed``
+    are left out.  Of equal sequences the one of earlier labels counts.  The fold carries the best totals by
+    label and, for every token, from which label each came.  Null or no tokens give no tags.
     """
-    n = len(labels)
-    step = np.zeros((n, n)) if transitions is None else np.array(transitions, dtype=float)
-    step = np.where([[legal(a, b) for b in labels] for a in labels], step, NEVER)
-    start = np.array([0.0 if legal(None, b) else NEVER for b in labels])
-    mask = np.array([0.0 if observed is None or b in observed else NEVER for b in labels])
-
-    @F.pandas_udf("array<string>")
-    def decode(scores: pd.Series) -> pd.Series:
-        def one(rows) -> list[str]:
-            if rows is None or not len(rows):
-                return []
-            s = np.array([list(r) for r in rows], dtype=float) + mask
-            total, back = s[0] + start, []
-            for row in s[1:]:
-                reach = total[:, None] + step
-                back.append(reach.argmax(axis=0))
-                total = reach.max(axis=0) + row
-            at = [int(total.argmax())]
-            for b in reversed(back):
-                at.append(int(b[at[-1]]))
-            return [labels[i] for i in reversed(at)]
-
-        return pd.Series([one(r) for r in scores], dtype=object)
+    given = transitions if transitions is not None else [[0.0] * len(labels)] * len(labels)
+    into = [[float(given[i][j]) if legal(a, b) else NEVER for i, a in enumerate(labels)] for j, b in enumerate(labels)]
+    mask = [0.0 if observed is None or b in observed else NEVER for b in labels]
+    first = [m if legal(None, b) else m + NEVER for m, b in zip(mask, labels, strict=True)]
+    numbers = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<double>")
+    steps = F.array(*[numbers(x) for x in into])
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    state = "struct<total:array<double>,back:array<array<int>>>"
+
+    def step(acc: Column, scores: Column) -> Column:
+        reached = F.transform(steps, lambda s: plus(acc["total"], s))
+        best = lambda rs: F.struct(
+            plus(F.transform(rs, F.array_max), plus(scores.cast("array<double>"), numbers(mask))).alias("total"),
+            F.concat(acc["back"], F.array(F.transform(rs, lambda r: F.array_position(r, F.array_max(r)).cast("int") - 1))).alias("back"),
+        ).cast(state)
+        return let(reached, best)
+
+    def decode(scores: Column | str) -> Column:
+        scores = F.col(scores) if isinstance(scores, str) else scores
+        start = F.struct(plus(F.get(scores, F.lit(0)).cast("array<double>"), numbers(first)).alias("total"), F.array().cast("array<array<int>>").alias("back")).cast(state)
+        found = F.aggregate(F.slice(scores, F.lit(2), F.size(scores)), start, step)
+        back_from = lambda x: F.aggregate(
+            F.reverse(x["back"]), F.array(F.array_position(x["total"], F.array_max(x["total"])).cast("int") - 1),
+            lambda path, b: F.concat(path, F.array(F.get(b, F.element_at(path, -1)))),
+        )
+        names = F.array(*[F.lit(x) for x in labels])
+        tags = F.transform(F.reverse(let(found, back_from)), lambda i: F.get(names, i))
+        return F.when(F.size(scores) > 0, tags).otherwise(F.array().cast("array<string>"))
 
     return decode
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.ordering import numbered
 from ..operators import agreement as agr
-from ..operators import audit, context, metrics, select, splits, tags
+from ..operators import audit, candidates, context, decode, metrics, select, splits, tags
 from ..sources import words
-from .extract import extract
+from .extract import extract, tokenised
 from .queries import (
-    _BENCH, _ROLES, BASE, CAND, CENTRES, CHOSEN, DRAWS, LEX, RATED, RATERS, SCORES, SIMPLE, SPANS, TAGS, TOK,
+    _BENCH, _KEY, _ROLES, BASE, CAND, CENTRES, CHOSEN, DRAWS, LEX, RATED, RATERS, SCORES, SIMPLE, SPANS, TAGS, TOK,
     _centres, _div, _extracted, _found, _hash, _rated, _rounded, _spans, _tagged, documents, lexicon, query, table, texts,
 )
 
@@ -127,20 +127,24 @@ _seen = lambda source, where: f"""SELECT DISTINCT norm FROM w, (SELECT ' ' || ar
 _kind = lambda s: f"CASE WHEN {s}.norm IS NOT NULL AND e.norm IS NOT NULL THEN 'both' WHEN {s}.norm IS NOT NULL THEN 'source_only' WHEN e.norm IS NOT NULL THEN 'evaluation_only' ELSE 'neither' END"
 
 
-@query(f"""WITH {TOK},{_BENCH}, {LEX}, w AS (SELECT DISTINCT norm FROM lex WHERE NOT is_regex),
-    s1 AS ({_seen('tok', 'row_idx % 2 = 0')}), s2 AS ({_seen('tok', 'row_idx % 50 = 1')}), e AS ({_seen('b_tok', 'true')}),
+_TALK = TOK.replace("cleaned AS", "c_cleaned AS").replace("tok AS", "c_tok AS").replace("doc_id AS row_idx", "conv_id AS row_idx").replace("FROM documents", "FROM conversations").replace("FROM cleaned", "FROM c_cleaned")
+
+
+@query(f"""WITH {TOK},{_BENCH},{_TALK}, {LEX}, w AS (SELECT DISTINCT norm FROM lex WHERE NOT is_regex),
+    s1 AS ({_seen('tok', 'true')}), s2 AS ({_seen('c_tok', 'true')}), e AS ({_seen('b_tok', 'true')}),
     l AS (SELECT w.norm, {_kind('s1')} AS x FROM w LEFT JOIN s1 USING (norm) LEFT JOIN e USING (norm)),
     r AS (SELECT w.norm, {_kind('s2')} AS x FROM w LEFT JOIN s2 USING (norm) LEFT JOIN e USING (norm) WHERE length(w.norm) < 8)
     SELECT norm, l.x AS "left", r.x AS "right", CASE WHEN r.norm IS NULL THEN 'only_left' WHEN l.norm IS NULL THEN 'only_right' WHEN l.x = r.x THEN 'same' ELSE 'changed' END AS status
     FROM l FULL JOIN r USING (norm)""")
 def exposure_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two audits of exposure, over other texts and of shorter forms alone, held against each other."""
+    """Two audits of exposure, one over documents and one over conversations and of shorter forms alone, held against each other."""
     only = replace(BASE, kinds=("exact",), longest=5)
     seen = lambda docs: extract(docs, lexicon(spark), only)["candidates"].select(F.col("canonical").alias("norm"))
     forms, docs = lexicon(spark).where("not is_regex"), texts(spark, sf_dir)
     bench = seen(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_idx"), "text"))
-    left = audit.exposure(forms, seen(docs.where("row_idx % 2 = 0")), bench)
-    right = audit.exposure(forms.where("length(norm) < 8"), seen(docs.where("row_idx % 50 = 1")), bench)
+    talk = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("row_idx"), "text")
+    left = audit.exposure(forms, seen(docs), bench)
+    right = audit.exposure(forms.where("length(norm) < 8"), seen(talk), bench)
     return audit.reconciled(left, right, "norm", "exposure")
 
 
@@ -240,10 +244,11 @@ def lexicon_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.inventory(lexicon(spark))
 
 
-@query(f"""WITH {TOK}, {LEX}, b AS (SELECT DISTINCT unnest(tokens) AS norm FROM tok WHERE row_idx % 5 = 0) SELECT ord, category, norm FROM lex WHERE norm NOT IN (SELECT norm FROM b)""")
+@query(f"""WITH {_BENCH}, {LEX}, b AS (SELECT DISTINCT unnest(tokens) AS norm FROM b_tok) SELECT ord, category, norm FROM lex WHERE norm NOT IN (SELECT norm FROM b)""")
 def pruned_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexicon without forms that are tokens of every fifth document."""
-    seen = documents(spark, sf_dir).where("row_idx % 5 = 0").select(F.explode("tokens").alias("norm"))
+    """The lexicon without forms that are tokens of ``benchmark``."""
+    bench = tokenised(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    seen = bench.select(F.explode("tokens").alias("norm"))
     return words.prune(lexicon(spark), seen).select("ord", "category", "norm")
 
 
@@ -289,3 +294,39 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and source stand for a key that should be one row's."""
     return audit.duplicates(table(spark, sf_dir, "documents"), "lang", "source")
 
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), k AS (SELECT doc_id, {_KEY} AS key FROM l),
+    held AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) > 1 UNION SELECT {_KEY.replace('line', 'text')} FROM benchmark)
+    SELECT doc_id, count(*) AS lines, count(*) FILTER (key IN (SELECT key FROM held)) AS quarantined FROM k GROUP BY doc_id""")
+def quarantine_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document its lines, and how many of them are lines of another document or texts of ``benchmark``, but for case, form and white space."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    keyed = lines.select("doc_id", text.text_key(F.col("line")).alias("key"))
+    repeated = keyed.where("key <> ''").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
+    held = repeated.unionByName(table(spark, sf_dir, "benchmark").select(text.text_key(F.col("text")).alias("key")))
+    clean = audit.quarantined(keyed, held).groupBy("doc_id").agg(F.count(F.lit(1)).alias("clean"))
+    every = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    return every.join(clean, "doc_id", "left").select("doc_id", "lines", (F.col("lines") - F.coalesce("clean", F.lit(0))).alias("quarantined"))
+
+
+_TAG_LABELS = ["O", "B-a", "I-a", "B-b", "I-b"]
+_INTO = [[0.25 if a == b else 0.0 if decode.legal(a, b) else decode.NEVER for a in _TAG_LABELS] for b in _TAG_LABELS]
+_FIRST = [0.0 if decode.legal(None, b) else decode.NEVER for b in _TAG_LABELS]
+_REACH = lambda j: f"list_transform(range(1, 6), lambda i: acc.total[i] + ({_INTO})[{j}][i])"
+
+
+@query(f"""WITH {TOK}, flat AS (SELECT row_idx, unnest(tokens) AS t, unnest(range(len(tokens))) AS pos FROM tok),
+    sc AS (SELECT row_idx, pos, [{', '.join(f"((length(t) * {3 + 2 * j} + pos * {j + 1} + ascii(t)) % 16) / 8.0 + CASE WHEN pos = 0 THEN {_FIRST[j]} ELSE 0.0 END" for j in range(5))}]::DOUBLE[] AS s FROM flat),
+    el AS (SELECT row_idx, list({{'total': s, 'back': []::BIGINT[][]}} ORDER BY pos) AS l FROM sc GROUP BY row_idx),
+    v AS (SELECT row_idx, list_reduce(l, lambda acc, y: {{'total': list_transform(range(1, 6), lambda j: list_max({_REACH('j')}) + y.total[j]),
+            'back': acc.back || [list_transform(range(1, 6), lambda j: list_position({_REACH('j')}, list_max({_REACH('j')})))]}}) AS x FROM el),
+    p AS (SELECT row_idx, list_reduce(list_prepend([list_position(x.total, list_max(x.total))]::BIGINT[], list_reverse(x.back)), lambda path, b: list_prepend(b[path[1]], path)) AS path FROM v)
+    SELECT row_idx, array_to_string(list_transform(path, lambda i: ({_TAG_LABELS})[i]), ' ') AS tags FROM p""")
+def viterbi_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best legal tags of every text, for scores that follow from the tokens."""
+    score = lambda t, i, j: F.pmod(F.length(t) * (3 + 2 * j) + i * (j + 1) + F.ascii(t), F.lit(16)) / F.lit(8.0)
+    scores = F.transform("tokens", lambda t, i: F.array(*[score(t, i, j) for j in range(5)]))
+    step = [[_INTO[j][i] for j in range(5)] for i in range(5)]
+    rows = documents(spark, sf_dir).where(F.size("tokens") > 0)
+    rows = candidates.settled(rows.select("row_idx", scores.alias("scores")))
+    return rows.select("row_idx", F.array_join(decode.best_tags(_TAG_LABELS, step)("scores"), " ").alias("tags"))
