@@ -132,7 +132,7 @@ def discovered(analysed: DataFrame, texts: DataFrame, candidates: DataFrame, cen
     token = token.select(F.struct("row_idx", "start").alias("at"), F.col("t.norms").alias("canonical"), F.col("t.vectors").alias("vector"))
     best = two_best(token, centroids, "at").where((F.col("score") >= least) & (F.col("margin") >= margin))
     rows = best.join(token.select("at", "canonical"), "at")
-    gen = F.struct(F.lit(3).alias("a"), F.col("at.start").alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"), F.lit(0).cast("long").alias("e"))
+    gen = F.struct(F.lit(3).alias("a"), F.col("at.start").alias("b"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("e"))
     return rows.select(
         "at.row_idx", "at.start", (F.col("at.start") + 1).alias("end"), "category", "canonical", F.lit(0.0).alias("score"),
         F.lit("semantic").alias("match_type"), F.lit(False).alias("is_trigger"), F.lit(False).alias("filtered"), gen.alias("gen"),
@@ -148,7 +148,7 @@ def extensions(selected: DataFrame, analysed: DataFrame, texts: DataFrame, centr
     rows = rows.join(texts.select("row_idx", "vectors"), "row_idx").where((F.col("at") >= 0) & (F.col("at") < F.size("norms")))
     rows = rows.where(~F.get("stops", F.col("at"))).join(F.broadcast(centroids), "category")
     rows = rows.withColumn("context", cosine(F.get("vectors", F.col("at")), F.col("centroid"))).where(F.col("context") >= least)
-    gen = F.struct(F.lit(4).alias("a"), F.col("at").alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"), F.lit(0).cast("long").alias("e"))
+    gen = F.struct(F.lit(4).alias("a"), F.col("at").alias("b"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("e"))
     return rows.select(
         "row_idx", F.col("at").alias("start"), (F.col("at") + 1).alias("end"), "category", F.get("norms", F.col("at")).alias("canonical"),
         F.lit(0.0).alias("score"), F.lit("contextual-extension").alias("match_type"), F.lit(False).alias("is_trigger"),

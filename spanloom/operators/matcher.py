@@ -79,9 +79,11 @@ def with_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("row_idx", tokens(nfc(F.col("text"))).alias("tokens"))
 
 
-def small_lexicon(entries: DataFrame, most: int = MOST_ENTRIES) -> bool:
-    """Whether the lexicon is small enough for tables."""
-    return entries.limit(most + 1).count() <= most
+def small_lexicon(entries: DataFrame, most: int = MOST_ENTRIES) -> DataFrame | None:
+    """A lexicon that is small enough for tables, read once, each entry once; None if it is larger."""
+    given = once(entries)
+    rows = given.limit(most + 1).collect()
+    return None if len(rows) > most else entries.sparkSession.createDataFrame(rows, given.schema).coalesce(1)
 
 
 def once(entries: DataFrame) -> DataFrame:
@@ -179,7 +181,7 @@ def matched(texts: DataFrame, entries: DataFrame, choices: Mapping[str, Choice],
     """``row_idx`` of all texts with the columns ``keep``: ``tokens``, ``candidates``, and, by a choice's name, its spans, an
     array as ``SPAN``, and their tags under the name with ``_tags``; None if the lexicon's tables are too large.
 
-    ``texts`` has ``row_idx`` and ``tokens``, or ``text``.  Candidates are those of the first
+    ``entries`` is from ``small_lexicon``; ``texts`` has ``row_idx`` and ``tokens``, or ``text``.  Candidates are those of the first
     choice's search and kinds.  Null and empty texts have no tokens and no spans.
     """
     rows = settled(with_tokens(texts))
@@ -188,7 +190,6 @@ def matched(texts: DataFrame, entries: DataFrame, choices: Mapping[str, Choice],
     columns: dict[str, Column] = {}
     norms = F.col("norms")
     rows = settled(rows.withColumn("norms", all_normal(F.col("tokens"))))
-    entries = once(entries)
     for i, s in enumerate(searches):
         columns[f"forms{i}"] = _forms(norms, s, lemma_table(texts, s.lemmas))
     rows = settled(rows.withColumns(columns))

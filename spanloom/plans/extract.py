@@ -83,10 +83,11 @@ def extract(
     forms first; a lexicon that is too large for that is joined.
     """
     stop = stop if config.use_stop else ()
-    if config.in_row and small_lexicon(entries):
+    known = small_lexicon(entries)
+    if config.in_row and known:
         choice = {"spans": config.choice()}
         keep = ("candidates", "tokens", "spans", "spans_tags")
-        rows = matched(texts, entries, choice, keep, stop)
+        rows = matched(texts, known, choice, keep, stop)
         if rows is not None:
             found = with_scores(exploded(rows, "candidates"))
             if config.use_guard:
@@ -96,7 +97,11 @@ def extract(
 
     texts = with_tokens(texts)
     rows = analysed(texts, stop, config.suffixes, config.basic, lemma_table(texts, config.lemmas))
-    found = candidates(rows, once(entries), config.kinds, config.fuzzy_cutoff, config.longest)
+    in_row = matched(texts, known, {"spans": config.choice()}, ("candidates",), stop) if known else None
+    if in_row is not None:
+        found = exploded(in_row, "candidates").drop("surface")
+    else:
+        found = candidates(rows, once(entries), config.kinds, config.fuzzy_cutoff, config.longest)
     found = with_scores(found)
     vectors = centres = None
     if config.use_context:
@@ -148,8 +153,9 @@ def systems(texts: DataFrame, entries: DataFrame, configs: dict[str, Config], st
     Configurations that search alike share their candidates.
     """
     rows = None
-    if all(c.in_row for c in configs.values()) and small_lexicon(entries):
-        rows = matched(texts, entries, {n: c.choice() for n, c in configs.items()}, tuple(configs), stop)
+    known = small_lexicon(entries) if all(c.in_row for c in configs.values()) else None
+    if known:
+        rows = matched(texts, known, {n: c.choice() for n, c in configs.items()}, tuple(configs), stop)
     if rows is None:
         parts = [extract(texts, entries, c, stop)["spans"].select(F.lit(n).alias("system"), "row_idx", "start", "end", "category") for n, c in configs.items()]
         return reduce(DataFrame.unionByName, parts)

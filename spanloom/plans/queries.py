@@ -586,7 +586,7 @@ _PHRASE = "match_type = 'exact' AND e - s > 1"
 def grid_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All configurations of a grid of thresholds, in one pass over the texts, against the gold of the ablation."""
     choices = {"gold": Config(kinds=("exact", "regex"), basic=True, evidence_aware=False).choice(), "guarded": BASE.choice()}
-    rows = matcher.matched(texts(spark, sf_dir), lexicon(spark), choices, ("candidates", "gold"), STOP)
+    rows = matcher.matched(texts(spark, sf_dir), matcher.small_lexicon(lexicon(spark)), choices, ("candidates", "gold"), STOP)
     size = lambda c: F.length(c["category"])
     number = lambda c: F.col("row_idx") * 7 + c["start"] * 13 + c["end"] + size(c)
     margin = lambda c: F.pmod(F.col("row_idx") * 3 + c["start"] * 5 + size(c), F.lit(50)) / 100 - 0.1
