@@ -1,8 +1,7 @@
 """Document fingerprints by invertible Bloom lookup sketches, in DataFrame operations only.
 
-A text's paragraphs (its lines, each as it is, but that a line of over ``LONG``
-characters is cut after sentences, so that an edit in it leaves the rest) are hashed
-to 64-bit digests.  Its sketch has ``3 * GROUP`` cells; each distinct digest is put into one cell of
+A text's paragraphs (its lines, cut after sentences, so that an edit in a line
+leaves the rest) are hashed to 64-bit digests.  Its sketch has ``3 * GROUP`` cells; each distinct digest is put into one cell of
 each third.  A cell has a count, the XOR of its digests and the XOR of their
 check hashes.  Subtracting two versions' sketches leaves the digests in which
 they differ: a cell with count 1 or -1 and a fitting check holds one digest,
@@ -10,8 +9,9 @@ which is taken out of its other cells, and so on until all cells are empty.
 
 If a sketch is too small for the difference, peeling stops early.  The pair
 is then tried again with 4, 16, 64 ... times as many cells: its digests are
-dealt by another hash to that many sketches of the same size, each of them a
-row of its own, so work grows in proportion to the paragraphs and no row grows.
+dealt by another hash to that many sketches of the same size.  The first
+``IN_ROW`` attempts are made where the row is; from then on each sketch is
+a row of its own, so work grows in proportion to the paragraphs and no row grows.
 
 Likeness of two fingerprints is ``1 - d / (m + n)`` for ``d`` digests that
 differ and ``m`` and ``n`` distinct paragraphs; two texts with the same
@@ -31,9 +31,10 @@ GROUP = 16
 CELLS = 3 * GROUP
 ROUNDS = 24
 ATTEMPTS = 12
-LONG = 600
-#: Where long lines are cut: at the space after a mark.
-SENTENCE = "(?<=[.!?;\u2026\u3002\uff01\uff1f]) "
+#: Attempts made within a row: with 1, 4 and 16 sketches.
+IN_ROW = 3
+#: Where texts are cut: at line feeds, and at the space after a mark.
+CUTS = "\n|(?<=[.!?;\u2026\u3002\uff01\uff1f]) "
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -42,10 +43,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """The lines of a text, long ones cut after a sentence's mark and a space; null counts as empty, which is one empty line."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    cut = lambda p: F.when(F.length(p) > LONG, F.split(p, SENTENCE)).otherwise(F.array(p))
-    return F.flatten(F.transform(lines, cut))
+    """The lines of a text, cut after a sentence's mark and a space; null counts as empty, which is one empty line."""
+    return F.split(F.coalesce(text, F.lit("")), CUTS)
 
 
 def digests(text: Column) -> Column:
@@ -72,17 +71,17 @@ def sketch(ds: Column) -> Column:
     """The cells of a set of digests: ``array<struct<c int, k long, h long>>``."""
     zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
-    def cells(items: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(CELLS - 1)),
-            lambda j: F.aggregate(
-                F.filter(items, lambda x: _in_cell(x, j)),
-                zero,
-                lambda a, x: _cell(a["c"] + 1, a["k"].bitwiseXOR(x["d"]), a["h"].bitwiseXOR(x["h"])),
-            ),
-        )
+    def cell(items: Column, p: str, j: Column) -> Column:
+        own = F.filter(items, lambda x: x[p] == j)
+        return F.aggregate(own, zero, lambda a, x: _cell(a["c"] + 1, a["k"].bitwiseXOR(x["d"]), a["h"].bitwiseXOR(x["h"])))
+
+    def third(items: Column, i: int) -> Column:
+        # Digests are dealt to fours of cells first, so that each is looked at 8 times and not 16.
+        p, fours = f"p{i}", F.sequence(F.lit(i * GROUP // 4), F.lit((i + 1) * GROUP // 4 - 1))
+        four = lambda g: F.filter(items, lambda x: F.shiftright(x[p], 2) == g)
+        return F.flatten(F.transform(fours, lambda g: let(four(g), lambda few: F.transform(F.sequence(g * 4, g * 4 + 3), lambda j: cell(few, p, j)))))
 
-    return let(F.transform(ds, lambda d: _placed(d, F.lit(1))), cells)
+    return let(F.transform(ds, lambda d: _placed(d, F.lit(1))), lambda items: F.concat(*[third(items, i) for i in range(3)]))
 
 
 def as_text(cells: Column) -> Column:
@@ -128,47 +127,75 @@ def peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
-def _decoded(rows: DataFrame) -> DataFrame:
-    """Rows with sketches ``a`` and ``b`` as digests, with ``found`` and ``ok``."""
-    done = peel(subtract(sketch(F.col("a")), sketch(F.col("b"))))
-    empty = F.forall(F.col("done.cells"), lambda c: (c["c"] == 0) & (c["k"] == 0))
-    # A wrong peel would repeat a digest; then this attempt counts as failed.
-    once = F.size(F.array_distinct(F.transform("done.found", lambda x: x["d"]))) == F.size("done.found")
-    return rows.withColumn("done", done).withColumn("ok", empty & once).withColumn("found", F.col("done.found")).drop("done")
+def _peeled(a: Column, b: Column) -> Column:
+    """``struct<ok, found>`` of two sets of digests by one sketch each."""
+
+    def judged(done: Column) -> Column:
+        empty = F.forall(done["cells"], lambda c: (c["c"] == 0) & (c["k"] == 0))
+        # A wrong peel would repeat a digest; then this attempt counts as failed.
+        once = F.size(F.array_distinct(F.transform(done["found"], lambda x: x["d"]))) == F.size(done["found"])
+        return F.struct((empty & once).alias("ok"), done["found"].alias("found"))
+
+    return let(peel(subtract(sketch(a), sketch(b))), judged)
+
+
+def _part(d: Column, k: int) -> Column:
+    """Which of the ``4 ** k`` sketches of attempt ``k`` a digest goes to."""
+    return F.pmod(F.xxhash64(d, F.lit(100 + k)), F.lit(4**k))
 
 
-def differences(pairs: DataFrame, keys: list[str], attempts: int = ATTEMPTS) -> DataFrame:
-    """Per pair the differing digests: ``keys`` with ``only_a`` and ``only_b``, arrays of long.
+def _attempt(a: Column, b: Column, k: int) -> Column:
+    """``struct<ok, found>`` by ``4 ** k`` sketches of each."""
+    if not k:
+        return _peeled(a, b)
+    own = lambda ds, part: F.filter(ds, lambda d: _part(d, k) == part)
+    tried = F.transform(F.sequence(F.lit(0), F.lit(4**k - 1)), lambda part: _peeled(own(a, part), own(b, part)))
+    found = lambda ts: F.flatten(F.transform(ts, lambda t: t["found"]))
+    return let(tried, lambda ts: F.struct(F.forall(ts, lambda t: t["ok"]).alias("ok"), found(ts).alias("found")))
+
+
+def _decoded(a: Column, b: Column, attempts: int, k: int = 0) -> Column:
+    """The first of the attempts from ``k`` on that succeeds, or the last."""
+    if k + 1 == attempts:
+        return _attempt(a, b, k)
+    return let(_attempt(a, b, k), lambda t: F.when(t["ok"], t).otherwise(_decoded(a, b, attempts, k + 1)))
+
+
+def differences(pairs: DataFrame, keys: list[str], attempts: int = ATTEMPTS, sizes: bool = False) -> DataFrame:
+    """Per pair the differing digests: ``keys`` with ``only_a`` and ``only_b``, arrays of long, or how many where ``sizes``.
 
     ``pairs`` has ``keys``, unique, and arrays of digests ``a`` and ``b``.
     Should every attempt fail, which needs about ``4 ** attempts * GROUP``
     differing paragraphs, set difference gives the same.
     """
-    side = lambda s: F.transform(F.filter("found", lambda x: x["s"] == s), lambda x: x["d"])
-    tried = written(_decoded(pairs), "sketch-pairs")
-    done = [tried.where("ok").select(*keys, side(1).alias("only_a"), side(-1).alias("only_b"))]
+    counted = (lambda ds: F.size(ds).cast("long")) if sizes else (lambda ds: ds)
+    side = lambda s: counted(F.transform(F.filter("done.found", lambda x: x["s"] == s), lambda x: x["d"]))
+    rest = lambda c: F.when(~F.col("done.ok"), F.col(c)).alias(c)
+    tried = pairs.withColumn("done", _decoded(F.col("a"), F.col("b"), IN_ROW))
+    tried = written(tried.select(*keys, F.col("done.ok").alias("ok"), side(1).alias("only_a"), side(-1).alias("only_b"), rest("a"), rest("b")), "sketch-pairs")
+    done = [tried.where("ok").select(*keys, "only_a", "only_b")]
     failed = tried.where("not ok").select(*keys, "a", "b")
-    for k in range(1, attempts + 1):
+    for k in range(IN_ROW, attempts + 1):
         if failed.isEmpty():
             break
         both = F.concat(
             F.transform("a", lambda d: F.struct(d.alias("d"), F.lit(1).alias("s"))),
             F.transform("b", lambda d: F.struct(d.alias("d"), F.lit(-1).alias("s"))),
         )
-        part = F.pmod(F.xxhash64("x.d", F.lit(100 + k)), F.lit(4**k)).alias("part")
         parts = (
             failed.select(*keys, F.explode(both).alias("x"))
-            .groupBy(*keys, part)
+            .groupBy(*keys, _part(F.col("x.d"), k).alias("part"))
             .agg(*[F.collect_list(F.when(F.col("x.s") == s, F.col("x.d"))).alias(n) for s, n in ((1, "a"), (-1, "b"))])
         )
-        again = written(_decoded(parts).select(*keys, "ok", side(1).alias("pa"), side(-1).alias("pb")), "sketch-parts")
-        whole = again.groupBy(*keys).agg(
-            F.bool_and("ok").alias("ok"), F.flatten(F.collect_list("pa")).alias("only_a"), F.flatten(F.collect_list("pb")).alias("only_b")
-        )
+        again = parts.withColumn("done", _decoded(F.col("a"), F.col("b"), 1))
+        again = written(again.select(*keys, F.col("done.ok").alias("ok"), side(1).alias("pa"), side(-1).alias("pb")), "sketch-parts")
+        joined = F.sum if sizes else (lambda c: F.flatten(F.collect_list(c)))
+        whole = again.groupBy(*keys).agg(F.bool_and("ok").alias("ok"), joined("pa").alias("only_a"), joined("pb").alias("only_b"))
         done.append(whole.where("ok").select(*keys, "only_a", "only_b"))
         failed = written(failed.join(whole.where("not ok").select(*keys), keys, "left_semi"), "sketch-failed")
     else:
-        done.append(failed.select(*keys, F.array_except("a", "b").alias("only_a"), F.array_except("b", "a").alias("only_b")))
+        less = lambda x, y: counted(F.array_except(x, y))
+        done.append(failed.select(*keys, less("a", "b").alias("only_a"), less("b", "a").alias("only_b")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -241,7 +268,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     pair = lambda which, other: F.struct(F.lit(which).alias("which"), F.col(other).alias("b"))
     pairs = base.select("row", F.col("own").alias("a"), F.explode(F.array(pair(0, "changed"), pair(1, "following"))).alias("x"))
     pairs = pairs.select("row", "x.which", "a", "x.b")
-    differ = differences(pairs, ["row", "which"]).select("row", "which", (F.size("only_a") + F.size("only_b")).alias("d"))
+    differ = differences(pairs, ["row", "which"], sizes=True).select("row", "which", (F.col("only_a") + F.col("only_b")).alias("d"))
     by_row = differ.groupBy("row").agg(
         F.max(F.when(F.col("which") == 0, F.col("d"))).alias("d0"), F.max(F.when(F.col("which") == 1, F.col("d"))).alias("d1")
     )

@@ -8,8 +8,8 @@ from spanloom.llm.fingerprint import differences, edited_fingerprints
 
 
 def paragraphs(t):
-    """Lines, long ones cut after sentences."""
-    return [p for line in t.split("\n") for p in (re.split("(?<=[.!?;…。！？]) ", line) if len(line) > 600 else [line])]
+    """Lines, cut after sentences."""
+    return [p for line in t.split("\n") for p in re.split("(?<=[.!?;…。！？]) ", line)]
 
 
 def brute(rows):
@@ -59,6 +59,14 @@ def test_peeling_recovers_digests_and_retries(spark):
     want = {r.k: (set(r.a) - set(r.b), set(r.b) - set(r.a)) for r in df.collect()}
     got = differences(df, ["k"]).collect()
     assert {r.k: (set(r.only_a), set(r.only_b)) for r in got} == want and len(got) == len(want)
+    sizes = {r.k: (r.only_a, r.only_b) for r in differences(df, ["k"], sizes=True).collect()}
+    assert sizes == {k: (len(a), len(b)) for k, (a, b) in want.items()}
+
+
+def test_a_short_line_is_cut_after_sentences_too(spark):
+    rows = [(2, "One. Two! Three? Four; five."), (1, "One. Two! Three? Four; six.")]
+    got = {g.doc_id: g for g in edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].near_next == 0.8
 
 
 def test_ties_one_row_and_empty_table(spark):
