@@ -59,29 +59,32 @@ def _placed(d: Column, sign: Column) -> Column:
     return F.struct(d.alias("d"), check.alias("h"), sign.alias("s"), *[a.alias(f"p{i}") for i, a in enumerate(at)])
 
 
-def _in_cell(x: Column, j: Column) -> Column:
-    return (x["p0"] == j) | (x["p1"] == j) | (x["p2"] == j)
-
-
 def _cell(c: Column, k: Column, h: Column) -> Column:
     return F.struct(c.alias("c"), k.alias("k"), h.alias("h"))
 
 
-def sketch(ds: Column) -> Column:
-    """The cells of a set of digests: ``array<struct<c int, k long, h long>>``."""
+def _cells(items: Column) -> Column:
+    """The cells of placed digests: ``array<struct<c int, k long, h long>>``.
+
+    Digests are dealt to fours of cells first, so that each is looked at 8 times a third and not 16.
+    """
     zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
-    def cell(items: Column, p: str, j: Column) -> Column:
-        own = F.filter(items, lambda x: x[p] == j)
-        return F.aggregate(own, zero, lambda a, x: _cell(a["c"] + 1, a["k"].bitwiseXOR(x["d"]), a["h"].bitwiseXOR(x["h"])))
+    def cell(few: Column, p: str, j: Column) -> Column:
+        own = F.filter(few, lambda x: x[p] == j)
+        return F.aggregate(own, zero, lambda a, x: _cell(a["c"] + x["s"], a["k"].bitwiseXOR(x["d"]), a["h"].bitwiseXOR(x["h"])))
 
-    def third(items: Column, i: int) -> Column:
-        # Digests are dealt to fours of cells first, so that each is looked at 8 times and not 16.
+    def third(i: int) -> Column:
         p, fours = f"p{i}", F.sequence(F.lit(i * GROUP // 4), F.lit((i + 1) * GROUP // 4 - 1))
         four = lambda g: F.filter(items, lambda x: F.shiftright(x[p], 2) == g)
         return F.flatten(F.transform(fours, lambda g: let(four(g), lambda few: F.transform(F.sequence(g * 4, g * 4 + 3), lambda j: cell(few, p, j)))))
 
-    return let(F.transform(ds, lambda d: _placed(d, F.lit(1))), lambda items: F.concat(*[third(items, i) for i in range(3)]))
+    return F.concat(*[third(i) for i in range(3)])
+
+
+def sketch(ds: Column) -> Column:
+    """The cells of a set of digests."""
+    return let(F.transform(ds, lambda d: _placed(d, F.lit(1))), _cells)
 
 
 def as_text(cells: Column) -> Column:
@@ -107,14 +110,7 @@ def peel(cells: Column) -> Column:
         pure = F.array_distinct(F.transform(alone, lambda c: _placed(c["k"], c["c"])))
 
         def without(ps: Column) -> Column:
-            left = F.transform(
-                state["cells"],
-                lambda c, j: F.aggregate(
-                    F.filter(ps, lambda x: _in_cell(x, j)),
-                    c,
-                    lambda a, x: _cell(a["c"] - x["s"], a["k"].bitwiseXOR(x["d"]), a["h"].bitwiseXOR(x["h"])),
-                ),
-            )
+            left = subtract(state["cells"], _cells(ps))
             found = F.transform(ps, lambda x: F.struct(x["d"].alias("d"), x["s"].alias("s")))
             more = F.struct(left.alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(True).alias("on"))
             stop = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("on"))
@@ -139,26 +135,24 @@ def _peeled(a: Column, b: Column) -> Column:
     return let(peel(subtract(sketch(a), sketch(b))), judged)
 
 
-def _part(d: Column, k: int) -> Column:
+def _part(d: Column, k: Column) -> Column:
     """Which of the ``4 ** k`` sketches of attempt ``k`` a digest goes to."""
-    return F.pmod(F.xxhash64(d, F.lit(100 + k)), F.lit(4**k))
+    return F.pmod(F.xxhash64(d, k + 100), F.pow(F.lit(4), k).cast("long"))
 
 
-def _attempt(a: Column, b: Column, k: int) -> Column:
+def _attempt(a: Column, b: Column, k: Column) -> Column:
     """``struct<ok, found>`` by ``4 ** k`` sketches of each."""
-    if not k:
-        return _peeled(a, b)
     own = lambda ds, part: F.filter(ds, lambda d: _part(d, k) == part)
-    tried = F.transform(F.sequence(F.lit(0), F.lit(4**k - 1)), lambda part: _peeled(own(a, part), own(b, part)))
+    tried = F.transform(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(4), k).cast("long") - 1), lambda part: _peeled(own(a, part), own(b, part)))
     found = lambda ts: F.flatten(F.transform(ts, lambda t: t["found"]))
     return let(tried, lambda ts: F.struct(F.forall(ts, lambda t: t["ok"]).alias("ok"), found(ts).alias("found")))
 
 
-def _decoded(a: Column, b: Column, attempts: int, k: int = 0) -> Column:
-    """The first of the attempts from ``k`` on that succeeds, or the last."""
-    if k + 1 == attempts:
-        return _attempt(a, b, k)
-    return let(_attempt(a, b, k), lambda t: F.when(t["ok"], t).otherwise(_decoded(a, b, attempts, k + 1)))
+def _decoded(a: Column, b: Column, attempts: int) -> Column:
+    """The first of the attempts that succeeds, or the last."""
+    none = F.struct(F.lit(False).alias("ok"), F.array().cast("array<struct<d:bigint,s:int>>").alias("found"))
+    step = lambda t, k: F.when(t["ok"], t).otherwise(_attempt(a, b, k))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), none, step)
 
 
 def differences(pairs: DataFrame, keys: list[str], attempts: int = ATTEMPTS, sizes: bool = False) -> DataFrame:
@@ -184,7 +178,7 @@ def differences(pairs: DataFrame, keys: list[str], attempts: int = ATTEMPTS, siz
         )
         parts = (
             failed.select(*keys, F.explode(both).alias("x"))
-            .groupBy(*keys, _part(F.col("x.d"), k).alias("part"))
+            .groupBy(*keys, _part(F.col("x.d"), F.lit(k)).alias("part"))
             .agg(*[F.collect_list(F.when(F.col("x.s") == s, F.col("x.d"))).alias(n) for s, n in ((1, "a"), (-1, "b"))])
         )
         again = parts.withColumn("done", _decoded(F.col("a"), F.col("b"), 1))
