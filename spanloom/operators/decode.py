@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +88,63 @@ def fitting_prefix(pieces: Column, most: int) -> Column:
         ).otherwise(F.struct(s["n"].alias("n"), s["words"].alias("words"), F.lit(False).alias("on"))),
     )
     return sums["words"]
+
+
+def piece_counter(path: str, kept: int = 200_000) -> Callable[[Sequence[str]], np.ndarray]:
+    """Counts the pieces of words by a file of the tokenizers library; a word met before isn't cut again.
+
+    Words are cut on their own, as the library does with texts given as words.  At most ``kept`` words are remembered.
+    """
+    from tokenizers import Tokenizer
+
+    tokenizer, known = Tokenizer.from_file(path), {}
+
+    def count(words: Sequence[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + len(new) > kept:
+            known.clear()
+            new = list(dict.fromkeys(words))
+        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            known[w] = len(e.ids)
+        return np.array([known[w] for w in words], dtype=np.int64)
+
+    return count
+
+
+def longest_prefix(words: Sequence[str], count: Callable[[Sequence[str]], np.ndarray], most: int) -> int:
+    """How many of the first words have at most ``most`` pieces together.
+
+    Stretches of words are counted, each twice as long as the one before, up to the one that goes over; none is counted twice.
+    """
+    done, used, step = 0, 0, 32
+    while done < len(words):
+        sums = used + np.cumsum(count(words[done : done + step]))
+        fit = int(np.searchsorted(sums, most, side="right"))
+        if fit < len(sums):
+            return done + fit
+        done, used, step = done + len(sums), int(sums[-1]), 2 * step
+    return done
+
+
+def shared_prefix(tokens: Column | str, paths: Sequence[str], most: int, special: Sequence[int] = ()) -> Column:
+    """How many whole words of ``tokens`` fit into ``most`` pieces by each of several tokenizer files.
+
+    ``special`` are the pieces that each tokenizer adds to a text.  A later tokenizer sees only the words that fit
+    the ones before.  Null tokens have no words.
+    """
+    room = [most - s for s in (list(special) or [0] * len(paths))]
+
+    @F.pandas_udf("int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counters = [piece_counter(p) for p in paths]
+
+        def one(words) -> int:
+            words = [] if words is None else list(words)
+            for count, r in zip(counters, room, strict=True):
+                words = words[: longest_prefix(words, count, r)]
+            return len(words)
+
+        for rows in batches:
+            yield pd.Series([one(w) for w in rows], dtype="int32")
+
+    return run(F.col(tokens) if isinstance(tokens, str) else tokens)

@@ -47,6 +47,17 @@ def bootstrap_deltas(counts: DataFrame, draws: int, seed: int = 42) -> DataFrame
     return rows.groupBy("draw").agg(*[F.sum(c).alias(c) for c in PAIR]).select("draw", (_f1("a") - _f1("b")).alias("delta"))
 
 
+def drawn_cells(groups: DataFrame, cells: str, draws: int, seed: int = 42) -> DataFrame:
+    """``draw`` and the sums of ``n`` by cell over groups drawn with replacement.
+
+    ``groups`` has ``place`` (0 on) and ``cells``, an array of structs of which ``n`` is summed and the other fields name the cell.
+    A group's cells come to its picks, so sums are partial where the picks are made and what moves is draws x cells a task.
+    """
+    names = [f.name for f in groups.schema[cells].dataType.elementType if f.name != "n"]
+    rows = picks(groups.select("place"), draws, seed).join(small(groups.select("place", cells)), "place")
+    return rows.select("draw", F.inline(cells)).groupBy("draw", *names).agg(F.sum("n").alias("n"))
+
+
 def _f1(side: str) -> Column:
     return f1(*[F.col(f"{c}_{side}") for c in ("tp", "fp", "fn")])
 
@@ -75,6 +86,34 @@ def randomization(counts: DataFrame, draws: int, seed: int = 42, tolerance: floa
     return one.select("observed", p(far).alias("two_sided"), p(above).alias("one_sided"))
 
 
+#: Differences whose signs can be flipped in all ways exactly: 2 ** MOST_FLIPS is below 10 ** 38.
+MOST_FLIPS = 126
+
+
+def sign_flip(differences: DataFrame, column: str = "difference") -> DataFrame:
+    """One row, ``observed, reviews, p``: ``exact_sign_flip`` of a column of whole numbers, as a fold over the ones that aren't 0.
+
+    The fold carries how many ways lead to each sum, as an array of decimals.  Nulls count as 0.
+    Fails where over ``MOST_FLIPS`` differ, as the ways then are no longer exact; use ``randomization`` there.
+    """
+    d = F.coalesce(F.col(column).cast("long"), F.lit(0).cast("long"))
+    one = differences.agg(F.coalesce(F.sum(d), F.lit(0)).alias("observed"), F.count(F.when(d != 0, 1)).alias("reviews"))
+    ok = F.assert_true(F.col("reviews") <= MOST_FLIPS, F.lit(f"over {MOST_FLIPS} differences: flips can't be counted exactly"))
+    one = one.select("observed", "reviews", ok.alias("ok")).where("ok is null").drop("ok")
+    # The check is of the same rows, so what is gathered is MOST_FLIPS numbers at most.
+    sizes = differences.select(F.abs(d).alias("d")).where("d != 0").limit(MOST_FLIPS + 1).agg(F.collect_list("d").alias("sizes"))
+    row = one.join(F.broadcast(sizes)).withColumn("reach", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))
+    none, many = F.lit(0).cast("decimal(38,0)"), "array<decimal(38,0)>"
+    at = lambda ways, i: F.coalesce(F.get(ways, i.cast("int")), none)
+    places = F.sequence(-F.col("reach"), F.col("reach"))
+    start = F.transform(places, lambda t: F.when(t == 0, F.lit(1)).otherwise(F.lit(0)).cast("decimal(38,0)"))
+    flip = lambda ways, x: F.transform(ways, lambda _, i: (at(ways, i - x) + at(ways, i + x)).cast("decimal(38,0)")).cast(many)
+    row = row.withColumn("ways", F.aggregate("sizes", start, flip))
+    far = F.filter(F.arrays_zip(F.col("ways").alias("w"), places.alias("t")), lambda x: F.abs(x["t"]) >= F.abs(F.col("observed")))
+    found = F.aggregate(F.transform(far, lambda x: x["w"].cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return row.select("observed", "reviews", (found / F.pow(F.lit(2.0), F.col("reviews"))).alias("p"))
+
+
 def exact_sign_flip(differences: Sequence[int]) -> float:
     """Two-sided p of the sum of integer differences under all flips of their signs, exactly.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.ordering import numbered
 from ..operators import agreement as agr
-from ..operators import audit, candidates, context, decode, metrics, select, splits, tags
+from ..operators import audit, candidates, context, decode, metrics, resample, select, splits, tags
 from ..sources import words
 from .extract import extract, tokenised
 from .queries import (
@@ -213,21 +213,48 @@ _U = "(SELECT row_number() OVER (ORDER BY rev) - 1 AS place, rev, count(*) OVER
     k AS (SELECT d, avg((same / n - c / (n * n)) / (1 - c / (n * n))) AS kappa, avg(same / n) AS agreement FROM po JOIN pe USING (d, pair) GROUP BY d),
     lab AS (SELECT d, l, sum(w)::DOUBLE AS n FROM (SELECT d, w, unnest([A1, A2, A3]) AS l FROM x JOIN cl USING (rev)) GROUP BY d, l),
     q AS (SELECT d, sum(n * n) AS nn, sum(n) AS al FROM lab GROUP BY d),
+    sf AS (SELECT d, pair, 2 * sum(w * (a = b AND a <> 'O')::INT) AS hit, sum(w * ((a <> 'O')::INT + (b <> 'O')::INT)) AS al FROM it GROUP BY d, pair),
+    sp AS (SELECT d, avg(CASE WHEN al > 0 THEN hit::DOUBLE / al ELSE 0 END) AS span_f1 FROM sf GROUP BY d),
     s AS (SELECT d, sum(w)::DOUBLE AS n, sum(w * (3 + 2 * ((A1 = A2)::INT + (A1 = A3)::INT + (A2 = A3)::INT)))::DOUBLE AS sq, sum(w * (A1 = A2 AND A2 = A3)::INT)::DOUBLE AS una FROM x JOIN cl USING (rev) GROUP BY d),
-    r AS (SELECT d, kappa, agreement, ((sq - n * 3) / (n * 6) - nn / (al * al)) / (1 - nn / (al * al)) AS fleiss, 1 - (al - (sq - n * 3) / 2) / ((al * al - nn) / (al - 1)) AS alpha, una / n AS unanimous
-        FROM k JOIN q USING (d) JOIN s USING (d))
+    r AS (SELECT d, kappa, agreement, ((sq - n * 3) / (n * 6) - nn / (al * al)) / (1 - nn / (al * al)) AS fleiss, 1 - (al - (sq - n * 3) / 2) / ((al * al - nn) / (al - 1)) AS alpha, una / n AS unanimous, span_f1
+        FROM k JOIN q USING (d) JOIN s USING (d) JOIN sp USING (d))
     SELECT statistic, round(avg(v), 9) AS mean, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high
-    FROM (UNPIVOT r ON kappa, agreement, fleiss, alpha, unanimous INTO NAME statistic VALUE v) GROUP BY statistic""")
+    FROM (UNPIVOT r ON kappa, agreement, fleiss, alpha, unanimous, span_f1 INTO NAME statistic VALUE v) GROUP BY statistic""")
 def agreement_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of five statistics of agreement, over 40 groups of items drawn with replacement."""
+    """Intervals of six statistics of agreement, over 40 groups of items drawn with replacement; a span is an item that isn't ``O``."""
     rated = _rated(spark, sf_dir).withColumn("rev", F.col("doc_id") % 40)
-    drawn = agr.cohen_bootstrap(rated, RATERS, "rev", DRAWS)
-    names = ["kappa", "agreement", "fleiss", "alpha", "unanimous"]
+    place = [F.col("rev").alias("row_idx"), F.col("doc_id").alias("start"), (F.col("doc_id") + 1).alias("end")]
+    spans = {r: rated.where(F.col(r) != "O").select(*place, F.substring(r, 3, 100).alias("category")) for r in RATERS}
+    drawn = agr.cohen_bootstrap(rated, RATERS, "rev", DRAWS, spans=agr.span_counts(spans))
+    names = ["kappa", "agreement", "fleiss", "alpha", "unanimous", "span_f1"]
     long = drawn.select(F.inline(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).alias("v")) for n in names])))
     side = lambda q: F.percentile("v", q)
     return _rounded(long.groupBy("statistic").agg(F.avg("v").alias("mean"), side(0.025).alias("low"), side(0.975).alias("high")), "mean", "low", "high")
 
 
+@query(f"""WITH RECURSIVE {RATED}, di AS (SELECT doc_id % 40 AS rev, sum((A1 = A2)::INT - (A1 = A3)::INT)::BIGINT AS d FROM rated GROUP BY ALL),
+    nz AS (SELECT row_number() OVER (ORDER BY rev) AS k, d FROM di WHERE d <> 0),
+    ways AS (SELECT 0::BIGINT AS k, 0::BIGINT AS total, 1::DOUBLE AS p UNION ALL
+        SELECT w.k + 1, w.total + s.s * nz.d, sum(w.p / 2) FROM ways w JOIN nz ON nz.k = w.k + 1, (VALUES (1), (-1)) s(s) GROUP BY 1, 2),
+    o AS (SELECT coalesce(sum(d), 0)::BIGINT AS observed, count(*) FILTER (d <> 0) AS reviews FROM di)
+    SELECT any_value(observed) AS observed, any_value(reviews) AS reviews, round(sum(p) FILTER (abs(total) >= abs(observed)), 9) AS p FROM ways, o WHERE k = reviews""")
+def sign_flip_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether one rater agrees more often with the first than another does, by all flips of 40 groups' differences."""
+    same = lambda r: (F.col("A1") == F.col(r)).cast("long")
+    by = _rated(spark, sf_dir).groupBy((F.col("doc_id") % 40).alias("rev")).agg(F.sum(same("A2") - same("A3")).alias("difference"))
+    return _rounded(resample.sign_flip(by), "p")
+
+
+@query(None)
+def tokenizer_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document fit into 128 pieces, two of them special, by each of two public tokenizers; held to a plain loop by a test."""
+    import public_tokenizers
+
+    files = [str(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")]
+    words = documents(spark, sf_dir)
+    return words.select("row_idx", F.size("tokens").cast("long").alias("n_tokens"), decode.shared_prefix("tokens", files, 128, (2, 2)).cast("long").alias("n_shared"))
+
+
 _EVALUATION = "(" + ", ".join(f"'{c}'" for c in words.EVALUATION_CATEGORIES if c not in ("general", "network")) + ")"
 
 

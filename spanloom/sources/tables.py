@@ -109,6 +109,59 @@ def write_result(df: DataFrame, path: str, reads: tuple[str, ...] = (), kind: st
         df.write.parquet(path)
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system of ``path``, and how it names paths."""
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    return name(path).getFileSystem(spark._jsc.hadoopConfiguration()), name
+
+
+def replace_result(df: DataFrame, path: str) -> None:
+    """Puts ``df`` as Parquet where ``path`` was, which ``df`` may read.
+
+    It is written to ``path.staging`` whole, then ``path`` becomes ``path.old``, ``staging`` becomes ``path``, and the old one goes.
+    Stopped at any step, ``recover`` gives the old table or the new one, whole.  One writer at a time.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    recover(spark, path)
+    df.write.parquet(f"{path}.staging")
+    fs, name = _store(spark, path)
+    if fs.exists(name(path)):
+        _moved(fs, name, path, f"{path}.old")
+    _moved(fs, name, f"{path}.staging", path)
+    fs.delete(name(f"{path}.old"), True)
+
+
+def recover(spark: SparkSession, path: str) -> str:
+    """Ends or takes back a ``replace_result`` that was stopped; ``clean``, ``ended`` or ``taken back``.
+
+    Once the old table is aside, the staged one is whole and takes its place; until then the old one stays.
+    """
+    path = path.rstrip("/")
+    fs, name = _store(spark, path)
+    there = lambda p: fs.exists(name(p))
+    staging, old = f"{path}.staging", f"{path}.old"
+    if not there(staging) and not there(old):
+        return "clean"
+    if there(path):
+        ended = there(old)
+        fs.delete(name(staging), True)
+        fs.delete(name(old), True)
+        return "ended" if ended else "taken back"
+    if there(f"{staging}/_SUCCESS"):
+        _moved(fs, name, staging, path)
+        fs.delete(name(old), True)
+        return "ended"
+    fs.delete(name(staging), True)
+    if there(old):
+        _moved(fs, name, old, path)
+    return "taken back"
+
+
+def _moved(fs, name, a: str, b: str) -> None:
+    if not fs.rename(name(a), name(b)):
+        raise OSError(f"{a} could not be renamed to {b}")
+
+
 def file_hashes(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """``path, bytes, sha256`` of files, each at most 2 GB, of all folders below if ``recursive``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)

@@ -5,7 +5,7 @@ import json
 import os
 import random
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyspark
@@ -99,6 +99,90 @@ def test_agreement_bootstrap_equals_plain_loops(spark, kind):
         assert got[d].alpha == pytest.approx(1 - observed / expected)
 
 
+def test_spans_are_drawn_with_their_groups(spark):
+    r = random.Random(8)
+    rows = [(i % 7, i, *[r.choice(["O", "B-x", "B-y"]) for _ in range(3)]) for i in range(70)]
+    df = spark.createDataFrame(rows, "g long, i long, A1 string, A2 string, A3 string")
+    cut = lambda c: df.where(F.col(c) != "O").select(F.col("g").alias("row_idx"), F.col("i").alias("start"), (F.col("i") + 1).alias("end"), F.col(c).alias("category"))
+    spans = agreement.span_counts({c: cut(c) for c in ("A1", "A2", "A3")})
+    stray = spark.createDataFrame([(99, "A1A2", 5, 5, 5)], "row_idx long, pair string, tp long, fp long, fn long")
+    got = {x.draw: x.span_f1 for x in agreement.cohen_bootstrap(df, ["A1", "A2", "A3"], "g", 5, spans=spans.unionByName(stray)).collect()}
+    for d in range(5):
+        items = [x[2:] for k in range(7) for x in rows if x[0] == draw(42, d, k) % 7]
+        per = []
+        for i, j in combinations(range(3), 2):
+            tp = sum(x[i] == x[j] != "O" for x in items)
+            per.append(f1(tp, sum(x[j] != "O" for x in items) - tp, sum(x[i] != "O" for x in items) - tp))
+        assert got[d] == pytest.approx(np.mean(per))
+
+
+def test_sign_flips_equal_enumeration_and_stay_exact(spark):
+    r = random.Random(9)
+    frame = lambda ds: spark.createDataFrame([(d,) for d in ds], "difference long")
+    for ds in ([], [0, None], [3], [2, -1, 0, 5, None, -4], [r.randrange(-6, 7) for _ in range(11)]):
+        real = [d for d in ds if d]
+        sums = [sum(s * abs(d) for s, d in zip(signs, real)) for signs in product((1, -1), repeat=len(real))]
+        got = resample.sign_flip(frame(ds)).first()
+        assert (got.observed, got.reviews) == (sum(real), len(real))
+        assert got.p == pytest.approx(sum(abs(x) >= abs(sum(real)) for x in sums) / len(sums), abs=1e-15)
+    ds = [r.choice([-2, -1, 1, 1, 2, 3]) for _ in range(61)]
+    assert resample.sign_flip(frame(ds)).first().p == pytest.approx(resample.exact_sign_flip(ds), rel=1e-12)
+    with pytest.raises(Exception, match="counted exactly"):
+        resample.sign_flip(frame([1] * 127)).collect()
+
+
+def test_prefixes_fit_all_tokenizers(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    files = [public.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")]
+    cut = [Tokenizer.from_file(f) for f in files]
+    r = random.Random(10)
+    texts = [[], ["x"], ["antidisestablishmentarianism"] * 9, *[[r.choice(["the", "Größe", "മലയാളം", "12345", "it's", "unbelievable"]) for _ in range(r.randrange(1, 200))] for _ in range(20)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, tokens array<string>")
+    got = {x.i: x.n for x in df.select("i", decode.shared_prefix("tokens", files, 40, (2, 1)).alias("n")).collect()}
+    fits = lambda t, n: all(len(c.encode(t[:n], is_pretokenized=True, add_special_tokens=False).ids) <= 40 - s for c, s in zip(cut, (2, 1))) if n else True
+    for i, t in enumerate(texts):
+        assert got[i] == max(n for n in range(len(t) + 1) if fits(t, n))
+    assert got[len(texts)] == 0
+
+
+@pytest.mark.parametrize("stop", [0, 1, 2, 3, None])
+@pytest.mark.parametrize("first", [False, True])
+def test_a_stopped_replacement_leaves_one_whole_table(spark, tmp_path, monkeypatch, stop, first):
+    path = str(tmp_path / "t")
+    if not first:
+        spark.range(3).write.parquet(path)
+    moves, real = [], tables._moved
+
+    def moved(*args):
+        if stop is not None and len(moves) == stop:
+            raise RuntimeError("stopped")
+        moves.append(args)
+        real(*args)
+
+    monkeypatch.setattr(tables, "_moved", moved)
+    new = spark.range(5) if first else spark.read.parquet(path).selectExpr("id + 10 AS id")
+    if stop is not None and stop < (1 if first else 2):
+        with pytest.raises(RuntimeError):
+            tables.replace_result(new, path)
+    else:
+        tables.replace_result(new, path)
+    monkeypatch.setattr(tables, "_moved", real)
+    tables.recover(spark, path)
+    assert tables.recover(spark, path) == "clean" and [p.name for p in tmp_path.iterdir()] == ["t"]
+    got = sorted(x.id for x in spark.read.parquet(path).collect())
+    assert got == (list(range(5)) if first else [0, 1, 2] if stop == 0 else [10, 11, 12])
+
+
+def test_an_unfinished_staging_goes(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(2).write.parquet(path)
+    (tmp_path / "t.staging").mkdir()
+    (tmp_path / "t.staging" / "part-0").write_text("half")
+    assert tables.recover(spark, path) == "taken back" and spark.read.parquet(path).count() == 2
+
+
 def test_boards_read_the_gold_once_and_keep_empty_systems(spark):
     schema = "row_idx long, start int, end int, category string"
     gold = spark.createDataFrame([(0, 0, 1, "a"), (0, 0, 1, "a"), (1, 2, 3, "b")], schema)
