@@ -535,9 +535,8 @@ def category_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lang = 'de' AND doc_id = 4 OR lang = 'de' AND source = 'src4'")
 def manifest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.matching(table(spark, sf_dir, "documents"), "lang=de", "source=src4").select("doc_id", "lang", "source").union(
-        splits.matching(table(spark, sf_dir, "documents"), "lang=de", "doc_id=4.0").select("doc_id", "lang", "source")
-    )
+    docs = table(spark, sf_dir, "documents")
+    return splits.matching_any(docs, ["lang=de", "source=src4"], ["lang=de", "doc_id=4.0"]).select("doc_id", "lang", "source")
 
 
 _ROLES = f"""r AS (SELECT doc_id, row_number() OVER (ORDER BY {_hash("'split'", 'doc_id')}, doc_id) AS nth, count(*) OVER () AS n FROM labels),

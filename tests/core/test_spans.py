@@ -170,6 +170,19 @@ def test_splits_manifests_and_grids(spark):
     assert got[1] == {"a": {"b": 1}, "c": 4} and len(got) == 4
 
 
+def test_a_row_that_meets_two_alternatives_is_there_once(spark, tmp_path):
+    from spanloom.plans.queries import QUERIES
+
+    docs = [(4, "de", "src4"), (5, "de", "src4"), (5, "de", "src4"), (4, "en", "src4"), (4, "de", None), (None, "de", "src4")]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in QUERIES["manifest_filter"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([d for d in docs if d[1] == "de"], key=str)
+    m = spark.createDataFrame([("1.0", "a"), ("1", "b"), ("x", "c"), (None, "a")], "k string, v string")
+    both = splits.matching_any(m.union(m), ["k=1", "v=a"], ["k=1.0"], ["v=c"])
+    assert sorted(r.v for r in both.collect()) == ["a", "a", "b", "b", "c", "c"]
+    assert splits.matching_any(m).isEmpty()
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "r.csv").write_text('﻿Review_Text,x\n"two\nlines, ""quoted""",1\n,2\nlast,3\n', encoding="utf-8")
     got = tables.read_reviews(spark, str(tmp_path / "r.csv")).orderBy("row_idx").collect()
