@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import let
-
 NEVER = -1e9
 
 
@@ -19,43 +19,66 @@ def legal(before: str | None, tag: str) -> bool:
     return not tag.startswith("I-") or before in (f"B-{tag[2:]}", f"I-{tag[2:]}")
 
 
+def best_paths(scores: np.ndarray, sizes: np.ndarray, into: np.ndarray, first: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Of each token the number of its label on its text's best path; ``scores`` has a row per token, ``sizes`` the tokens of each text.
+
+    All texts go on by a token at once, the longest first, so those still going are the first ones.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    start = (np.cumsum(sizes) - sizes)[order]
+    longest = int(sizes.max(initial=0))
+    going = np.searchsorted(-sizes[order], -np.arange(longest), side="left")
+    back = np.zeros(scores.shape, dtype=np.min_scalar_type(scores.shape[1]))
+    total = scores[start[: going[0]]] + first if longest else np.zeros((0, scores.shape[1]))
+    for t in range(1, longest):
+        at = start[: going[t]] + t
+        reached = total[: going[t], None, :] + into
+        from_ = reached.argmax(axis=2)
+        back[at] = from_
+        total[: going[t]] = np.take_along_axis(reached, from_[:, :, None], axis=2)[:, :, 0] + (scores[at] + mask)
+    path, now = np.zeros(len(scores), dtype=back.dtype), total.argmax(axis=1)
+    for t in range(longest - 1, -1, -1):
+        at = start[: going[t]] + t
+        path[at] = now[: going[t]]
+        now[: going[t]] = back[at, now[: going[t]]]
+    return path
+
+
 def best_tags(
     labels: Sequence[str], transitions: Sequence[Sequence[float]] | None = None, observed: Sequence[str] | None = None
 ) -> Callable[[Column | str], Column]:
-    """An expression from scores (an array per token, in the order of ``labels``) to the best legal tags, as a fold over the tokens.
+    """An expression from scores (an array per token, in the order of ``labels``) to the best legal tags, by Viterbi's method in an Arrow UDF.
 
     ``transitions[i][j]`` is added from label i to j; labels not in ``observed``
-    are left out.  Of equal sequences the one of earlier labels counts.  The fold carries the best totals by
-    label and, for every token, from which label each came.  Null or no tokens give no tags.
+    are left out.  Of equal sequences the one of earlier labels counts.  Time grows with the tokens, whatever the
+    texts' lengths.  A score that is null or missing counts as ``NEVER``.  Null or no tokens give no tags.
     """
     given = transitions if transitions is not None else [[0.0] * len(labels)] * len(labels)
-    into = [[float(given[i][j]) if legal(a, b) else NEVER for i, a in enumerate(labels)] for j, b in enumerate(labels)]
-    mask = [0.0 if observed is None or b in observed else NEVER for b in labels]
-    first = [m if legal(None, b) else m + NEVER for m, b in zip(mask, labels, strict=True)]
-    numbers = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<double>")
-    steps = F.array(*[numbers(x) for x in into])
-    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    state = "struct<total:array<double>,back:array<array<int>>>"
-
-    def step(acc: Column, scores: Column) -> Column:
-        reached = F.transform(steps, lambda s: plus(acc["total"], s))
-        best = lambda rs: F.struct(
-            plus(F.transform(rs, F.array_max), plus(scores.cast("array<double>"), numbers(mask))).alias("total"),
-            F.concat(acc["back"], F.array(F.transform(rs, lambda r: F.array_position(r, F.array_max(r)).cast("int") - 1))).alias("back"),
-        ).cast(state)
-        return let(reached, best)
+    into = np.array([[float(given[i][j]) if legal(a, b) else NEVER for i, a in enumerate(labels)] for j, b in enumerate(labels)])
+    mask = np.array([0.0 if observed is None or b in observed else NEVER for b in labels])
+    first = np.array([m if legal(None, b) else m + NEVER for m, b in zip(mask, labels, strict=True)])
+    names = list(labels)
+
+    def run(scores: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(scores), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = scores.flatten()
+        widths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = pc.fill_null(rows.flatten(), NEVER).to_numpy(zero_copy_only=False)
+        if (widths == len(names)).all():
+            values = values.reshape(-1, len(names))
+        else:
+            filled = np.full((len(widths), len(names)), NEVER)
+            column = np.arange(len(values)) - np.repeat(np.cumsum(widths) - widths, widths)
+            known = column < len(names)
+            filled[np.repeat(np.arange(len(widths)), widths)[known], column[known]] = values[known]
+            values = filled
+        path = best_paths(values, sizes, into, first, mask)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(path.astype(np.int32))))
 
     def decode(scores: Column | str) -> Column:
         scores = F.col(scores) if isinstance(scores, str) else scores
-        start = F.struct(plus(F.get(scores, F.lit(0)).cast("array<double>"), numbers(first)).alias("total"), F.array().cast("array<array<int>>").alias("back")).cast(state)
-        found = F.aggregate(F.slice(scores, F.lit(2), F.size(scores)), start, step)
-        back_from = lambda x: F.aggregate(
-            F.reverse(x["back"]), F.array(F.array_position(x["total"], F.array_max(x["total"])).cast("int") - 1),
-            lambda path, b: F.concat(path, F.array(F.get(b, F.element_at(path, -1)))),
-        )
-        names = F.array(*[F.lit(x) for x in labels])
-        tags = F.transform(F.reverse(let(found, back_from)), lambda i: F.get(names, i))
-        return F.when(F.size(scores) > 0, tags).otherwise(F.array().cast("array<string>"))
+        return F.arrow_udf(run, "array<string>")(scores.cast("array<array<double>>"))
 
     return decode
 

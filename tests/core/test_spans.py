@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import agreement, context, metrics, resample, splits
 from spanloom.operators.decode import best_tags
@@ -157,6 +158,32 @@ def test_viterbi_equals_enumeration(spark):
         assert tuple(row.t) == max(ok, key=lambda p: sum(scores[row.i][k][labels.index(x)] for k, x in enumerate(p)))
 
 
+def test_viterbi_of_texts_of_all_lengths_together(spark):
+    from spanloom.operators.decode import legal
+
+    labels, r = ["O", "B-a", "I-a", "B-b", "I-b"], random.Random(5)
+    moves, seen = [[r.randrange(8) / 4 for _ in labels] for _ in labels], ["O", "B-a", "I-a", "B-b"]
+    texts = [[[r.randrange(16) / 8 for _ in labels] for _ in range(n)] for n in (0, 1, 7, 3000, 2, 40, 40, 1)]
+
+    def plain(scores):
+        cost = lambda a, b: (moves[labels.index(a)][labels.index(b)] if a else 0) + (0 if legal(a, b) else -1e9) + (0 if b in seen else -1e9)
+        total, back = [], []
+        for k, row in enumerate(scores):
+            reached = [[(total[i] if k else 0) + cost(a, b) for i, a in enumerate(labels if k else [None])] for b in labels]
+            back.append([x.index(max(x)) for x in reached])
+            total = [max(x) + y for x, y in zip(reached, row)]
+        path = [total.index(max(total))] if scores else []
+        for b in reversed(back[1:]):
+            path.append(b[path[-1]])
+        return [labels[i] for i in reversed(path)]
+
+    df = spark.createDataFrame([*enumerate(texts), (8, None)], "i int, s array<array<double>>").coalesce(1)
+    got = {row.i: row.t for row in df.select("i", best_tags(labels, moves, seen)("s").alias("t")).collect()}
+    assert got == {**{i: plain(t) for i, t in enumerate(texts)}, 8: []}
+    odd = spark.createDataFrame([([[0.5, 1.0], [], [0.0, None], [0.0, 1.0, 9.0]],), ([[None, 1.0], None],)], "s array<array<double>>")
+    assert [row.t for row in odd.select(best_tags(["O", "B-a"])("s").alias("t")).collect()] == [["B-a", "O", "O", "B-a"], ["B-a", "O"]]
+
+
 def test_splits_manifests_and_grids(spark):
     df = spark.createDataFrame([(i,) for i in range(1000)], "row_idx long")
     roles = splits.split(df, "row_idx")
