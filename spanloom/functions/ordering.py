@@ -15,6 +15,11 @@ RANGES, ALONE = 4096, 10_000
 PARTS = 64
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for several passes: in the session's checkpoint folder if it has one, else with the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def _bounds(df: DataFrame, ranges: int) -> list[float]:
     """Bounds of ranges of about equal numbers of rows; a key that fills a range has one of its own."""
     found = df.select(F.col("_key").cast("double").alias("_key")).approxQuantile("_key", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))

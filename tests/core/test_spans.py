@@ -184,6 +184,30 @@ def test_viterbi_of_texts_of_all_lengths_together(spark):
     assert [row.t for row in odd.select(best_tags(["O", "B-a"])("s").alias("t")).collect()] == [["B-a", "O", "O", "B-a"], ["B-a", "O"]]
 
 
+def test_vocabulary_cuts_texts_once_whatever_their_ids(spark):
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(i):
+        cut.add(1)
+        return [f"w{(i * 7 + k) % 15_000}" for k in range(40)]
+
+    def want(rows):
+        at = {}
+        for i, ts in rows:
+            for k, t in enumerate(ts):
+                at[t] = min(at.get(t, (1 << 70, 0)), (i, k))
+        return {t: n + 2 for n, t in enumerate(sorted(at, key=at.get))}
+
+    ids = spark.range(0, 3000, numPartitions=4).select((F.col("id") - 50).alias("row_idx"))
+    got = {r.token: r.id for r in splits.vocabulary(ids.withColumn("tokens", words("row_idx"))).collect()}
+    assert cut.value == 3000 and got == want((i, [f"w{(i * 7 + k) % 15_000}" for k in range(40)]) for i in range(-50, 2950))
+    rows = [((1 << 62) + 5, ["a", "b", "a"]), (-(1 << 63), ["c", "b"]), ((1 << 62) + 4, ["d", "d"]), ((1 << 63) - 1, ["a", "e"]), (3, [])]
+    df = spark.createDataFrame([*rows, (None, ["a", "z"]), (7, None)], "row_idx long, tokens array<string>")
+    assert {r.token: r.id for r in splits.vocabulary(df).collect()} == {**want(rows), "z": 7}
+    assert splits.vocabulary(df.limit(0)).collect() == []
+
+
 def test_splits_manifests_and_grids(spark):
     df = spark.createDataFrame([(i,) for i in range(1000)], "row_idx long")
     roles = splits.split(df, "row_idx")
