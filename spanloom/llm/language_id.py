@@ -39,6 +39,8 @@ _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 #: Texts are turned to vectors in parts of this many bytes, so memory is bounded by parts, not texts.
 _PART = 1 << 20
+#: Rows that the fit weighs at once.
+_ROWS = 256
 
 
 def term_weights(text: str) -> np.ndarray:
@@ -102,7 +104,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _size_class(weights: np.ndarray) -> np.ndarray:
     """Of each row the whole binary logarithm of its number of dimensions: cosines grow with it."""
-    return np.log2(np.maximum((weights > 0).sum(axis=1), 1)).astype(int)
+    return np.log2(np.maximum(np.count_nonzero(weights, axis=1), 1)).astype(int)
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -118,9 +120,12 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit_weights(weights: np.ndarray, langs: list[str], centroids: int = CENTROIDS) -> Model:
-    """A model from rows of ``term_weights`` and their languages."""
-    idf = (1 + np.log((1 + len(weights)) / (1 + (weights > 0).sum(axis=0)))).astype(np.float32)
-    x, y = _unit(weights * idf), np.array(langs)
+    """A model from rows of ``term_weights`` and their languages; ``weights`` is overwritten, so that the driver holds it once."""
+    idf = (1 + np.log((1 + len(weights)) / (1 + np.count_nonzero(weights, axis=0)))).astype(np.float32)
+    size = _size_class(weights)
+    for at in range(0, len(weights), _ROWS):  # in place, as these are all the rows of the fit
+        weights[at : at + _ROWS] = _unit(weights[at : at + _ROWS] * idf)
+    x, y = weights, np.array(langs)
     names, all_c, of = sorted(set(langs)), [], []
     for i, name in enumerate(names):
         c = _clusters(x[y == name], centroids)
@@ -128,7 +133,6 @@ def fit_weights(weights: np.ndarray, langs: list[str], centroids: int = CENTROID
         of += [i] * len(c)
     c = np.concatenate(all_c)
     best = np.max(x @ c.T, axis=1)
-    size = _size_class(weights)
     floor = np.zeros((len(of), SIZES))
     for k, i in enumerate(of):
         for s in range(SIZES):
@@ -167,7 +171,10 @@ def fit(
     got = sorted(map(tuple, picked.select("text", "lang").mapInArrow(weights, "lang string, w binary").collect()))
     if not got:
         return Model([], np.zeros(0, int), np.zeros(0), np.zeros((0, DIMS)), np.zeros((0, SIZES)))
-    return fit_weights(np.stack([np.frombuffer(w, "<f2").astype(np.float32) for _, w in got]), [l for l, _ in got], centroids)
+    langs, found = [l for l, _ in got], np.empty((len(got), DIMS), dtype=np.float32)
+    for i in range(len(got)):
+        found[i], got[i] = np.frombuffer(got[i][1], "<f2"), None
+    return fit_weights(found, langs, centroids)
 
 
 def language_id(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

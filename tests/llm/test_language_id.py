@@ -60,3 +60,18 @@ def test_no_rows_and_nothing_to_learn(spark):
     assert language_id(empty, fit(empty)).collect() == []
     one = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [tuple(r[-3:]) for r in language_id(one, fit(one)).collect()] == [("und", 0.0, True)]
+
+
+def test_the_fit_holds_its_rows_once():
+    import tracemalloc
+
+    import numpy as np
+
+    from spanloom.llm import language_id
+
+    rows = np.random.default_rng(2).random((2000, language_id.DIMS), dtype=np.float32)
+    tracemalloc.start()
+    model = language_id.fit_weights(rows, [f"l{i % 4}" for i in range(len(rows))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * rows.nbytes and model.languages == ["l0", "l1", "l2", "l3"]
