@@ -9,9 +9,9 @@ which is taken out of its other cells, and so on until all cells are empty.
 
 If a sketch is too small for the difference, peeling stops early.  The pair
 is then tried again with 4, 16, 64 ... times as many cells: its digests are
-dealt by another hash to that many sketches of the same size.  The first
-``IN_ROW`` attempts are made where the row is; from then on each sketch is
-a row of its own, so work grows in proportion to the paragraphs and no row grows.
+dealt by another hash to that many sketches of the same size, and of these only
+the ones that failed are dealt again.  ``IN_ROW`` attempts are made where the row is;
+then each open part is a row of its own, so work grows in proportion to the paragraphs and no row grows.
 
 Likeness of two fingerprints is ``1 - d / (m + n)`` for ``d`` digests that
 differ and ``m`` and ``n`` distinct paragraphs; two texts with the same
@@ -33,8 +33,13 @@ ROUNDS = 24
 ATTEMPTS = 12
 #: Attempts made within a row: with 1, 4 and 16 sketches.
 IN_ROW = 3
+#: A sketch with fewer empty cells isn't peeled: it holds more digests than it can give back, but for rare luck.
+LEAST_EMPTY = 4
+#: Odd bits of 64 from which on a part is dealt again before it is sketched: about 49 digests differ.
+MOST_ODD = 25
+FOUND = "array<struct<d:bigint,s:int>>"
 #: Where texts are cut: at line feeds, and at the space after a mark.
-CUTS = "\n|(?<=[.!?;\u2026\u3002\uff01\uff1f]) "
+CUTS = "\n| (?<=[.!?;\u2026\u3002\uff01\uff1f] )"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -52,39 +57,61 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(paragraphs(text), lambda p: F.xxhash64(p)))
 
 
-def _placed(d: Column, sign: Column) -> Column:
-    """A digest with its check hash, its cells, and how it counts."""
-    at = [F.pmod(F.xxhash64(d, F.lit(i)), F.lit(GROUP)).cast("int") + i * GROUP for i in range(3)]
-    check = F.xxhash64(d, F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.struct(d.alias("d"), check.alias("h"), sign.alias("s"), *[a.alias(f"p{i}") for i, a in enumerate(at)])
+def _hash(d: Column) -> Column:
+    return F.xxhash64(d, F.lit(7))
 
 
-def _cell(c: Column, k: Column, h: Column) -> Column:
-    return F.struct(c.alias("c"), k.alias("k"), h.alias("h"))
+def _check(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _place(hashed: Column, i: int) -> Column:
+    """The cell within third ``i``, of bits that the check doesn't use."""
+    return F.shiftrightunsigned(hashed, 32 + 4 * i).bitwiseAND(F.lit(GROUP - 1).cast("long")).cast("int")
+
+
+def _placed(ds: Column, sign: int) -> Column:
+    """Digests with their check hashes, how they count, and their cells in each third; each is hashed once."""
+    hashed = F.transform(ds, lambda d: F.struct(d.alias("d"), _hash(d).alias("w")))
+    return F.transform(
+        hashed, lambda x: F.struct(x["d"].alias("d"), _check(x["w"]).alias("h"), F.lit(sign).alias("s"), *[_place(x["w"], i).alias(f"p{i}") for i in range(3)])
+    )
+
+
+def _found(ds: Column, sign: int) -> Column:
+    """Digests with their check hashes, how they count, and their cells as bits of one number."""
+    hashed = F.transform(ds, lambda d: F.struct(d.alias("d"), _hash(d).alias("w")))
+    bit = lambda w, i: F.call_function("shiftleft", F.lit(1 << (i * GROUP)).cast("long"), _place(w, i))
+    bits = lambda w: bit(w, 0).bitwiseOR(bit(w, 1)).bitwiseOR(bit(w, 2))
+    return F.transform(hashed, lambda x: F.struct(x["d"].alias("d"), _check(x["w"]).alias("h"), F.lit(sign).alias("s"), bits(x["w"]).alias("m")))
+
+
+def _cell(c: Column, k: Column, h: Column, m: Column) -> Column:
+    return F.struct(c.alias("c"), k.alias("k"), h.alias("h"), m.alias("m"))
 
 
 def _cells(items: Column) -> Column:
-    """The cells of placed digests: ``array<struct<c int, k long, h long>>``.
+    """The cells of placed digests: ``array<struct<c int, k long, h long, m long>>``, ``m`` the cell's own bit.
 
     Digests are dealt to fours of cells first, so that each is looked at 8 times a third and not 16.
     """
-    zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
-
-    def cell(few: Column, p: str, j: Column) -> Column:
-        own = F.filter(few, lambda x: x[p] == j)
-        return F.aggregate(own, zero, lambda a, x: _cell(a["c"] + x["s"], a["k"].bitwiseXOR(x["d"]), a["h"].bitwiseXOR(x["h"])))
+    none = F.lit(0).cast("long")
 
     def third(i: int) -> Column:
-        p, fours = f"p{i}", F.sequence(F.lit(i * GROUP // 4), F.lit((i + 1) * GROUP // 4 - 1))
-        four = lambda g: F.filter(items, lambda x: F.shiftright(x[p], 2) == g)
-        return F.flatten(F.transform(fours, lambda g: let(four(g), lambda few: F.transform(F.sequence(g * 4, g * 4 + 3), lambda j: cell(few, p, j)))))
+        p = f"p{i}"
+        own = lambda j: F.struct(F.lit(j).alias("j"), F.lit(1 << (i * GROUP + j)).cast("long").alias("m"))
+        fours = F.array(*[F.struct(F.lit(g).alias("g"), F.array(*[own(4 * g + j) for j in range(4)]).alias("own")) for g in range(GROUP // 4)])
+        put = lambda a, x: _cell(a["c"] + x["s"], a["k"].bitwiseXOR(x["d"]), a["h"].bitwiseXOR(x["h"]), a["m"])
+        cell = lambda few, o: F.aggregate(F.filter(few, lambda x: x[p] == o["j"]), _cell(F.lit(0), none, none, o["m"]), put)
+        four = lambda g: F.filter(items, lambda x: F.shiftright(x[p], 2) == g["g"])
+        return F.flatten(F.transform(fours, lambda g: let(four(g), lambda few: F.transform(g["own"], lambda o: cell(few, o)))))
 
     return F.concat(*[third(i) for i in range(3)])
 
 
 def sketch(ds: Column) -> Column:
     """The cells of a set of digests."""
-    return let(F.transform(ds, lambda d: _placed(d, F.lit(1))), _cells)
+    return let(_placed(ds, 1), _cells)
 
 
 def as_text(cells: Column) -> Column:
@@ -93,24 +120,23 @@ def as_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, one), ".")
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a, b, lambda x, y: _cell(x["c"] - y["c"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"]))
-    )
-
-
 def peel(cells: Column) -> Column:
-    """``struct<cells, found>``: what is left, and the digests found, with ``s`` 1 for the first version's, -1 for the second's."""
+    """``struct<cells, found>``: what is left but for empty cells, and the digests found, with ``s`` 1 for the first version's, -1 for the second's.
+
+    With fewer than ``LEAST_EMPTY`` empty cells nothing is tried, as there are too many digests for the cells.
+    """
+    filled = lambda cs: F.filter(cs, lambda c: (c["c"] != 0) | (c["k"] != 0))
 
     def step(state: Column, _: Column) -> Column:
-        alone = F.filter(
-            state["cells"],
-            lambda c: (F.abs(c["c"]) == 1) & (F.xxhash64(c["k"], F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF)) == c["h"]),
-        )
-        pure = F.array_distinct(F.transform(alone, lambda c: _placed(c["k"], c["c"])))
+        alone = F.filter(state["cells"], lambda c: (F.abs(c["c"]) == 1) & (_check(_hash(c["k"])) == c["h"]))
+        once = lambda cs, s: F.array_distinct(F.transform(F.filter(cs, lambda c: c["c"] == s), lambda c: c["k"]))
+        pure = let(alone, lambda cs: F.concat(_found(once(cs, 1), 1), _found(once(cs, -1), -1)))
+        # A cell is changed only by those digests that lie in it.
+        out = lambda a, x: _cell(a["c"] - x["s"], a["k"].bitwiseXOR(x["d"]), a["h"].bitwiseXOR(x["h"]), a["m"])
+        less = lambda c, ps: F.aggregate(ps, c, lambda a, x: F.when(x["m"].bitwiseAND(a["m"]) == 0, a).otherwise(out(a, x)))
 
         def without(ps: Column) -> Column:
-            left = subtract(state["cells"], _cells(ps))
+            left = filled(F.transform(state["cells"], lambda c: less(c, ps)))
             found = F.transform(ps, lambda x: F.struct(x["d"].alias("d"), x["s"].alias("s")))
             more = F.struct(left.alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(True).alias("on"))
             stop = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("on"))
@@ -118,82 +144,87 @@ def peel(cells: Column) -> Column:
 
         return F.when(state["on"], let(pure, without)).otherwise(state)
 
-    none = F.array().cast("array<struct<d:bigint,s:int>>")
-    start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("on"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+    none = F.array().cast(FOUND)
+    start = lambda cs: F.struct(cs.alias("cells"), none.alias("found"), (F.size(cs) <= CELLS - LEAST_EMPTY).alias("on"))
+    return let(filled(cells), lambda cs: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start(cs), step))
 
 
-def _peeled(a: Column, b: Column) -> Column:
-    """``struct<ok, found>`` of two sets of digests by one sketch each."""
+def _peeled(items: Column) -> Column:
+    """``struct<ok, found>`` of signed digests: their cells are the sketch of the first version less that of the second."""
 
     def judged(done: Column) -> Column:
-        empty = F.forall(done["cells"], lambda c: (c["c"] == 0) & (c["k"] == 0))
         # A wrong peel would repeat a digest; then this attempt counts as failed.
         once = F.size(F.array_distinct(F.transform(done["found"], lambda x: x["d"]))) == F.size(done["found"])
-        return F.struct((empty & once).alias("ok"), done["found"].alias("found"))
+        return F.struct(((F.size(done["cells"]) == 0) & once).alias("ok"), done["found"].alias("found"))
 
-    return let(peel(subtract(sketch(a), sketch(b))), judged)
+    return let(peel(_cells(items)), judged)
+
+
+def _hopeless(items: Column) -> Column:
+    """Whether more digests seem to differ than a sketch gives back: an odd sketch of 64 bits has ``MOST_ODD`` bits set.
+
+    A bit tells whether an odd number of digests falls on it, so those of both versions are gone.
+    """
+    bit = lambda d: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(d, 58).cast("int"))
+    odd = F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x["d"])))
+    return F.bit_count(odd) >= MOST_ODD
 
 
-def _part(d: Column, k: Column) -> Column:
-    """Which of the ``4 ** k`` sketches of attempt ``k`` a digest goes to."""
-    return F.pmod(F.xxhash64(d, k + 100), F.pow(F.lit(4), k).cast("long"))
+def _attempt(state: Column, k: Column) -> Column:
+    """Attempt ``k`` at the open parts of a pair: each is dealt to 4, but for the first, and peeled unless that is hopeless."""
+    digit = lambda d: F.call_function("shiftright", d, k * 2 - 2).bitwiseAND(F.lit(3).cast("long"))
+    dealt = lambda p: F.transform(F.array(*[F.lit(j).cast("long") for j in range(4)]), lambda j: F.filter(p, lambda x: digit(x["d"]) == j))
+    parts = F.when(k == 0, state["open"]).otherwise(F.flatten(F.transform(state["open"], dealt)))
+    none = F.struct(F.lit(False).alias("ok"), F.array().cast(FOUND).alias("found"))
+    tried = F.transform(parts, lambda p: F.struct(p.alias("p"), F.when(_hopeless(p), none).otherwise(_peeled(p)).alias("t")))
 
+    def judged(ts: Column) -> Column:
+        still = F.transform(F.filter(ts, lambda t: ~t["t"]["ok"]), lambda t: t["p"])
+        found = F.flatten(F.transform(F.filter(ts, lambda t: t["t"]["ok"]), lambda t: t["t"]["found"]))
+        return F.struct(still.alias("open"), F.concat(state["found"], found).alias("found"))
 
-def _attempt(a: Column, b: Column, k: Column) -> Column:
-    """``struct<ok, found>`` by ``4 ** k`` sketches of each."""
-    own = lambda ds, part: F.filter(ds, lambda d: _part(d, k) == part)
-    tried = F.transform(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(4), k).cast("long") - 1), lambda part: _peeled(own(a, part), own(b, part)))
-    found = lambda ts: F.flatten(F.transform(ts, lambda t: t["found"]))
-    return let(tried, lambda ts: F.struct(F.forall(ts, lambda t: t["ok"]).alias("ok"), found(ts).alias("found")))
+    return let(tried, judged)
 
 
-def _decoded(a: Column, b: Column, attempts: int) -> Column:
-    """The first of the attempts that succeeds, or the last."""
-    none = F.struct(F.lit(False).alias("ok"), F.array().cast("array<struct<d:bigint,s:int>>").alias("found"))
-    step = lambda t, k: F.when(t["ok"], t).otherwise(_attempt(a, b, k))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), none, step)
+def _decoded(a: Column, b: Column, first: int, attempts: int) -> Column:
+    """``struct<open, found>``: the parts that every attempt from ``first`` on failed at, and the digests found in the others."""
+    whole = F.array(F.concat(_placed(a, 1), _placed(b, -1)))
+    start = F.struct(whole.alias("open"), F.array().cast(FOUND).alias("found"))
+    done = F.aggregate(F.sequence(F.lit(first), F.lit(first + attempts - 1)), start, _attempt)
+    side = lambda p, s: F.transform(F.filter(p, lambda x: x["s"] == s), lambda x: x["d"])
+    both = lambda p: F.struct(side(p, 1).alias("a"), side(p, -1).alias("b"))
+    return let(done, lambda t: F.struct(F.transform(t["open"], both).alias("open"), t["found"].alias("found")))
 
 
 def differences(pairs: DataFrame, keys: list[str], attempts: int = ATTEMPTS, sizes: bool = False) -> DataFrame:
     """Per pair the differing digests: ``keys`` with ``only_a`` and ``only_b``, arrays of long, or how many where ``sizes``.
 
     ``pairs`` has ``keys``, unique, and arrays of digests ``a`` and ``b``.
-    Should every attempt fail, which needs about ``4 ** attempts * GROUP``
+    Should every attempt at a part fail, which needs about ``4 ** attempts * GROUP``
     differing paragraphs, set difference gives the same.
     """
     counted = (lambda ds: F.size(ds).cast("long")) if sizes else (lambda ds: ds)
     side = lambda s: counted(F.transform(F.filter("done.found", lambda x: x["s"] == s), lambda x: x["d"]))
-    rest = lambda c: F.when(~F.col("done.ok"), F.col(c)).alias(c)
-    tried = pairs.withColumn("done", _decoded(F.col("a"), F.col("b"), IN_ROW))
-    tried = written(tried.select(*keys, F.col("done.ok").alias("ok"), side(1).alias("only_a"), side(-1).alias("only_b"), rest("a"), rest("b")), "sketch-pairs")
-    done = [tried.where("ok").select(*keys, "only_a", "only_b")]
-    failed = tried.where("not ok").select(*keys, "a", "b")
-    for k in range(IN_ROW, attempts + 1):
-        if failed.isEmpty():
+    done, rest = [], pairs.select(*keys, "a", "b")
+    for first in range(0, attempts, IN_ROW):
+        tried = rest.withColumn("done", _decoded(F.col("a"), F.col("b"), first, min(IN_ROW, attempts - first)))
+        tried = written(tried.select(*keys, side(1).alias("only_a"), side(-1).alias("only_b"), F.col("done.open").alias("open")), "sketch-pairs")
+        done.append(tried.select(*keys, "only_a", "only_b"))
+        still = tried.where(F.size("open") > 0)
+        if still.isEmpty():
             break
-        both = F.concat(
-            F.transform("a", lambda d: F.struct(d.alias("d"), F.lit(1).alias("s"))),
-            F.transform("b", lambda d: F.struct(d.alias("d"), F.lit(-1).alias("s"))),
-        )
-        parts = (
-            failed.select(*keys, F.explode(both).alias("x"))
-            .groupBy(*keys, _part(F.col("x.d"), F.lit(k)).alias("part"))
-            .agg(*[F.collect_list(F.when(F.col("x.s") == s, F.col("x.d"))).alias(n) for s, n in ((1, "a"), (-1, "b"))])
-        )
-        again = parts.withColumn("done", _decoded(F.col("a"), F.col("b"), 1))
-        again = written(again.select(*keys, F.col("done.ok").alias("ok"), side(1).alias("pa"), side(-1).alias("pb")), "sketch-parts")
-        joined = F.sum if sizes else (lambda c: F.flatten(F.collect_list(c)))
-        whole = again.groupBy(*keys).agg(F.bool_and("ok").alias("ok"), joined("pa").alias("only_a"), joined("pb").alias("only_b"))
-        done.append(whole.where("ok").select(*keys, "only_a", "only_b"))
-        failed = written(failed.join(whole.where("not ok").select(*keys), keys, "left_semi"), "sketch-failed")
+        # Each open part is a row of its own from here on.
+        rest = still.select(*keys, F.explode("open").alias("p")).select(*keys, "p.a", "p.b").repartition(F.xxhash64("a", "b"))
     else:
         less = lambda x, y: counted(F.array_except(x, y))
-        done.append(failed.select(*keys, less("a", "b").alias("only_a"), less("b", "a").alias("only_b")))
+        done.append(rest.select(*keys, less("a", "b").alias("only_a"), less("b", "a").alias("only_b")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    if len(done) == 1:
+        return out
+    joined = F.sum if sizes else (lambda c: F.flatten(F.collect_list(c)))
+    return out.groupBy(*keys).agg(joined("only_a").alias("only_a"), joined("only_b").alias("only_b"))
 
 
 def followers(docs: DataFrame, row: str, doc_id: str) -> DataFrame:

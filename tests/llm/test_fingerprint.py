@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from spanloom.llm import fingerprint
 from spanloom.llm.fingerprint import differences, edited_fingerprints
 
 
@@ -77,3 +78,25 @@ def test_ties_one_row_and_empty_table(spark):
     one = edited_fingerprints(df.limit(1)).collect()
     assert [(g.doc_id, g.near_next) for g in one] == [(1, 1.0)]
     assert edited_fingerprints(df.limit(0)).collect() == []
+
+
+def test_only_parts_that_failed_are_dealt_again(spark, monkeypatch):
+    """Of 400 digests in 16 sketches some sketches fail; before, all digests of the pair went to 64 sketches then, a row each."""
+    pairs = [(k, [k * 10_000 + i for i in range(200)], [k * 10_000 + i for i in range(150, 350)]) for k in range(20)]
+    df = spark.createDataFrame(pairs, "k int, a array<long>, b array<long>").withColumns({c: F.transform(c, lambda x: F.xxhash64(x)) for c in "ab"})
+    tables = []
+    keep = fingerprint.written
+    monkeypatch.setattr(fingerprint, "written", lambda rows, *how: tables.append(keep(rows, *how)) or tables[-1])
+    got = differences(df, ["k"], sizes=True).collect()
+    assert sorted(map(tuple, got)) == [(k, 150, 150) for k in range(20)]
+    assert tables[0].count() == 20 and sum(t.count() for t in tables[1:]) < 20 * 8
+
+
+def test_cells_of_signed_digests_are_the_difference_of_two_sketches(spark):
+    a, b = [F.transform(F.sequence(F.lit(x), F.lit(y)), lambda i: F.xxhash64(i)) for x, y in ((1, 60), (40, 90))]
+    row = spark.range(1).select(
+        fingerprint.sketch(a).alias("a"), fingerprint.sketch(b).alias("b"),
+        fingerprint._cells(F.concat(fingerprint._placed(a, 1), fingerprint._placed(b, -1))).alias("d"),
+    ).first()
+    assert [(x.c - y.c, x.k ^ y.k, x.h ^ y.h, x.m) for x, y in zip(row.a, row.b, strict=True)] == [tuple(z) for z in row.d]
+    assert [x.m for x in row.a] == [1 << j for j in range(48)] and sum(x.c for x in row.a) == 180
