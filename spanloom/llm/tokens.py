@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Sequence
 
 import numpy as np
@@ -39,16 +40,19 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.tokenizer, self.older = tokenizer, {}
+        self.tokenizer, self.older, self.merge = tokenizer, {}, tokenizer.model.tokenize
+        # Pieces are asked for once, so the model's own cache would only be filled and emptied.
+        if hasattr(tokenizer.model, "_resize_cache"):
+            tokenizer.model._resize_cache(0)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             if piece.isascii():
-                found = [t.id for t in self.tokenizer.model.tokenize(piece)]
+                found = [t.id for t in self.merge(piece)]
             else:
                 found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            ids = np.array(found, dtype="<u4").tobytes()
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(self) >= KEPT_PIECES:
             self.older = dict(self)
             self.clear()

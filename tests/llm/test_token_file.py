@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
+from spanloom.llm import tokens
 from spanloom.llm.queries import tokenizer_path
 from spanloom.llm.token_file import decode_chunk, encode_chunk, token_file
 from spanloom.llm.tokens import Encoder
@@ -33,6 +35,17 @@ def test_encoder_takes_special_strings_as_the_library_does():
     assert np.frombuffer(ENC.encode([t])[0], "<u4").tolist() == plain(t)
 
 
+def test_many_new_pieces_and_small_tables(monkeypatch):
+    """Tables that are emptied often, and no cache in the library's model: the ids stay the library's."""
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 500)
+    own, library = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    assert own.pieces.merge("the") is not None and len(own.pieces) == 0
+    texts = [" ".join(f"w{i * 7919 % 12_000}x{chr(97 + i % 26)}é word, it's" for i in range(at, at + 300)) for at in range(0, 12_000, 300)] * 2
+    got = own.encode(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(own.pieces) <= 500 and len(own.pieces.older) <= 500
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @settings(max_examples=50, deadline=None)
 @given(docs=st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=30), max_size=6), block=st.integers(1, 17))
