@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import encoder
+from .tokens import encoder, together
 
 SEQUENCE = 2048
 OPEN_BINS = 4096
@@ -81,8 +81,8 @@ def token_pieces(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for near in together(batch.column(1)):
+                part = batch.slice(near.start, near.stop - near.start)
                 rows = []
                 for d, b in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                     b += end

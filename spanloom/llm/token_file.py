@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .tokens import encoder
+from .tokens import encoder, together
 
 MAGIC = b"IDPLANE1"
 CHUNK_IDS = 1 << 18
@@ -122,7 +122,7 @@ def write_ids(
     appended to each document.  Null texts count as empty, null ids come first,
     documents of equal id stand side by side.  An empty table gives an empty
     file set.  A very long text is encoded whole; a task holds the ids of one chunk
-    and of one document more.  ``shards`` is the number of range partitions, by default that of
+    and of the documents that are encoded together (``tokens.TOGETHER``).  ``shards`` is the number of range partitions, by default that of
     Spark's shuffles.
     """
     end = b"" if end_id is None else struct.pack("<I", end_id)
@@ -148,9 +148,8 @@ def write_ids(
         enc = encoder(tokenizer)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 64):
-                texts = batch.column(1).slice(at, 64).to_pylist()
-                for d, b in zip(ids[at : at + 64], enc.encode(texts), strict=True):
+            for part in together(batch.column(1)):
+                for d, b in zip(ids[part], enc.encode(batch.column(1)[part].to_pylist()), strict=True):
                     names.append(d)
                     held.append(b + end)
                     n += len(held[-1]) // 4

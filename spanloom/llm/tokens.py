@@ -5,7 +5,9 @@ merge the same words again.  ``Encoder`` therefore keeps the ids of pieces it
 has met: for a tokenizer that lower-cases, drops white space and then merges
 within pieces of one pattern, and for texts made only of characters on which
 Python and the library surely agree, it cuts the pieces itself and asks the
-library for each new one.  All other texts go to the library as they are.
+library for each new one.  As no piece holds white space, texts are split there
+by Arrow, and Python sees each distinct word of a few texts once.  All other
+texts go to the library as they are.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ import json
 import os
 import re
 import struct
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed value: the pattern of pieces for which the short way holds.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -29,29 +33,32 @@ _CUT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^\t\n\r {_
 _SURROGATE = re.compile("[\ud800-\udfff]")
 #: Pieces in each of a worker process's two tables: about 30 MB each at most.
 KEPT_PIECES = 150_000
+#: Bytes of texts that are encoded together; a longer text is encoded alone or with those before it.
+TOGETHER = 1 << 22
 
 
 class _Pieces(dict):
-    """Little-endian 32-bit ids by piece, in two tables: a full one becomes the older one.
+    """Little-endian 32-bit ids by word, a string of safe characters without white space.
 
-    An ASCII piece stands for itself in the byte alphabet, so the library's model
-    can merge it at once; others go through all of the library.
+    Words of several pieces are cut and put together again each time; pieces are kept in
+    two tables, of which a full one becomes the older one.  The library's model merges each
+    new piece in the byte alphabet, where ASCII stands for itself.
     """
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.tokenizer, self.older, self.merge = tokenizer, {}, tokenizer.model.tokenize
+        self.older, self.merge = {}, tokenizer.model.tokenize
+        self.alphabet = _Alphabet(tokenizer.pre_tokenizer)
         # Pieces are asked for once, so the model's own cache would only be filled and emptied.
         if hasattr(tokenizer.model, "_resize_cache"):
             tokenizer.model._resize_cache(0)
 
     def __missing__(self, piece: str) -> bytes:
+        if not piece.isalpha() and len(cut := _CUT.findall(piece)) != 1:
+            return b"".join(map(self.__getitem__, cut))
         ids = self.older.get(piece)
         if ids is None:
-            if piece.isascii():
-                found = [t.id for t in self.merge(piece)]
-            else:
-                found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            found = [t.id for t in self.merge(piece if piece.isascii() else piece.translate(self.alphabet))]
             ids = struct.pack(f"<{len(found)}I", *found)
         if len(self) >= KEPT_PIECES:
             self.older = dict(self)
@@ -61,6 +68,18 @@ class _Pieces(dict):
         return ids
 
 
+class _Alphabet(dict):
+    """What the library's pre-tokenizer makes of each character's bytes, for ``str.translate``."""
+
+    def __init__(self, pre_tokenizer) -> None:
+        super().__init__()
+        self.pre_tokenizer = pre_tokenizer
+
+    def __missing__(self, char: int) -> str:
+        self[char] = self.pre_tokenizer.pre_tokenize_str(chr(char))[0][0]
+        return self[char]
+
+
 class Encoder:
     """Encodes with ``Tokenizer.from_file(path)`` and no special tokens."""
 
@@ -81,20 +100,40 @@ class Encoder:
         A lone surrogate, which no column of strings can hold, counts as U+FFFD.
         """
         out: list[bytes | None] = [None] * len(texts)
-        rest = []
+        short, rest = [], []
         for i, t in enumerate(texts):
             if not t:
                 out[i] = b""
             elif self.short and _SAFE.fullmatch(t) and not any(s in t for s in self.special):
-                out[i] = b"".join(map(self.pieces.__getitem__, _CUT.findall(t.lower())))
+                short.append(i)
             else:
                 rest.append(i)
+        for i, ids in zip(short, self._by_words([texts[i].lower() for i in short]), strict=True):
+            out[i] = ids
         for i in rest:  # one by one, so a batch of long texts isn't held as objects at once
             whole = texts[i].encode("utf-16", "surrogatepass").decode("utf-16", "replace") if _SURROGATE.search(texts[i]) else texts[i]
             ids = self.tokenizer.encode(whole, add_special_tokens=False).ids
             out[i] = np.array(ids, dtype="<u4").tobytes()
         return out
 
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """The ids of lower-cased texts of safe characters: their words' ids, joined."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        known = words.flatten().dictionary_encode()
+        found = map(self.pieces.__getitem__, known.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(found, pa.large_binary()).take(known.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(words.offsets, ids), pa.scalar(b"", ids.type)).to_pylist()
+
+
+def together(texts: pa.Array) -> Iterator[slice]:
+    """Neighbouring rows of a column whose texts begin within the same ``TOGETHER`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = np.concatenate([[0], ends[:-1]]) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(begin)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            yield slice(a, b)
+
 
 def _cuts_pieces(spec: dict) -> bool:
     """Whether a tokenizer file is of the kind for which the short way holds."""

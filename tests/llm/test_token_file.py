@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +47,35 @@ def test_many_new_pieces_and_small_tables(monkeypatch):
     assert len(own.pieces) <= 500 and len(own.pieces.older) <= 500
 
 
+def test_words_of_a_few_texts_are_looked_up_once(monkeypatch):
+    """The time of the encoder went into a lookup for each piece, and into whole encodings of pieces beyond ASCII."""
+    own, library = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    asked = []
+    monkeypatch.setattr(tokens._Pieces, "__getitem__", lambda self, w: asked.append(w) or (self.get(w) or self.__missing__(w)), raising=False)
+    monkeypatch.setattr(own, "tokenizer", None)
+    texts = ["Élan vital, it's\tthe élan\r\n", "  ", "vital, élan " * 1000, "x²y 12e", "'s!'s", "the"]
+    got = own.encode([None, *texts, ""])
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [[], *(library.encode(t, add_special_tokens=False).ids for t in texts), []]
+    assert asked.count("élan") == 1 and len(asked) < 30
+
+
+def test_every_safe_character_is_the_librarys():
+    library = Tokenizer.from_file(tokenizer_path())
+    safe = [c for c in map(chr, range(0x3000)) if tokens._SAFE.fullmatch(c)]
+    texts = [t for c in safe for t in (c, f"Ab{c}cD {c}9{c}'s", f"'{c}{c}ll.{c}")]
+    assert len(safe) > 380
+    assert [np.frombuffer(b, "<u4").tolist() for b in ENC.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_that_are_encoded_together(monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER", 10)
+    column = pa.array([None, "é" * 4, "abc", "", "x" * 35, None, "y", "z" * 9, "w"])
+    parts = list(tokens.together(column))
+    assert [column[p].to_pylist() for p in parts] == [[None, "é" * 4, "abc"], ["", "x" * 35], [None, "y", "z" * 9], ["w"]]
+    assert list(tokens.together(column[4:6])) == [slice(0, 1), slice(1, 2)]
+    assert list(tokens.together(column[:0])) == []
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @settings(max_examples=50, deadline=None)
 @given(docs=st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=30), max_size=6), block=st.integers(1, 17))
